@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingloom.llm import exact_dedup, jaccard_join, language_id, pii, quality, substring_dedup, token_counts
+from lingloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
+    "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
