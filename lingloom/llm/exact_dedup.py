@@ -72,6 +72,13 @@ def exact_dedup(docs: DataFrame, runs: int | None = None, fan_in: int = 8) -> Da
     )
 
 
+def unique_rows(docs: DataFrame, runs: int | None = None, fan_in: int = 8) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    found = exact_dedup(docs, runs, fan_in)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("hash_")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.sha2(normalised(docs["text"]), 256) == F.col("hash_")), "left_anti")
+
+
 SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
 r AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM n)

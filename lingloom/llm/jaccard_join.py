@@ -380,3 +380,9 @@ def link_components(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFram
     linked = alive.join(down, ["cls", "run"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def representatives(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id, with all their columns."""
+    gone = link_components(docs, depth, bits).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
