@@ -166,7 +166,7 @@ def q_unnest(spark, sf_dir):
     return nesting.unnest(nesting.nest(recordings(spark, sf_dir), ["l_orderkey"], ORDER, ["l_partkey", "split"]))
 
 
-@query(f"WITH {RECORDINGS} SELECT l_orderkey, split, count(*) AS n, sum(l_partkey) AS parts FROM r GROUP BY 1, 2")
+@query(f"WITH {RECORDINGS} SELECT l_orderkey, split, count(*) AS n, sum(l_partkey)::bigint AS parts FROM r GROUP BY 1, 2")
 def q_unnest_arrays(spark, sf_dir):
     n = nesting.parallel_arrays(nesting.nest(recordings(spark, sf_dir), ["l_orderkey"], ORDER, ["l_partkey", "split"]), ["l_partkey", "split"])
     return nesting.unnest_arrays(n, ["l_partkey", "split"]).groupBy("l_orderkey", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
