@@ -76,7 +76,7 @@ def unique_rows(docs: DataFrame, runs: int | None = None, fan_in: int = 8) -> Da
     """The rows of docs that exact_dedup() keeps, with all their columns."""
     found = exact_dedup(docs, runs, fan_in)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("hash_")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.sha2(normalised(docs["text"]), 256) == F.col("hash_")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id_"]) & (F.sha2(normalised(docs["text"]), 256) == gone["hash_"]), "left_anti")
 
 
 SQL = r"""

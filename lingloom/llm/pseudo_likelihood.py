@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
 BATCH = 1024
 NONE = CLASSES  # beyond the text
+LANES = 64
 PART = 1 << 25  # words after which a task sends weights
 
 
@@ -183,7 +185,8 @@ def averaged(docs: DataFrame, vocab: Vocabulary, start: Network) -> Network:
         net, number = Network([w.copy() for w in weights]), 0
 
         def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(range(len(shapes)), pa.int32()), pa.array([number] * len(shapes), pa.int64()), pa.array([(w.astype(np.float64) * number).tobytes() for w in net.weights], pa.binary())], ["k", "number", "weights"])
+            lane = TaskContext.get().partitionId() % LANES
+            return pa.RecordBatch.from_arrays([pa.array(range(len(shapes)), pa.int32()), pa.array([lane] * len(shapes), pa.int32()), pa.array([number] * len(shapes), pa.int64()), pa.array([(w.astype(np.float64) * number).tobytes() for w in net.weights], pa.binary())], ["k", "lane", "number", "weights"])
 
         rng = np.random.default_rng(19)
         for batch in batches:
@@ -208,11 +211,13 @@ def averaged(docs: DataFrame, vocab: Vocabulary, start: Network) -> Network:
             for r in batch.to_pylist():
                 old = total.get(r["k"], [0, 0])
                 total[r["k"]] = [old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.float64)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["k", "number", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["k", "lane", "number", "weights"])
 
-    schema = "k int, number long, weights binary"
+    schema = "k int, lane int, number long, weights binary"
     weights = [w.copy() for w in start.weights]
-    for r in docs.select("text").mapInArrow(learn, schema).repartition(len(shapes), "k").mapInArrow(add, schema).collect():
+    # Tasks' weights meet in lanes first, so that the last sum has at most LANES rows for each array, however many tasks there are.
+    lanes = docs.select("text").mapInArrow(learn, schema).repartition(LANES, "k", "lane").mapInArrow(add, schema)
+    for r in lanes.repartition(len(shapes), "k").mapInArrow(add, schema).collect():
         weights[r["k"]] = (np.frombuffer(r["weights"], np.float64) / r["number"]).astype(np.float32).reshape(shapes[r["k"]])
     return Network(weights)
 
