@@ -105,3 +105,11 @@ def test_incremental_takes_new_files_only(spark, tmp_path):
     spark.range(10, 12).write.parquet(f"{tmp_path}/in/b")
     run()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 2, 4, 20, 22]
+
+
+def test_language_table(spark):
+    from lingloom.sources.languages import languages, with_passages
+
+    table = languages(spark)
+    assert table.count() == 102 == table.select("fleurs_code").distinct().count() == table.select("flores_code").distinct().count() and table.where("in_belebele").count() == 92
+    assert [r.lang for r in with_passages(spark.createDataFrame([("eng_Latn",), ("umb_Latn",)], "lang string")).collect()] == ["eng_Latn"]
