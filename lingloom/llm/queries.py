@@ -18,7 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

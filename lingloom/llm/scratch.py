@@ -8,9 +8,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_shared: list[Broadcast] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -34,6 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """value for all tasks, until release()."""
+    _shared.append(spark.sparkContext.broadcast(value))
+    return _shared[-1]
+
+
+def release(kept: int = 0) -> None:
+    """Takes back what shared() gave out, but for the first `kept`; nothing that is still to be computed may need it."""
+    while len(_shared) > kept:
+        _shared.pop().destroy()
+
+
+def given() -> int:
+    return len(_shared)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes the tables written so far; results that still read them must be saved first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,13 +1,15 @@
 """Removal of repeated passages: a count-min sketch finds windows that may repeat, and exact grouping decides.
 
-Pass 1 hashes every window of each text. A task sends the cells that its windows hit in each row of the sketch, with
-a mark on those hit twice; cells merge by shard, streaming, into the bits "hit at least twice". The merged bits have
-a fixed size (depth * 2**bits / 8 bytes, 64 MB by default), whatever the corpus, and go to all tasks.
-Pass 2 keeps the windows whose cells all have the bit: every repeated window is among them, as the sketch never
-underestimates. Where a window occurs again inside one part of a task, only its first place travels and the others
-are marked at once, so a passage that a third of all rows share sends one row a part. Exact grouping by a 96-bit hash
-of the window marks all but the first place. With far more windows than cells the sketch lets more windows through;
-results stay the same and only the second pass grows.
+Pass 1 takes the minimizer of every window, its run of 10 words of the smallest hash: equal windows have equal
+minimizers at equal distances, so there are at least as many places of a minimizer as of a window, and about a sixth as
+many places as windows. A task sends the cells that its minimizers hit in each row of the sketch, with a mark on those
+hit twice; cells merge by shard, streaming, into the bits "hit at least twice". The merged bits have a fixed size
+(depth * 2**bits / 8 bytes, 32 MB by default), whatever the corpus, and go to all tasks.
+Pass 2 keeps the windows whose minimizer has the bit in all rows: every repeated window is among them, as the sketch
+never underestimates. Where a window occurs again inside one part of a task, only its first place travels and the others
+are marked at once, so a passage that a third of all rows share sends one row a part. Exact grouping by minimizer and
+window hash (128 bits) marks all but the first place. With far more minimizers than cells the sketch lets more windows
+through; results stay the same and only the second pass grows.
 Pass 3 brings marks and texts together and removes the words.
 """
 
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingloom.llm.scratch import given, release, shared, stored
 from lingloom.llm.words import SLICE, SPACE, mixed, sequences, slices, u64, words
 
 WINDOW = 20
+GRAM = 10
 SHARD_BITS = 16
-PART = 1 << 22  # windows that a task gathers before it sends their cells or places
+PART = 1 << 21  # windows that a task gathers before it sends their cells or places
 
 
 def order_key() -> Column:
@@ -44,6 +48,24 @@ def cells(hashes: np.ndarray, depth: int, bits: int) -> Iterator[np.ndarray]:
         yield (mixed(hashes * u64(2 * row + 1)) >> u64(64 - bits)).astype(np.uint32)
 
 
+def minimizers(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the run of GRAM words at each word, the first word of each window, and the word at which its smallest run is.
+
+    Windows of GRAM words or fewer are their own minimizers. The word is that of the first of equal runs.
+    """
+    size = min(GRAM, window)
+    h, at = sequences(hashes, first, size, 1)
+    gram = np.full(len(hashes), u64(-1))
+    gram[at] = h
+    _, start = sequences(hashes, first, window)
+    best, reach = np.arange(len(hashes)), 1
+    while 2 * reach <= window - size + 1:  # best: the word of the smallest of the next `reach` runs
+        later = np.append(best[reach:], best[-1:].repeat(reach))[: len(best)]
+        best, reach = np.where(gram[later] < gram[best], later, best), 2 * reach
+    low, high = best[start], best[start + window - size + 1 - reach]
+    return gram, start, np.where(gram[high] < gram[low], high, low)
+
+
 def packed(hit: list[np.ndarray], row: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(row, shard, low bits of the cells hit, which of them were hit again) of one part."""
     cell, count = np.unique(np.concatenate(hit), return_counts=True)
@@ -70,10 +92,10 @@ def sketches(docs: DataFrame, window: int, depth: int, bits: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 w = words(data, offsets)
-                h, _ = sequences(w.hashes(), w.first, window)
-                for row, cell in enumerate(cells(h, depth, bits)):
+                gram, _, place = minimizers(w.hashes(), w.first, window)
+                for row, cell in enumerate(cells(gram[place[np.diff(place, prepend=-1) > 0]], depth, bits)):
                     held[row].append(cell)
-                number += len(h)
+                number += len(place)
                 if number >= PART:
                     yield from send()
                     number = 0
@@ -105,36 +127,60 @@ def gathered(parts: DataFrame, depth: int, bits: int) -> np.ndarray:
     """The bits of the merged sketch [row, byte]: of a fixed size, so the driver may hold them."""
     out = np.zeros((depth, 1 << bits >> 3), np.uint8)
     size = 1 << SHARD_BITS >> 3
-    for r in parts.collect():
+    for r in stored(parts, "sketch").toLocalIterator():  # from the written table, a few rows at a time
         out[r["row"], r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def first_places(h1: np.ndarray, h2: np.ndarray, place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by window and then place, and which entries of it are the first of their window."""
-    order = np.lexsort((*reversed(place), h2, h1))
-    a, b = h1[order], h2[order]
+def first_places(gram: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that are the first of their window, and those of later places (a repeated row has the places of the first)."""
+    order = np.lexsort((place, h, gram))
+    a, b = gram[order], h[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, first
+    own = place[order]
+    late = own != own[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return order[first], order[late]
 
 
-def marks(ord_: np.ndarray, rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: the starts of its windows that repeat earlier ones."""
-    order = np.lexsort((start, rid, ord_))
-    ord_, rid, start = ord_[order], rid[order], start[order].astype(np.int32)
-    new = np.ones(len(order), bool)
-    new[1:] = (ord_[1:] != ord_[:-1]) | (rid[1:] != rid[:-1])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(order))
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(ord_[at]), pa.array(rid[at]), pa.array([start[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], ["bucket", "ord", "rid", "payload"])
+MARK = np.dtype([("ord", np.int64), ("rid", np.int64), ("start", np.int32), ("length", np.int32)])
+RUN = np.dtype([("gram", np.uint64), ("doc", np.uint32), ("start", np.uint32), ("length", np.uint16)])
+FOUND = "kind int, bucket int, docs int, runs int, payload binary"
+
 
+def found_rows(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), 256):
+        columns = zip(*rows[lo : lo + 256], strict=True)
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-PLACE = np.dtype([("h1", np.uint64), ("h2", np.uint32), ("doc", np.uint32), ("start", np.uint32)])
 
+def marks(docs: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows that repeat earlier ones, as runs of starts, packed by a hash of their document. docs: (ord, rid) by number."""
+    place = np.sort(place)
+    new = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+    out = np.zeros(len(new), MARK)
+    out["ord"], out["rid"] = docs[:, place[new] >> 32]
+    out["start"], out["length"] = place[new] & 0xFFFFFFFF, np.diff(np.append(new, len(place)))
+    bucket = (mixed(out["rid"].view(np.uint64) ^ mixed(out["ord"].view(np.uint64))) % u64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out, bounds = out[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    yield from found_rows([(1, int(k), 0, 0, out[bounds[k] : bounds[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(bounds))])
 
-def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, buckets: int) -> DataFrame:
-    """Of the windows that may repeat: marks (bucket 0) and the first places of each part (buckets from 1, packed)."""
+
+def numbered(ord_: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different documents in order, and the number of each entry's document."""
+    order = np.lexsort((rid, ord_))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(ord_[order]) != 0) | (np.diff(rid[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.stack([ord_[order][new], rid[order][new]]), number
+
+
+def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, tasks: int) -> DataFrame:
+    """Of the windows that may repeat: the first places of each part (kind 0), and marks of the others (kind 1)."""
+    buckets = 8 * tasks
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = sketch.value
@@ -143,26 +189,27 @@ def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, buckets:
         def send() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            h1, h2, ord_, rid, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            gram, h, ord_, rid, start = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, first = first_places(h1, h2, (ord_, rid, start))
-            late = order[~first]
+            docs_at, number = numbered(ord_, rid)
+            place = number << 32 | start
+            only, late = first_places(gram, h, place)
             if len(late):
-                yield marks(ord_[late], rid[late], start[late])
-            only = order[first]
-            bucket = (h1[only] >> u64(32)).astype(np.int64) * buckets >> 32
-            docs_at, doc = np.unique(np.stack([ord_[only], rid[only]]), axis=1, return_inverse=True) if len(only) else (np.zeros((2, 0), np.int64), np.zeros(0, int))
-            packed_ = np.zeros(len(only), PLACE)
-            packed_["h1"], packed_["h2"], packed_["doc"], packed_["start"] = h1[only], h2[only], doc.ravel(), start[only]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))  # entries are in order of h1, so of buckets
+                yield from marks(docs_at, place[late], tasks)
+            only = only[np.lexsort((place[only], gram[only]))]
+            gram, h, place = gram[only], h[only], place[only]
+            new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(place, prepend=-2) != 1))
+            runs = np.zeros(len(new), RUN)
+            runs["gram"], runs["doc"], runs["start"] = gram[new], place[new] >> 32, place[new] & 0xFFFFFFFF
+            ends = np.append(new[1:], len(gram))
+            runs["length"] = ends - new
+            bounds = np.searchsorted((runs["gram"] >> u64(32)).astype(np.int64) * buckets >> 32, np.arange(buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(bounds)):
-                own = packed_[bounds[k] : bounds[k + 1]].copy()
+                own = runs[bounds[k] : bounds[k + 1]].copy()
                 used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                out.append((int(k) + 1, len(used), len(own), docs_at[:, used].tobytes() + own.tobytes()))
-            for lo in range(0, len(out), 256):
-                b, n, m, payload = zip(*out[lo : lo + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(payload, pa.binary())], ["bucket", "ord", "rid", "payload"])
+                out.append((0, int(k), len(used), len(own), docs_at[:, used].tobytes() + own.tobytes() + h[new[bounds[k]] : ends[bounds[k + 1] - 1]].tobytes()))
+            yield from found_rows(out)
 
         number = 0
         for batch in batches:
@@ -170,57 +217,77 @@ def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, buckets:
             for lo, _, data, offsets in slices(batch.column("text"), SLICE):
                 w = words(data, offsets)
                 hashes = w.hashes()
-                h1, at = sequences(hashes, w.first, window)
-                number += len(h1)
-                ok = np.ones(len(h1), bool)
-                for row, cell in enumerate(cells(h1, depth, bits)):
+                gram, start, place = minimizers(hashes, w.first, window)
+                number += len(start)
+                step = np.diff(place, prepend=-1) > 0
+                own = gram[place[step]]
+                ok = np.ones(len(own), bool)
+                for row, cell in enumerate(cells(own, depth, bits)):
                     ok &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
                 if ok.any():
-                    h2, _ = sequences(hashes, w.first, window, 1)
-                    row = np.searchsorted(w.first, at[ok], "right") - 1
-                    held.append((h1[ok], (h2[ok] >> u64(32)).astype(np.uint32), ids[lo + row], rids[lo + row], at[ok] - w.first[row]))
+                    h, _ = sequences(hashes, w.first, window)
+                    ok = ok[np.cumsum(step) - 1]
+                    row = np.searchsorted(w.first, start[ok], "right") - 1
+                    held.append((gram[place[ok]], h[ok], ids[lo + row], rids[lo + row], start[ok] - w.first[row]))
                 if number >= PART:
                     yield from send()
                     number = 0
         yield from send()
 
-    return docs.select(order_key().alias("ord"), row_key().alias("rid"), "text").mapInArrow(find, "bucket int, ord long, rid long, payload binary")
+    return docs.select(order_key().alias("ord"), row_key().alias("rid"), "text").mapInArrow(find, FOUND)
 
 
 def late_places(found: DataFrame, tasks: int) -> DataFrame:
-    """ord, rid, payload: marks of all places that are not the first of their window, over all parts."""
+    """ord, rid, late (runs of starts, packed) for documents with windows that repeat earlier ones."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h1, h2, ord_, rid, start = [], [], [], [], []
+        gram, h, ord_, rid, start = [], [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["bucket"] == 0:
-                    yield pa.RecordBatch.from_pylist([{"bucket": 0, "ord": r["ord"], "rid": r["rid"], "payload": r["payload"]}], schema=batch.schema)
+                if r["kind"] == 1:
+                    yield from found_rows([tuple(r.values())])
                     continue
-                ids = np.frombuffer(r["payload"], np.int64, 2 * r["ord"]).reshape(2, -1)
-                own = np.frombuffer(r["payload"], PLACE, r["rid"], 16 * r["ord"])
-                h1.append(own["h1"]), h2.append(own["h2"]), start.append(own["start"])
-                ord_.append(ids[0][own["doc"]]), rid.append(ids[1][own["doc"]])
-        if h1:
-            h1, h2, ord_, rid, start = (np.concatenate(x) for x in (h1, h2, ord_, rid, start))
-            order, first = first_places(h1, h2, (ord_, rid, start))
-            late = order[~first]
+                ids = np.frombuffer(r["payload"], np.int64, 2 * r["docs"]).reshape(2, -1)
+                runs = np.frombuffer(r["payload"], RUN, r["runs"], 16 * r["docs"])
+                length = runs["length"].astype(np.int64)
+                doc = np.repeat(runs["doc"], length)
+                h.append(np.frombuffer(r["payload"], np.uint64, -1, 16 * r["docs"] + runs.nbytes))
+                gram.append(np.repeat(runs["gram"], length))
+                start.append(np.repeat(runs["start"].astype(np.int64) - np.cumsum(length) + length, length) + np.arange(length.sum()))
+                ord_.append(ids[0][doc])
+                rid.append(ids[1][doc])
+        if h:
+            docs_at, number = numbered(np.concatenate(ord_), np.concatenate(rid))
+            place = number << 32 | np.concatenate(start)
+            _, late = first_places(np.concatenate(gram), np.concatenate(h), place)
             if len(late):
-                yield marks(ord_[late], rid[late], start[late])
-
-    places_ = found.where("bucket > 0").repartition(tasks, "bucket").mapInArrow(group, found.schema)
-    return places_.unionByName(found.where("bucket = 0")).drop("bucket")
-
-
-def cleaned(data: np.ndarray, offsets: np.ndarray, late: list[list[bytes] | None], window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words, removed words and kept text (words joined by one blank) of each text; late: packed starts of its windows."""
+                yield from marks(docs_at, place[late], tasks)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(x for batch in batches for x in batch.column("payload").to_pylist())
+        all_ = np.frombuffer(raw, MARK)
+        if len(all_):
+            all_ = all_[np.lexsort((all_["start"], all_["rid"], all_["ord"]))]
+            new = np.flatnonzero((np.diff(all_["ord"], prepend=~all_["ord"][:1]) != 0) | (np.diff(all_["rid"], prepend=~all_["rid"][:1]) != 0))
+            ends = np.append(new[1:], len(all_))
+            pairs = np.stack([all_["start"], all_["length"]], 1)
+            for lo in range(0, len(new), 4096):
+                part = slice(lo, lo + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(all_["ord"][new[part]]), pa.array(all_["rid"][new[part]]), pa.array([pairs[a:b].tobytes() for a, b in zip(new[part], ends[part], strict=True)], pa.binary())], ["ord", "rid", "late"])
+
+    late = found.repartition(tasks, "bucket").mapInArrow(group, FOUND)
+    return late.repartition(tasks, "bucket").mapInArrow(collect, "ord long, rid long, late binary")
+
+
+def cleaned(data: np.ndarray, offsets: np.ndarray, late: list[bytes | None], window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and kept text (words joined by one blank) of each text; late: packed runs of starts of its windows."""
     w = words(data, offsets)
     cover = np.zeros(len(w.starts) + 1, np.int32)
-    for row, blobs in enumerate(late):
-        if blobs:
-            at = np.unique(np.frombuffer(b"".join(blobs), np.int32)) + w.first[row]
-            cover[at] += 1
-            np.subtract.at(cover, at + window, 1)
+    for row, runs in enumerate(late):
+        if runs:
+            start, length = np.frombuffer(runs, np.int32).reshape(-1, 2).T
+            np.add.at(cover, start + w.first[row], 1)
+            np.subtract.at(cover, start + w.first[row] + length - 1 + window, 1)
     removed = np.cumsum(cover[:-1]) > 0
     row = w.rows()
     number = np.diff(w.first)
@@ -237,7 +304,7 @@ def cleaned(data: np.ndarray, offsets: np.ndarray, late: list[list[bytes] | None
     return number, gone, [out[a:b].tobytes() for a, b in zip(places_[:-1], places_[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits: int = 28) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits: int = 27, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by blanks), kept_sha256 for every row of docs(doc_id, text, ...).
 
     Words are runs of characters other than space and tab to carriage return, unchanged. A word is removed if a window of
@@ -245,22 +312,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits:
     in the same one. Windows are judged on the input. Null texts have no words. doc_id is an integer; rows without one
     come after all others. Rows of one doc_id with different texts are separate documents, in the order of a hash;
     rows equal in id and text are judged as one and get the same result. Texts shorter than a window lose nothing.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result. texts: whether to return kept, the texts themselves.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(bits, SHARD_BITS)
-    bit = gathered(merged(sketches(docs, window, depth, bits), tasks), depth, bits)
-    sketch = spark.sparkContext.broadcast(bit)
-    late = late_places(places(docs, window, depth, bits, sketch, 8 * tasks), tasks)
-    late = late.groupBy("ord", "rid").agg(F.collect_list("payload").alias("late"))
+    before = given()
+    sketch = shared(spark, gathered(merged(sketches(docs, window, depth, bits), tasks), depth, bits))
+    late = stored(late_places(places(docs, window, depth, bits, sketch, tasks), tasks), "late")
+    release(before)
     rows = docs.select("doc_id", order_key().alias("ord"), row_key().alias("rid"), "text").join(late, ["ord", "rid"], "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
                 number, gone, kept = cleaned(data, offsets, batch.column("late").slice(lo, hi - lo).to_pylist(), window)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(number), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+                columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_words": pa.array(number), "n_removed": pa.array(gone), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
+                if texts:
+                    columns["kept"] = pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "late").mapInArrow(clean, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return rows.select("doc_id", "text", "late").mapInArrow(clean, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts)
