@@ -59,10 +59,12 @@ def trained(texts: list[str], labels: list[str], domains: list[str], share: np.n
     rows = []
     for k in order:
         raw = np.frombuffer(texts[k].encode(), np.uint8)
-        rows.append(features(raw, np.array([0, len(raw)]))[1])
+        rows.append(features(raw, np.array([0, len(raw)]))[1].astype(np.int32))
     cut = max(1, len(texts) - len(texts) // 5)
     # Buckets of one text only say nothing about other texts, and a text of new words must not stand out by them.
-    count = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows[:cut]]), minlength=1 << BITS)
+    count = np.zeros(1 << BITS, np.int32)
+    for at in rows[:cut]:
+        count[at] += 1
     rare = count < 3
     own = np.log(np.maximum(np.bincount(y[:cut], minlength=len(domains)), 0.5) / cut)
     free = own.copy()

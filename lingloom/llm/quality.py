@@ -80,23 +80,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -30, 30)))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
-    """The weights of the linear hinge-loss model, by dual coordinate descent; the last weight is the bias."""
-    weight, dual = np.zeros((1 << BITS) + 1), np.zeros(len(rows))
-    square = np.array([(v * v).sum() for _, v in rows])
+def descend(rows: list[np.ndarray], scale: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear hinge-loss model, by dual coordinate descent.
+
+    Row k has the features ratio[rows[k]] * scale[k] and a constant 1; only the buckets are held.
+    """
+    weight, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    square = np.array([(ratio[at] ** 2).sum() * s * s + 1 for at, s in zip(rows, scale, strict=True)])
     for _ in range(epochs):
         moved = 0.0
         for k in rng.permutation(len(rows)):
-            at, value = rows[k]
-            slope = y[k] * (weight[at] @ value) - 1
+            at = rows[k]
+            value = ratio[at] * scale[k]
+            slope = y[k] * (weight[at] @ value + bias) - 1
             new = min(max(dual[k] - slope / square[k], 0.0), cost[k])
             if new != dual[k]:
                 weight[at] += (new - dual[k]) * y[k] * value
+                bias += (new - dual[k]) * y[k]
                 moved = max(moved, abs(new - dual[k]))
                 dual[k] = new
         if moved < 1e-4:
             break
-    return weight
+    return weight, bias
 
 
 def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int = 20, smooth: float = 1.0, seed: int = 3) -> Model:
@@ -110,7 +115,7 @@ def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int =
     found = []
     for k in order:
         raw = np.frombuffer(texts[k].encode(), np.uint8)
-        found.append(features(raw, np.array([0, len(raw)]))[1])
+        found.append(features(raw, np.array([0, len(raw)]))[1].astype(np.int32))
     cut = max(2, len(texts) - len(texts) // 4)
     if len(set(y[:cut])) < 2:
         cut = len(texts)
@@ -121,10 +126,11 @@ def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int =
             count[found[k]] += 1
         share.append(count / count.sum())
     ratio = np.log(share[0] / share[1])
-    rows = [(np.append(at, 1 << BITS), np.append(ratio[at] / np.sqrt(max(1, len(at))), 1.0)) for at in found]
+    scale = np.array([1 / np.sqrt(max(1, len(at))) for at in found])
     cost_of = np.where(y > 0, 0.5 / max(1, (y[:cut] > 0).sum()), 0.5 / max(1, (y[:cut] < 0).sum())) * cut * cost
-    weight = descend(rows[:cut], y[:cut], cost_of[:cut], epochs, rng)
-    margin = np.array([weight[at] @ value for at, value in (rows[cut:] or rows)])
+    weight, bias = descend(found[:cut], scale[:cut], ratio, y[:cut], cost_of[:cut], epochs, rng)
+    test = range(cut, len(found)) if cut < len(found) else range(len(found))
+    margin = np.array([weight[found[k]] @ ratio[found[k]] * scale[k] + bias for k in test])
     target = (y[cut:] if cut < len(y) else y) > 0
     # Smoothed targets keep the curve finite where classes are apart.
     aim = np.where(target, (target.sum() + 1) / (target.sum() + 2), 1 / ((~target).sum() + 2))
@@ -137,7 +143,7 @@ def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int =
         move = np.linalg.solve(hess, grad)
         move *= min(1.0, 2.0 / np.abs(move).max()) if np.abs(move).max() else 1.0
         slope, shift = slope - move[0], shift - move[1]
-    return Model(weight[:-1] * ratio, float(weight[-1]), float(slope), float(shift))
+    return Model(weight * ratio, float(bias), float(slope), float(shift))
 
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
