@@ -2,15 +2,18 @@
 
 1. A count-min sketch of fixed size (as in substring_dedup) tells which shingles may occur in two documents. A document
    with fewer than 0.8 of its shingles among them has no partner and goes no further; of the others only these
-   shingles and the true size of the set are needed. Documents with equal sets are one class.
+   shingles and the true size of the set are needed. Documents with equal sets are one class. A second sketch, of what
+   is left, does the same again.
 2. Classes are dealt to groups by a minimum hash; in a group each class joins the first leader that it is similar to.
    Leaders are dealt again by another hash, a few times. What comes out are groups of documents that verified links
    hold together; large hash groups are split, so none is gathered in one task.
-3. Token-group matrix: the rarest shingles of every class (those that any partner must share at least one of) are
-   stored with its group. Two groups that share one are a candidate pair: the classes of the smaller visit the larger.
+   The leaders' links make components, which need no more comparing inside.
+3. Token-group matrix: classes are dealt to groups of similar ones by their most frequent shingles. The rarest shingles of
+   every class (those that any partner must share at least one of) are stored with its group; a class visits every group
+   that has one of its own. So rows follow classes and groups, never pairs of classes.
 4. There the union of the group's tokens bounds the overlap of a visitor with any member; only if the bound allows 0.8
-   is the group opened and its members counted exactly. One link joins two groups.
-Steps 2 to 4 lose no link that matters for components: whatever step 2 misses, step 3 finds as a candidate.
+   is the group opened and its members counted exactly. The links that connect components are kept.
+Steps 2 to 4 lose no link that matters for components: whatever step 2 misses, step 3 finds.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingloom.llm.components import components
-from lingloom.llm.scratch import stored
+from lingloom.llm.scratch import given, release, shared, stored
 from lingloom.llm.substring_dedup import PART, cells, gathered, merged, packed
 from lingloom.llm.words import SLICE, lowered, mixed, sequences, slices, u64, words
 
 SHINGLE = 5
 ROUNDS = 3
 LEADERS = 48  # leaders of a hash group that a class is compared with; step 3 finds what this misses
-SPLIT = 2048  # classes of a hash group or of a visited group that one task takes
+SPLIT = 1024  # classes of a group that one task takes
 LEVEL_BITS = 20
 
 
@@ -62,7 +65,9 @@ def batch_of(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def sketched(docs: DataFrame, depth: int, bits: int) -> DataFrame:
+def sketched(frame: DataFrame, hashes, depth: int, bits: int) -> DataFrame:
+    """The parts of a sketch of the hashes that hashes(batch) yields, of a frame of one column."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(depth)]
         number = 0
@@ -75,8 +80,7 @@ def sketched(docs: DataFrame, depth: int, bits: int) -> DataFrame:
                     yield batch_of("row int, shard int, low binary, again binary", list(zip(*out[lo : lo + 2048], strict=True)))
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text"), SLICE):
-                _, h = shingles(data, offsets)
+            for h in hashes(batch) if batch.num_rows else ():
                 for row, cell in enumerate(cells(h, depth, bits)):
                     held[row].append(cell)
                 number += len(h)
@@ -85,13 +89,48 @@ def sketched(docs: DataFrame, depth: int, bits: int) -> DataFrame:
                     number = 0
         yield from send()
 
-    return docs.select("text").mapInArrow(sketch, "row int, shard int, low binary, again binary")
+    return frame.mapInArrow(sketch, "row int, shard int, low binary, again binary")
+
+
+def shingles_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in slices(batch.column("text"), SLICE):
+        yield shingles(data, offsets)[1]
+
+
+def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield unpacked(batch.column("tokens"))[0]
+
+
+def often(bit: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the sketch estimates to occur twice or more."""
+    ok = np.ones(len(hashes), bool)
+    for row, cell in enumerate(cells(hashes, len(bit), bits)):
+        ok &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def refined(classes: DataFrame, depth: int, bits: int, tasks: int) -> DataFrame:
+    """classes(cls, n, tokens) by a second sketch, of their own tokens: without tokens that no other class has, and without
+    classes that have too few others. The first sketch holds the whole corpus and lets more through the larger that is."""
+    bit = shared(classes.sparkSession, gathered(merged(sketched(classes.select("tokens"), tokens_of, depth, bits), tasks), depth, bits))
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens, at = unpacked(batch.column("tokens"))
+                ok = often(bit.value, tokens, bits)
+                left = np.diff(np.concatenate([[0], np.cumsum(ok)])[at])
+                alive = np.flatnonzero(5 * left >= 4 * batch.column("n").to_numpy())
+                part = batch.take(pa.array(alive))
+                yield batch_of("cls long, n long, tokens binary", [part.column("cls"), part.column("n"), [tokens[at[k] : at[k + 1]][ok[at[k] : at[k + 1]]].tobytes() for k in alive]])
+
+    return classes.mapInArrow(refine, "cls long, n long, tokens binary")
 
 
 SETS = "doc_id long, n long, cls long, tokens binary"
 
 
-def sets(docs: DataFrame, sketch, depth: int, bits: int) -> DataFrame:
+def sets(docs: DataFrame, sketch, bits: int) -> DataFrame:
     """doc_id, size, class of every row; tokens (packed shingles that may occur elsewhere) once for a class in a task."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +139,7 @@ def sets(docs: DataFrame, sketch, depth: int, bits: int) -> DataFrame:
             ids = batch.column("doc_id")
             for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
                 row, h = shingles(data, offsets)
-                ok = np.ones(len(h), bool)
-                for r, cell in enumerate(cells(h, depth, bits)):
-                    ok &= (bit[r][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                ok = often(bit, h, bits)
                 rows = hi - lo
                 n = np.bincount(row, minlength=rows)
                 shared = np.bincount(row, ok, rows).astype(np.int64)
@@ -172,7 +209,7 @@ def led(classes: DataFrame, turn: int, tasks: int) -> DataFrame:
     A hash group of over SPLIT classes is split by class; those whose cell of the counts has one class stay apart.
     """
     spark = classes.sparkSession
-    counts = spark.sparkContext.broadcast(counted(classes, lambda b: mixed(group_hashes(*(lambda t, s: (t, s[:-1]))(*unpacked(b.column("tokens"))), turn).view(np.uint64))))
+    counts = shared(spark, counted(classes, lambda b: mixed(group_hashes(*(lambda t, s: (t, s[:-1]))(*unpacked(b.column("tokens"))), turn).view(np.uint64))))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = counts.value
@@ -212,33 +249,50 @@ def led(classes: DataFrame, turn: int, tasks: int) -> DataFrame:
     return grouped.repartition(tasks, "g", "salt").sortWithinPartitions("g", "salt", "cls").mapInArrow(join, LED)
 
 
-def candidates(members: DataFrame, tasks: int) -> DataFrame:
-    """a, b: pairs of groups that share a token among those of which every partner of a class must have one.
+HOMES = "cls long, comp long, n long, tokens binary, grp long"
 
-    Tokens are in order of the logarithm of how often a cell of their hash occurs among the classes, then of the hash:
-    one order for all documents, with frequent tokens last. Groups whose sizes cannot meet are no pair.
-    """
+
+def in_groups(members: DataFrame, levels) -> DataFrame:
+    """members with the group that each class lives in: by the smallest hash of its most frequent tokens (those of the two
+    highest levels), which an edit seldom makes, so similar classes share it whether linked or not. Large groups are split."""
     spark = members.sparkSession
-    levels = spark.sparkContext.broadcast(np.log2(np.maximum(counted(members, lambda b: unpacked(b.column("tokens"))[0]), 1)).astype(np.uint8))
-    row_type = np.dtype([("token", np.uint64), ("comp", np.int64), ("low", np.int32), ("high", np.int32)])
-    buckets = 8 * tasks
 
-    def combined(rows: np.ndarray) -> np.ndarray:
-        """One row for a token and group, with the least and largest size."""
-        rows = rows[np.lexsort((rows["comp"], rows["token"]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["comp"][1:] != rows["comp"][:-1])
-        at = np.flatnonzero(new)
-        out = rows[at].copy()
-        if len(rows):
-            out["low"], out["high"] = np.minimum.reduceat(rows["low"], at), np.maximum.reduceat(rows["high"], at)
-        return out
+    def key(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        level = levels.value[(tokens >> u64(64 - LEVEL_BITS)).astype(np.int64)]
+        top = np.maximum.reduceat(level, at[:-1])
+        often = level + 1 >= np.repeat(top, np.diff(at))
+        return np.minimum.reduceat(np.where(often, mixed(tokens * u64(0xA24BAED4963EE407)), u64(-1)), at[:-1])
+
+    counts = shared(spark, counted(members, lambda b: mixed(key(*unpacked(b.column("tokens"))))))
+
+    def house(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                g = key(*unpacked(batch.column("tokens")))
+                split = 1 + counts.value[(mixed(g) >> u64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64) // u64(SPLIT)
+                part = mixed(batch.column("cls").to_numpy().view(np.uint64) + u64(1)) % split
+                yield batch_of(HOMES, [*(batch.column(c) for c in ("cls", "comp", "n", "tokens")), mixed(g + mixed(part)).view(np.int64)])
+
+    return members.select("cls", "comp", "n", "tokens").mapInArrow(house, HOMES)
+
+
+ENTRY = np.dtype([("token", np.uint64), ("grp", np.int64), ("cls", np.int64), ("comp", np.int64), ("n", np.int32)])
+
+
+def visits(homes: DataFrame, levels, tasks: int) -> DataFrame:
+    """cls, grp: the groups other than its own that share a token with a class among those of which partners must share one.
+
+    These tokens are the first of the class in an order that is the same for all documents: by level, so that frequent ones
+    come last, and then by hash. A group whose classes with the token are all linked to the visitor already, or cannot be
+    of its size, is not visited.
+    """
+    buckets = 8 * tasks
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held, number = levels.value, [], 0
+        held, number = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            rows = combined(np.concatenate(held)) if held else np.zeros(0, row_type)
+            rows = np.sort(np.concatenate(held), order="token") if held else np.zeros(0, ENTRY)
             held.clear()
             bounds = np.searchsorted((rows["token"] >> u64(32)).astype(np.int64) * buckets >> 32, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(bounds))
@@ -252,13 +306,14 @@ def candidates(members: DataFrame, tasks: int) -> DataFrame:
             tokens, at = unpacked(batch.column("tokens"))
             n, size = batch.column("n").to_numpy(), np.diff(at)
             row = np.repeat(np.arange(len(n)), size)
-            order = np.lexsort((tokens, level[(tokens >> u64(64 - LEVEL_BITS)).astype(np.int64)], row))
+            order = np.lexsort((tokens, levels.value[(tokens >> u64(64 - LEVEL_BITS)).astype(np.int64)], row))
             # Shingles of one document only come first in the order; the prefix goes on after them.
             prefix = size - -(-4 * n // 5) + 1
             kept = order[(np.arange(len(tokens)) - at[row]) < prefix[row]]
-            rows = np.zeros(len(kept), row_type)
-            rows["token"], rows["comp"] = tokens[kept], batch.column("comp").to_numpy()[row[kept]]
-            rows["low"] = rows["high"] = n[row[kept]]
+            rows = np.zeros(len(kept), ENTRY)
+            rows["token"] = tokens[kept]
+            for c in ("grp", "cls", "comp", "n"):
+                rows[c] = batch.column(c).to_numpy()[row[kept]]
             held.append(rows)
             number += len(rows)
             if number >= PART // 4:
@@ -266,85 +321,131 @@ def candidates(members: DataFrame, tasks: int) -> DataFrame:
                 number = 0
         yield from send()
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [np.frombuffer(x, row_type) for batch in batches for x in batch.column("rows").to_pylist()]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column("rows").to_pylist()]
         if not raw:
             return
-        rows = combined(np.concatenate(raw))
-        bounds = np.flatnonzero(np.diff(rows["token"], prepend=~rows["token"][:1], append=~rows["token"][-1:]))
-        size = np.diff(bounds)
-        held, number, sent = [], 0, set()
-        for k in np.flatnonzero(size > 1):
-            own = rows[bounds[k] : bounds[k + 1]]
-            for j in range(len(own) - 1):
-                x, rest = own[j], own[j + 1 :]
-                fits = rest["comp"][(5 * rest["high"].astype(np.int64) >= 4 * int(x["low"])) & (4 * rest["low"].astype(np.int64) <= 5 * int(x["high"]))]
-                held.append(np.stack([np.full(len(fits), x["comp"]), fits]))
-                number += len(fits)
-            if number > 1 << 20:
-                found = np.unique(np.concatenate(held, 1), axis=1)
-                held, number = [found], 0
-                if found.shape[1] > 1 << 19:
-                    yield batch_of("a long, b long", [found[0], found[1]])
-                    held = []
-        if held:
+        rows = np.concatenate(raw)
+        rows = rows[np.lexsort((rows["grp"], rows["token"]))]
+        # The matrix: for each token the groups that have it, with the span of their classes' sizes and components.
+        token = np.diff(rows["token"], prepend=~rows["token"][:1]) != 0
+        head = np.flatnonzero(token | (np.diff(rows["grp"], prepend=~rows["grp"][:1]) != 0))
+        low, high = np.minimum.reduceat(rows["n"], head), np.maximum.reduceat(rows["n"], head)
+        least, most = np.minimum.reduceat(rows["comp"], head), np.maximum.reduceat(rows["comp"], head)
+        begin = np.append(np.flatnonzero(token), len(rows))
+        first = np.searchsorted(head, begin)
+        held, number = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
             found = np.unique(np.concatenate(held, 1), axis=1)
-            yield batch_of("a long, b long", [found[0], found[1]])
+            held.clear()
+            yield batch_of("cls long, grp long", [found[0], found[1]])
+
+        for k in np.flatnonzero(np.diff(first) > 1):
+            own = rows[begin[k] : begin[k + 1]]
+            for j in range(first[k], first[k + 1]):
+                ok = (own["grp"] != rows["grp"][head[j]]) & ((own["comp"] != least[j]) | (own["comp"] != most[j]))
+                ok &= (5 * high[j].astype(np.int64) >= 4 * own["n"]) & (4 * low[j].astype(np.int64) <= 5 * own["n"].astype(np.int64))
+                guests = own["cls"][ok]
+                if len(guests):
+                    held.append(np.stack([guests, np.full(len(guests), rows["grp"][head[j]])]))
+                    number += len(guests)
+            if number > 1 << 21:
+                yield from send()
+                number = 0
+        if held:
+            yield from send()
 
-    posted = members.select("comp", "n", "tokens").mapInArrow(post, "bucket int, rows binary")
-    return posted.repartition(tasks, "bucket").mapInArrow(pair, "a long, b long").distinct()
+    posted = homes.mapInArrow(post, "bucket int, rows binary")
+    return posted.repartition(tasks, "bucket").mapInArrow(meet, "cls long, grp long").distinct()
 
 
-def opened(members: DataFrame, pairs: DataFrame, tasks: int) -> DataFrame:
-    """u, v: pairs of groups between which there is a link."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    a, b = sizes.select(F.col("comp").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("comp").alias("b"), F.col("size").alias("size_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    larger = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    visits = stored(both.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("guest"), F.greatest("size_a", "size_b").alias("size")), "visits")
-    split = (1 + F.col("size") / SPLIT).cast("int")
-    hosts = visits.select(F.col("host").alias("comp"), "size").distinct()
-    home = members.join(hosts, "comp").select(F.col("comp").alias("host"), F.pmod(F.xxhash64("cls"), split).cast("int").alias("part"), F.lit(None).cast("long").alias("guest"), "cls", "n", "tokens")
-    guests = members.join(visits, members["comp"] == visits["guest"]).select("host", F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), "guest", "cls", "n", "tokens")
+class Sets:
+    """Disjoint sets of components, as far as one task knows."""
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, index, done = None, [], None, set()
-        for batch in batches:
-            u, v = [], []
-            for host, part, guest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "guest", "n", "tokens")), strict=True):
-                if (host, part) != key:
-                    key, own, index, done = (host, part), [], None, set()
-                tokens = np.frombuffer(raw, np.uint64)
-                if guest is None:  # members come before guests
-                    own.append((n, tokens))
-                    continue
-                if guest in done or not own:
-                    continue
-                if index is None:  # the group's column of the matrix: its union of tokens, and who has each of them
-                    all_, who = np.concatenate([t for _, t in own]), np.repeat(np.arange(len(own)), [len(t) for _, t in own])
-                    order = np.argsort(all_, kind="stable")
-                    union, first = np.unique(all_[order], return_index=True)
-                    index = union, np.append(first, len(all_)), who[order], np.array([m for m, _ in own])
-                union, first, who, sizes_ = index
-                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                hit = at[union[at] == tokens]
-                if 5 * len(hit) < 4 * n:  # no member can share enough
-                    continue
-                length = first[hit + 1] - first[hit]
-                spread = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                inter = np.bincount(who[spread], minlength=len(sizes_))
-                if similar(inter, sizes_, n).any():
-                    done.add(guest)
-                    u.append(host)
-                    v.append(guest)
-            if u:
-                yield batch_of("u long, v long", [u, v])
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.top(x), self.top(y)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class Group:
+    """The members of a group, the union of their tokens, and who has each of them."""
 
-    rows = home.unionByName(guests).repartition(tasks, "host", "part").sortWithinPartitions("host", "part", F.col("guest").asc_nulls_first(), "cls")
-    return rows.mapInArrow(visit, "u long, v long")
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.comps, self.sizes = [c for c, _, _ in members], np.array([n for _, n, _ in members])
+        all_, who = np.concatenate([t for _, _, t in members]), np.repeat(np.arange(len(members)), [len(t) for _, _, t in members])
+        order = np.argsort(all_, kind="stable")
+        self.union, first = np.unique(all_[order], return_index=True)
+        self.first, self.who = np.append(first, len(all_)), who[order]
 
+    def partners(self, n: int, tokens: np.ndarray) -> np.ndarray:
+        """Members that link with a set; none is looked at if the union holds too few of its tokens."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        hit = at[self.union[at] == tokens]
+        if 5 * len(hit) < 4 * n:
+            return np.zeros(0, np.int64)
+        length = self.first[hit + 1] - self.first[hit]
+        spread = np.repeat(self.first[hit] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return np.flatnonzero(similar(np.bincount(self.who[spread], minlength=len(self.sizes)), self.sizes, n))
 
-def link_components(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFrame:
+
+def opened(homes: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+    """u, v: links between components, as many as are needed to connect those that a task sees linked."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, group, sets_ = None, [], None, Sets()
+        out: list[tuple[int, int]] = []
+
+        def settle(comp: int, n: int, tokens: np.ndarray) -> None:
+            for k in group.partners(n, tokens):
+                if sets_.join(comp, group.comps[k]):
+                    out.append((comp, group.comps[k]))
+
+        def gather() -> Group:
+            nonlocal group
+            group = Group(members)
+            for x in members:
+                if len({sets_.top(c) for c in group.comps}) == 1:
+                    break
+                settle(*x)
+            return group
+
+        for batch in batches:
+            for grp, guest, comp, n, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "guest", "comp", "n", "tokens")), strict=True):
+                if grp != key:
+                    if len(members) > 1 and group is None:
+                        gather()
+                    key, members, group, sets_ = grp, [], None, Sets()
+                tokens = np.frombuffer(raw, np.uint64)
+                if not guest:  # members come first
+                    members.append((comp, n, tokens))
+                elif members:
+                    group or gather()
+                    settle(comp, n, tokens)
+            if out:
+                yield batch_of("u long, v long", list(zip(*out, strict=True)))
+                out.clear()
+        if len(members) > 1 and group is None:
+            gather()
+        if out:
+            yield batch_of("u long, v long", list(zip(*out, strict=True)))
+
+    home = homes.select("grp", F.lit(0).alias("guest"), "comp", "n", "tokens", "cls")
+    guests = homes.drop("grp").join(found, "cls").select("grp", F.lit(1).alias("guest"), "comp", "n", "tokens", "cls")
+    return home.unionByName(guests).repartition(tasks, "grp").sortWithinPartitions("grp", "guest", "cls").mapInArrow(visit, "u long, v long")
+
+
+def link_components(docs: DataFrame, depth: int = 2, bits: int = 27) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
 
     A-Z in lower case; words are runs of characters other than space and tab to carriage return. The set of a document
@@ -356,9 +457,11 @@ def link_components(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFram
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bit = spark.sparkContext.broadcast(gathered(merged(sketched(docs, depth, bits), tasks), depth, bits))
-    rows = stored(sets(docs, bit, depth, bits), "sets")
-    now = stored(led(rows.where("tokens IS NOT NULL").select("cls", "n", "tokens"), 0, tasks), "led")
+    before = given()
+    bit = shared(spark, gathered(merged(sketched(docs.select("text"), shingles_of, depth, bits), tasks), depth, bits))
+    rows = stored(sets(docs, bit, bits), "sets")
+    classes = stored(refined(rows.where("tokens IS NOT NULL").select("cls", "n", "tokens"), depth, bits, tasks), "classes")
+    now = stored(led(classes, 0, tasks), "led")
     members = now
     label = now.select("cls", F.col("lead").alias("comp"))
     for turn in range(1, ROUNDS):
@@ -366,15 +469,18 @@ def link_components(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFram
         moved = now.where("lead <> cls").select(F.col("cls").alias("comp"), "lead")
         label = label.join(moved, "comp", "left").select("cls", F.coalesce("lead", "comp").alias("comp"))
     label = stored(label, "groups")
-    members = stored(members.select("cls", "n", "tokens").join(label, "cls"), "members")
-    links = opened(members, candidates(members, tasks), tasks)
+    members = members.select("cls", "n", "tokens").join(label, "cls")
+    levels = shared(spark, np.log2(np.maximum(counted(members, lambda b: unpacked(b.column("tokens"))[0]), 1)).astype(np.uint8))
+    homes = stored(in_groups(members, levels), "homes")
+    links = opened(homes, visits(homes, levels, tasks), tasks)
     joined = components(links)
+    release(before)  # all that used them is written
     final = label.join(joined, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("label", "comp").alias("comp"))
     # Rows of a class are spread over runs, so that a class of very many copies never meets in one task.
     run = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(tasks)).alias("run")
     alive = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls", run)
     leaf = alive.groupBy("cls", "run").agg(F.min("doc_id").alias("least"))
-    least = leaf.groupBy("cls").agg(F.min("least").alias("least")).join(final, "cls")
+    least = leaf.groupBy("cls").agg(F.min("least").alias("least")).join(final, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     of_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     down = leaf.select("cls", "run").join(least.select("cls", "comp").join(of_comp, "comp").select("cls", "component_id"), "cls")
     linked = alive.join(down, ["cls", "run"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -382,7 +488,7 @@ def link_components(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFram
     return linked.unionByName(alone)
 
 
-def representatives(docs: DataFrame, depth: int = 2, bits: int = 28) -> DataFrame:
+def representatives(docs: DataFrame, depth: int = 2, bits: int = 27) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id, with all their columns."""
     gone = link_components(docs, depth, bits).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
