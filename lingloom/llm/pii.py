@@ -352,12 +352,10 @@ def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> Iterator
         order = lo + np.argsort(-size[lo : lo + 512], kind="stable")
         b, s, k = begin[order], size[order], skip[order]
         got = field.decode(padded(shape, b, s, bounds[text_of[order]], bounds[text_of[order] + 1]), s)
-        # A block decides from its overlap on; the next block overwrites its last tokens, as its own first ones are left.
+        # Each block writes the tokens it decides and no others: those after its overlap, and its last ones only at the end of its text.
+        decided = s - np.where(b + s < bounds[text_of[order] + 1], OVERLAP, 0)
         for row_k in np.flatnonzero((got > 0).any(1)):
-            label[b[row_k] + k[row_k] : b[row_k] + s[row_k]] = got[row_k, k[row_k] : s[row_k]]
-        quiet = np.flatnonzero(~(got > 0).any(1) & (k > 0))
-        for row_k in quiet:
-            label[b[row_k] + k[row_k] : b[row_k] + s[row_k]] = 0
+            label[b[row_k] + k[row_k] : b[row_k] + decided[row_k]] = got[row_k, k[row_k] : decided[row_k]]
     heads = np.flatnonzero(label % 2 == 1)
     for h in heads:
         t = h + 1

@@ -184,6 +184,16 @@ def test_pii_field_adds_spans_of_long_texts(spark):
     assert spans[0].spans == f"email:{start}:{start + len('ann dot lee at example dot org')}" and spans[1].spans == ""
 
 
+@pytest.mark.parametrize("found", ["ann at example dot org", "ann (dot) lee (at) example7 (dot) foo (dot) org", "(555) 010-2030"])
+def test_pii_field_finds_a_span_at_every_place_of_a_long_text(found):
+    plain, size = ["plain", "words", "here", "today"] * 110, 420
+    texts = [" ".join([*plain[:k], "write to", found, "today", *plain[k:size]]) for k in range(size)]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    got = [(row, a - offsets[row], b - offsets[row]) for row, a, b, _ in pii.field_spans(pii.default_field(), np.frombuffer(b"".join(data), np.uint8), offsets)]
+    assert got == [(k, t.index(found), t.index(found) + len(found)) for k, t in enumerate(texts)]
+
+
 def test_token_counts_are_the_library_s(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
