@@ -1,10 +1,11 @@
-"""Benchmark decontamination by spaced seeds.
-
-A seed is a fixed mask over consecutive words; words under a 0 are ignored, so a substituted word there does not hide
-a copy. Seeds of the test items and of the training texts are hashed and joined: item seeds, in parts of a bounded
-number, go to all tasks as sorted arrays, and every part is one pass over the texts. Around a hit, text and item are
-laid against each other word by word: if some stretch of SPAN words (or the whole item, if it is shorter) has at
-least 80 % equal words, the text overlaps the item.
+"""Benchmark decontamination by seeds that lose nothing.
+
+A text overlaps an item if, laid against each other word by word, some stretch of SPAN words of the item (or the whole
+item, if it is shorter) has at least 80 % equal words. Such a stretch of 16 words has at most three other words, so four
+equal ones stand in a row: runs of four words are the seeds of an item. A shorter item may have e other words, and of its
+e + 1 pieces one is left whole: the pieces are its seeds. Seeds of the test items and of the training texts are hashed
+and joined: item seeds, in parts of a bounded number, go to all tasks as sorted arrays, and every part is one pass over
+the texts. What stands around a hit is then counted.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 
 from lingloom.llm.words import SLICE, Words, lowered, mixed, slices, u64, words
 
-MASKS = ("11111111", "110101101101", "111001011011", "101110011101")
+RUNS = (2, 3, 4)  # words of a seed
 SPAN = 16
 SHARE = 0.8
 LEAST = 5  # words; a shorter item would match ordinary text
 SEEDS = 1 << 21  # seeds of items that a pass takes: 64 MB at most with what goes with them
 FILTER_BITS = 22
+HITS = 1 << 15  # looked at together
 PUNCT = np.zeros(256, bool)
 PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -37,23 +39,36 @@ def spoken(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words(lowered(data[kept]), place[offsets])
 
 
-def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of the mask's seed at every place where it fits into its row."""
-    n, size = len(hashes), len(mask)
+def seeds(hashes: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every run of so many words that stays in its row."""
+    n = len(hashes)
     last = np.repeat(first[1:], np.diff(first))
-    at = np.flatnonzero(np.arange(n) + size <= last)
-    total = np.full(len(at), u64(int(mask, 2)))
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            total = mixed(total * u64(0x9FB21C651E98DF25) + hashes[at + k])
+    at = np.flatnonzero(np.arange(n) + run <= last)
+    total = np.full(len(at), u64(run))
+    for k in range(run):
+        total = mixed(total * u64(0x9FB21C651E98DF25) + hashes[at + k])
     return total, at
 
 
+def needed(size: int) -> int:
+    """Equal words that a stretch of that size needs."""
+    return next(n for n in range(size + 1) if n >= SHARE * size)
+
+
+def places(size: int) -> list[tuple[int, int]]:
+    """(run, place) of the seeds of an item of that many words; one of them is equal wherever the item overlaps."""
+    if size >= SPAN:
+        run = -(-needed(SPAN) // (SPAN - needed(SPAN) + 1))
+        return [(run, k) for k in range(size - run + 1)]
+    cuts = [size * k // (size - needed(size) + 1) for k in range(size - needed(size) + 2)]
+    return [(min(b - a, max(RUNS)), a) for a, b in zip(cuts, cuts[1:])]
+
+
 @dataclass
 class Part:
     """Seeds of some items, sorted: for each its item and place; and the words of the items."""
 
-    masks: list[str]
+    runs: list[int]
     key: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -71,11 +86,11 @@ def parts(benchmark: DataFrame) -> Iterator[Part]:
         h = spoken(raw, np.array([0, len(raw)])).hashes()
         if len(h) < LEAST:
             continue
-        if held and number + len(MASKS) * len(h) > SEEDS:
+        if held and number + len(RUNS) * len(h) > SEEDS:
             yield part_of(held)
             held, number = [], 0
         held.append((r["item_id"], h))
-        number += len(MASKS) * len(h)
+        number += len(RUNS) * len(h)
     if held:
         yield part_of(held)
 
@@ -84,23 +99,24 @@ def part_of(items: list[tuple[int, np.ndarray]]) -> Part:
     hashes = np.concatenate([h for _, h in items])
     first = np.concatenate([[0], np.cumsum([len(h) for _, h in items])])
     size = np.diff(first)
-    # An item too short for the masks is one seed of all its words.
-    short = sorted(set(size[size < max(map(len, MASKS))].tolist()))
-    masks = [*MASKS, *("1" * n for n in short if "1" * n not in MASKS)]
-    key, item, place = [], [], []
-    for mask in masks:
-        h, at = seeds(hashes, first, mask)
-        row = np.searchsorted(first, at, "right") - 1
-        ok = np.ones(len(at), bool) if mask in MASKS else size[row] == len(mask)
-        key.append(h[ok])
-        item.append(row[ok])
-        place.append(at[ok] - first[row[ok]])
+    key, item, place, runs = [], [], [], []
+    for run in RUNS:
+        own = {n: [k for r, k in places(n) if r == run] for n in set(size.tolist())}
+        row = np.repeat(np.arange(len(size)), [len(own[n]) for n in size.tolist()])
+        if not len(row):
+            continue
+        at = np.concatenate([np.array(own[n], np.int64) for n in size.tolist()])
+        h, word = seeds(hashes, first, run)
+        key.append(h[np.searchsorted(word, first[row] + at)])
+        item.append(row)
+        place.append(at)
+        runs.append(run)
     key, item, place = np.concatenate(key), np.concatenate(item), np.concatenate(place)
     order = np.argsort(key, kind="stable")
     key = key[order]
     flags = np.zeros(1 << FILTER_BITS, bool)
     flags[(key >> u64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Part(masks, key, item[order].astype(np.int32), place[order].astype(np.int32), hashes, first, np.array([i for i, _ in items], np.int64), flags)
+    return Part(runs, key, item[order].astype(np.int32), place[order].astype(np.int32), hashes, first, np.array([i for i, _ in items], np.int64), flags)
 
 
 def best_stretch(equal: np.ndarray, size: int) -> tuple[int, int]:
@@ -111,20 +127,37 @@ def best_stretch(equal: np.ndarray, size: int) -> tuple[int, int]:
     return int(sums[k]), k
 
 
+def likely(part: Part, hashes: np.ndarray, first: np.ndarray, word: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Row, item, and place of the item's start among the words, once each, of those hits around which enough words are equal."""
+    item, place = part.item[entry], part.place[entry].astype(np.int64)
+    row = np.searchsorted(first, word, "right") - 1
+    step = np.arange(2 - SPAN, SPAN)
+    at, other = place[:, None] + step, word[:, None] + step
+    size = np.diff(part.first)[item]
+    inside = (at >= 0) & (at < size[:, None]) & (other >= first[row][:, None]) & (other < first[row + 1][:, None])
+    equal = inside & (hashes[np.where(inside, other, 0)] == part.hashes[np.where(inside, at + part.first[item][:, None], 0)])
+    total = np.concatenate([np.zeros((len(word), 1), np.int64), np.cumsum(equal, 1)], 1)
+    # A shorter item lies within the steps as a whole.
+    most = np.where(size < SPAN, total[:, -1], (total[:, SPAN:] - total[:, :-SPAN]).max(1))
+    ok = most >= SHARE * np.minimum(size, SPAN)
+    return np.unique(np.stack([row[ok], item[ok], (word - place)[ok]]), axis=1)
+
+
 def hits(part: Part, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item id, first word of the text in the best stretch, words of the stretch, equal words), once for a row and item."""
     w = spoken(data, offsets)
     h = w.hashes()
     found = []
-    for mask in part.masks:
-        key, at = seeds(h, w.first, mask)
+    for run in part.runs:
+        key, at = seeds(h, w.first, run)
         maybe = np.flatnonzero(part.filter[(key >> u64(64 - FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(part.key, key[maybe], "left"), np.searchsorted(part.key, key[maybe], "right")
-        many = hi - lo
-        if many.any():
-            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            word = np.repeat(at[maybe], many)
-            found.append(np.stack([np.searchsorted(w.first, word, "right") - 1, part.item[entry], word - part.place[entry]]))
+        total = np.concatenate([[0], np.cumsum(hi - lo)])
+        for begin in range(0, int(total[-1]), HITS):
+            n = np.arange(begin, min(begin + HITS, int(total[-1])))
+            which = np.searchsorted(total, n, "right") - 1
+            entry = lo[which] + n - total[which]
+            found.append(likely(part, h, w.first, at[maybe][which], entry))
     if not found:
         return []
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}

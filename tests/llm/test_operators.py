@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -271,6 +272,48 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame(spark, []), bench).collect() == [] and decontaminate.overlaps(docs, bench.limit(0)).collect() == []
 
 
+def texts_of(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
+
+
+def part_of(items):
+    return decontaminate.part_of([(k, decontaminate.spoken(*texts_of([t])).hashes()) for k, t in items])
+
+
+@pytest.mark.parametrize("size", range(5, 19))
+def test_decontamination_finds_every_pattern_of_substitutions(size):
+    item = [f"w{k}" for k in range(size)]
+    whole = min(size, 16)
+    for other in range(whole - -(-8 * whole // 10) + 1):
+        patterns = [(lead, gone) for lead in range(size - whole + 1) for gone in combinations(range(whole), other)]
+        # Words of the item outside the stretch are others as well.
+        texts = [" ".join(["a", "b", *(w if lead <= k < lead + whole and k - lead not in gone else "x" for k, w in enumerate(item)), "c"]) for lead, gone in patterns]
+        found = {x[0] for x in decontaminate.hits(part_of([(1, " ".join(item))]), *texts_of(texts))}
+        assert found == set(range(len(texts))), (other, [patterns[k] for k in set(range(len(texts))) - found][:5])
+
+
+def test_decontamination_is_brute_force():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for k in range(60)]
+    texts = []
+    for _ in range(150):
+        copy = [w if rng.random() < rng.choice([0.7, 0.8, 0.9]) else rng.choice(words) for w in rng.choice(items)[1].split()]
+        texts.append(" ".join([*(rng.choice(words) for _ in range(20)), *copy, *(rng.choice(words) for _ in range(20))]))
+
+    def overlap(text, item):
+        size = min(16, len(item))
+        for start in range(-len(item), len(text)):
+            same = [0 <= start + k < len(text) and text[start + k] == w for k, w in enumerate(item)]
+            if any(5 * sum(same[k : k + size]) >= 4 * size for k in range(len(item) - size + 1) if 0 <= start + k <= len(text) - size):
+                return True
+        return False
+
+    got = [x[:2] for x in decontaminate.hits(part_of(items), *texts_of(texts))]
+    assert sorted(got) == [(k, i) for k, t in enumerate(texts) for i, x in items if overlap(t.split(), x.split())]
+
+
 def test_decontamination_in_parts_is_the_same(spark, monkeypatch):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
