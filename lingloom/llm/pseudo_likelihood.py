@@ -1,13 +1,16 @@
 """Masked pseudo-likelihood of texts under a bidirectional window network.
 
-Words belong to 256 classes: the most frequent words of the corpus are a class each, all others share classes by a hash.
-A small network (embeddings of the two words before and after, a hidden layer, a softmax over classes) predicts every
-word from both sides; the share of a word in its class completes its conditional log-probability. The sum over a text is
-its score.
-
-Both parts are gathered from all documents: word counts in a table of hashed cells (of fixed size), and the weights: each
-task trains from a common start on every word of its documents, and the weights are averaged by words trained on. The
-start is trained on the driver on a bounded sample.
+The network predicts every word from both sides, and its vocabulary grows with the corpus: every word that occurs more
+than once is its own, as target and as context. Words that occur once are one entry, which each has an equal share of.
+
+The output layer is a hierarchical softmax. Its first step is a softmax over 256 classes: the most frequent words are a
+class each, the others fall into the rest by their hash. The words of a class are the leaves of a binary tree, split by
+their counts; every node of it has weights, and starts from the counts of its sides. The probabilities of all words add
+up to one. The hidden layer sees the classes of the two words before and after, by place, and a vector of each word.
+
+All parts are gathered from all documents: exact counts of words (by 64-bit hashes) in a shuffle, and the weights: each
+task trains from a common start on every word of its documents, and the weights are averaged by words trained on, those
+of a node or word by the words that met it. The start of the classes is trained on the driver on a bounded sample.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,10 @@ from lingloom.llm.words import SLICE, lowered, slices, u64, words
 
 CLASSES = 256
 FREQUENT = 160
-CELL_BITS = 18
+SHARDS = 1024  # of hashes
+ROWS = 1 << 14  # nodes or words of which weights travel together
+ROW_RATE = 0.05
+CHUNK = 8 * 1024  # words whose paths are found together
 HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
 BATCH = 1024
@@ -34,59 +40,121 @@ LANES = 64
 PART = 1 << 25  # words after which a task sends weights
 
 
-def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> u64(64 - CELL_BITS)).astype(np.int64)
+def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts (A-Z in lower case), and the index of each text's first word."""
+    w = words(lowered(data), offsets)
+    return w.hashes(), w.first
 
 
-def word_cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each word of the texts (A-Z in lower case), and the index of each text's first word."""
-    w = words(lowered(data), offsets)
-    return cell_of(w.hashes()), w.first
+def summed(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, and the sum of its numbers."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(number[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """Words of the corpus in each cell."""
-    shard = 12
+def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes, in order, and numbers of the words that occur more than once; and how many words occur once."""
+    names = ["shard", "hashes", "counts", "once"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+
+        def send() -> pa.RecordBatch:
+            h, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+            cut = np.searchsorted(h >> u64(54), np.arange(SHARDS + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (h, n)), pa.array([0] * len(used), pa.int64())], names)
+
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
-                total += np.bincount(word_cells(data, offsets)[0], minlength=1 << CELL_BITS)
-        parts = total.reshape(-1, 1 << shard)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["shard", "counts"])
+                h, _ = hashes_of(data, offsets)
+                held.append(summed(h, np.ones(len(h), np.int64)))
+                size += len(held[-1][0])
+                if size > 1 << 21:
+                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = 0
+                    if len(held[0][0]) > 1 << 21:
+                        yield send()
+                        held = held[:0] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        yield send()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        held: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                total[r["shard"]] = total.get(r["shard"], 0) + np.frombuffer(r["counts"], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["shard", "counts"])
+                held.setdefault(r["shard"], []).append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)))
+        for shard in held:
+            h, n = summed(*map(np.concatenate, zip(*held[shard], strict=True)))
+            more = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x[more].tobytes()], pa.binary()) for x in (h, n)), pa.array([int((~more).sum())], pa.int64())], names)
 
-    out = np.zeros((1 << CELL_BITS - shard, 1 << shard), np.int64)
-    schema = "shard int, counts binary"
-    for r in docs.select("text").mapInArrow(count, schema).repartition(1 << CELL_BITS - shard, "shard").mapInArrow(add, schema).collect():
-        out[r["shard"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+    schema = "shard int, hashes binary, counts binary, once long"
+    got = sorted(docs.select("text").mapInArrow(count, schema).repartition("shard").mapInArrow(add, schema).collect(), key=lambda r: r["shard"])
+    h, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in got)]) for name, kind in (("hashes", np.uint64), ("counts", np.int64)))
+    return h, n, sum(r["once"] for r in got)
 
 
 @dataclass
 class Vocabulary:
-    """Class of each cell, and the log of the share of the cell in its class."""
-
-    of_cell: np.ndarray
-    share: np.ndarray
+    """Words by their hashes, in order, and one entry more for those that occur once; of each its class and leaf.
 
+    A node of the trees has the number of the first leaf of its right side. links has, for each node, the nodes on its left
+    and right, and at the end the highest node of each class; -1 stands for a leaf. prior has the log odds of right.
+    """
 
-def vocabulary(number: np.ndarray) -> Vocabulary:
-    cells = np.arange(1 << CELL_BITS)
-    of_cell = (FREQUENT + (cells * 2654435761 >> 7) % (CLASSES - FREQUENT)).astype(np.int16)
-    frequent = np.lexsort((cells, -number))[:FREQUENT]
-    of_cell[frequent] = np.arange(FREQUENT)
-    smooth = number + 0.5
-    total = np.bincount(of_cell, smooth, CLASSES)
-    return Vocabulary(of_cell, np.log(smooth / total[of_cell]).astype(np.float32))
+    hashes: np.ndarray
+    once: int
+    of_word: np.ndarray
+    leaf: np.ndarray
+    links: np.ndarray
+    prior: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(self.hashes)
+        at = np.searchsorted(self.hashes, hashes)
+        if n:
+            at[self.hashes[np.minimum(at, n - 1)] != hashes] = n
+        return at.astype(np.int32)
+
+    def paths(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which word, node, whether right) for all nodes above the leaves of these words."""
+        leaf, which = self.leaf[found], np.arange(len(found), dtype=np.int32)
+        node = self.links[len(self.links) - CLASSES + self.of_word[found].astype(np.int64)]
+        out = [(which[:0], node[:0], np.zeros(0, bool))]
+        while True:
+            on = np.flatnonzero(node >= 0)
+            if not len(on):
+                return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            which, node = which[on], node[on]
+            right = leaf[which] >= node
+            out.append((which, node, right))
+            node = self.links[2 * node + right]
+
+
+def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
+    n = len(hashes)
+    of_word = np.append(FREQUENT + ((hashes >> u64(32)) * u64(CLASSES - FREQUENT) >> u64(32)).astype(np.int16), np.int16(FREQUENT)).astype(np.int16)
+    frequent = np.lexsort((hashes, -number))[:FREQUENT]
+    of_word[frequent] = np.arange(len(frequent))
+    order = np.argsort(of_word[: n + (once > 0)], kind="stable")
+    leaf = np.zeros(n + 1, np.int32)
+    leaf[order] = np.arange(len(order))
+    total = np.concatenate([[0], np.cumsum(np.append(number, once)[order])])
+    m = n + 1
+    links, prior = np.full(2 * m + CLASSES, -1, np.int32), np.zeros(m, np.float32)
+    bounds = np.searchsorted(of_word[order], np.arange(CLASSES + 1))
+    lo, hi, slot = bounds[:-1], bounds[1:], 2 * m + np.arange(CLASSES)
+    while True:
+        on = hi - lo > 1
+        lo, hi, slot = lo[on], hi[on], slot[on]
+        if not len(lo):
+            return Vocabulary(hashes, once, of_word, leaf, links, prior)
+        mid = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
+        prior[mid] = np.log((total[hi] - total[mid]) / (total[mid] - total[lo]))
+        links[slot] = mid
+        lo, hi, slot = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([2 * mid, 2 * mid + 1])
 
 
 class Network:
@@ -102,9 +170,9 @@ class Network:
         bias = np.log((number + 1) / (number.sum() + len(number)))
         return Network([x.astype(np.float32) for x in (rng.normal(0, 0.2, (len(AROUND), CLASSES + 1, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.2, (HIDDEN, CLASSES)), bias)])
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
+    def hidden(self, around: np.ndarray, more: np.ndarray | float = 0) -> np.ndarray:
         embed, inner = self.weights[:2]
-        return np.tanh(inner + sum(embed[k][around[:, k]] for k in range(len(AROUND))))
+        return np.tanh(inner + sum(embed[k][around[:, k]] for k in range(len(AROUND))) + more)
 
     def exponentials(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the scores of all classes, less a bound of theirs where they could grow too large, in the one buffer; and their sums."""
@@ -116,13 +184,16 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """For at most BATCH words."""
-        z, total = self.exponentials(self.hidden(around))
+        return self.of_hidden(self.hidden(around), target)
+
+    def of_hidden(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        z, total = self.exponentials(h)
         return np.log(np.maximum(z[np.arange(len(z)), target], np.float32(1e-30)) / total)
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One gradient step on the mean loss of at most BATCH words."""
+    def train(self, around: np.ndarray, target: np.ndarray, rate: float, more: np.ndarray | float = 0) -> np.ndarray:
+        """One gradient step on the mean loss of at most BATCH words; returns the gradient of each word's loss before the hidden layer."""
         embed, inner, layer, bias = self.weights
-        h = self.hidden(around)
+        h = self.hidden(around, more)
         z, total = self.exponentials(h)
         step = np.float32(rate / len(z))
         z *= (step / total)[:, None]
@@ -137,12 +208,52 @@ class Network:
             own = around[order, k]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             embed[k][own[first]] -= np.add.reduceat(back[order], first)
+        return back / step
+
 
+class Rows:
+    """A vector for each node or word, and how many words have met it."""
 
-def context(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes around each word [word, place]; NONE beyond its text."""
+    def __init__(self, size: int):
+        self.vectors, self.met = np.zeros((size, HIDDEN), np.float32), np.zeros(size, np.int32)
+
+    def move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """One step against the gradients of these rows, shorter for each where a row occurs often."""
+        if not len(rows):
+            return
+        order = np.argsort(rows)
+        own = rows[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        number = np.diff(first, append=len(own))
+        self.vectors[own[first]] -= np.add.reduceat(gradient[order], first) * (ROW_RATE / np.sqrt(number, dtype=np.float32))[:, None]
+        self.met[own[first]] += number.astype(np.int32)
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        """Rows that were met, in shards: their number, places, times met and vectors."""
+        for lo in range(0, len(self.met), ROWS):
+            used = np.flatnonzero(self.met[lo : lo + ROWS])
+            if len(used):
+                yield lo // ROWS, pack(used, self.met[lo + used], self.vectors[lo + used])
+
+
+def pack(at: np.ndarray, met: np.ndarray, vectors: np.ndarray) -> bytes:
+    return at.astype(np.int16).tobytes() + met.astype(np.int64).tobytes() + vectors.astype(np.float16).tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // (10 + 2 * HIDDEN)
+    return np.frombuffer(data, np.int16, n).astype(np.int64), np.frombuffer(data, np.int64, n, 2 * n), np.frombuffer(data, np.float16, n * HIDDEN, 10 * n).reshape(n, HIDDEN)
+
+
+def seen(vectors: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of the words around, each turned by its place."""
+    return sum(np.roll(vectors[around[:, k]].astype(np.float32), 4 * k, 1) for k in range(len(AROUND)))
+
+
+def context(classes: np.ndarray, first: np.ndarray, none: int = NONE) -> np.ndarray:
+    """Classes (or words) around each word [word, place]; none beyond its text."""
     n = len(classes)
-    out = np.full((n, len(AROUND)), NONE, np.int16)
+    out = np.full((n, len(AROUND)), none, classes.dtype)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.arange(n)
     for k, step in enumerate(AROUND):
@@ -161,8 +272,8 @@ def start_network(docs: DataFrame, vocab: Vocabulary, bound: int) -> Network:
     texts = sorted(r["text"] for r in docs.select("text").where(F.col("text").isNotNull() & (draw < min(1.0, bound / max(1, number)))).limit(2 * bound).collect())
     classes, around = [], []
     for _, _, data, offsets in slices(pa.array(texts, pa.string()), SLICE):
-        cells, first = word_cells(data, offsets)
-        classes.append(vocab.of_cell[cells])
+        h, first = hashes_of(data, offsets)
+        classes.append(vocab.of_word[vocab.find(h)])
         around.append(context(classes[-1], first))
     classes, around = np.concatenate([np.zeros(0, np.int16), *classes]), np.concatenate([np.zeros((0, len(AROUND)), np.int16), *around])
     net = Network.start(np.bincount(classes, minlength=CLASSES))
@@ -174,52 +285,93 @@ def start_network(docs: DataFrame, vocab: Vocabulary, bound: int) -> Network:
     return net
 
 
-def averaged(docs: DataFrame, vocab: Vocabulary, start: Network) -> Network:
-    """The mean of the weights that tasks reach on all words of their documents, by the number of words."""
+def averaged(docs: DataFrame, shared: Broadcast, start: Network, size: int) -> tuple[Network, np.ndarray, np.ndarray]:
+    """The mean of the weights that tasks reach on all words of their documents, by the number of words; and the vectors of nodes and of words."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab.of_cell, [w.copy() for w in start.weights]))
+    begin = spark.sparkContext.broadcast([w.copy() for w in start.weights])
     shapes = [w.shape for w in start.weights]
+    shards = -(-size // ROWS)
+    names = ["k", "lane", "number", "weights"]
+
+    def sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_cell, weights = shared.value
-        net, number = Network([w.copy() for w in weights]), 0
+        vocab, weights = shared.value, begin.value
+        net, nodes, context_, number = Network([w.copy() for w in weights]), Rows(size), Rows(size), 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             lane = TaskContext.get().partitionId() % LANES
-            return pa.RecordBatch.from_arrays([pa.array(range(len(shapes)), pa.int32()), pa.array([lane] * len(shapes), pa.int32()), pa.array([number] * len(shapes), pa.int64()), pa.array([(w.astype(np.float64) * number).tobytes() for w in net.weights], pa.binary())], ["k", "lane", "number", "weights"])
+            yield sent([(k, lane, number, (w.astype(np.float64) * number).tobytes()) for k, w in enumerate(net.weights)])
+            for k, rows in enumerate((nodes, context_)):
+                for shard, data in rows.packed():
+                    yield sent([(len(shapes) + k * shards + shard, 0, 0, data)])
 
         rng = np.random.default_rng(19)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
-                cells, first = word_cells(data, offsets)
-                classes = of_cell[cells]
-                around = context(classes, first)
+                h, first = hashes_of(data, offsets)
+                found = vocab.find(h)
+                classes = vocab.of_word[found]
+                around, near = context(classes, first), context(found, first, size - 1)
                 order = rng.permutation(len(classes))
-                for lo in range(0, len(order), BATCH):
-                    part = order[lo : lo + BATCH]
-                    net.train(around[part], classes[part], 0.2 * RATE * len(part) / BATCH)
+                for begin_ in range(0, len(order), CHUNK):
+                    chunk = order[begin_ : begin_ + CHUNK]
+                    for lo in range(0, len(chunk), BATCH):
+                        part = chunk[lo : lo + BATCH]
+                        back = net.train(around[part], classes[part], 0.2 * RATE * len(part) / BATCH, seen(context_.vectors, near[part]))
+                        context_.move(near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))]))
+                        context_.vectors[-1] = 0
+                    hidden = net.hidden(around[chunk], seen(context_.vectors, near[chunk]))
+                    which, node, right = vocab.paths(found[chunk])
+                    own = hidden[which]
+                    z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors[node])
+                    own *= (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right).astype(np.float32)[:, None]
+                    nodes.move(node, own)
                 number += len(classes)
                 if number >= PART:
-                    yield send()
-                    net, number = Network([w.copy() for w in weights]), 0
+                    yield from send()
+                    net, nodes, context_, number = Network([w.copy() for w in weights]), Rows(size), Rows(size), 0
         if number:
-            yield send()
+            yield from send()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                old = total.get(r["k"], [0, 0])
-                total[r["k"]] = [old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.float64)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["k", "lane", "number", "weights"])
+                if r["k"] < len(shapes):
+                    old = total.get(r["k"], [0, 0])
+                    total[r["k"]] = [old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.float64)]
+                else:
+                    met, vectors = total.setdefault(r["k"], [np.zeros(ROWS, np.int64), np.zeros((ROWS, HIDDEN))])
+                    at, n, v = unpacked(r["weights"])
+                    met[at] += n
+                    vectors[at] += v.astype(np.float64) * n[:, None]
+        for k, (n, x) in total.items():
+            if k >= len(shapes):
+                used = np.flatnonzero(n)
+                yield sent([(k, 0, 0, pack(used, n[used], x[used] / n[used][:, None]))])
+            else:
+                yield sent([(k, 0, n, x.tobytes())])
 
     schema = "k int, lane int, number long, weights binary"
     weights = [w.copy() for w in start.weights]
-    # Tasks' weights meet in lanes first, so that the last sum has at most LANES rows for each array, however many tasks there are.
-    lanes = docs.select("text").mapInArrow(learn, schema).repartition(LANES, "k", "lane").mapInArrow(add, schema)
-    for r in lanes.repartition(len(shapes), "k").mapInArrow(add, schema).collect():
-        weights[r["k"]] = (np.frombuffer(r["weights"], np.float64) / r["number"]).astype(np.float32).reshape(shapes[r["k"]])
-    return Network(weights)
+    rows = np.zeros((2, shards * ROWS, HIDDEN), np.float16)
+    dense = [0] * len(shapes)
+    # Tasks' weights meet in lanes; of each array as many rows as lanes are left, of the rows of nodes and words one each.
+    for r in docs.select("text").mapInArrow(learn, schema).repartition(LANES, "k", "lane").mapInArrow(add, schema).toLocalIterator():
+        if r["k"] < len(shapes):
+            dense[r["k"]] = dense[r["k"]] + np.append(np.frombuffer(r["weights"], np.float64), r["number"])
+        else:
+            k, shard = divmod(r["k"] - len(shapes), shards)
+            at, _, v = unpacked(r["weights"])
+            rows[k, shard * ROWS + at] = v
+    for k, x in enumerate(dense):
+        if not np.isscalar(x):
+            weights[k] = (x[:-1] / x[-1]).astype(np.float32).reshape(shapes[k])
+    begin.destroy()
+    return Network(weights), rows[0, :size], rows[1, :size]
 
 
 def score(docs: DataFrame, start_documents: int = 400) -> DataFrame:
@@ -230,22 +382,34 @@ def score(docs: DataFrame, start_documents: int = 400) -> DataFrame:
     text of one word is scored without context. Repeated rows give repeated rows and count as often in training; a null
     doc_id is carried through; other columns are ignored; an empty table gives an empty result.
     """
-    vocab = vocabulary(counts(docs))
-    net = averaged(docs, vocab, start_network(docs, vocab, start_documents))
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net.weights))
+    context_of = docs.sparkSession.sparkContext
+    vocab = vocabulary(*counts(docs))
+    known = context_of.broadcast(vocab)
+    start = start_network(docs, vocab, start_documents)
+    size = len(vocab.hashes) + 2  # the last but one is of words that occur once, the last beyond the text
+    del vocab
+    net, *rows = averaged(docs, known, start, size)
+    shared = context_of.broadcast((net.weights, *rows))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, weights = shared.value
+        vocab, (weights, nodes, vectors) = known.value, shared.value
         net = Network(weights)
         for batch in batches:
             number, total = [np.zeros(0, np.int64)], [np.zeros(0)]
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
-                cells, first = word_cells(data, offsets)
-                classes = words_.of_cell[cells]
-                around = context(classes, first)
-                own = words_.share[cells].astype(np.float64)
-                for lo in range(0, len(own), BATCH):
-                    own[lo : lo + BATCH] += net.log_probabilities(around[lo : lo + BATCH], classes[lo : lo + BATCH])
+                h, first = hashes_of(data, offsets)
+                found = vocab.find(h)
+                classes = vocab.of_word[found]
+                around, near = context(classes, first), context(found, first, size - 1)
+                own = np.where(found == len(vocab.hashes), -np.log(max(vocab.once, 1)), 0.0)
+                for begin in range(0, len(own), CHUNK):
+                    chunk = slice(begin, begin + CHUNK)
+                    hidden = net.hidden(around[chunk], seen(vectors, near[chunk]))
+                    for lo in range(0, len(hidden), BATCH):
+                        own[begin + lo : begin + lo + BATCH][: len(hidden) - lo] += net.of_hidden(hidden[lo : lo + BATCH], classes[chunk][lo : lo + BATCH])
+                    which, node, right = vocab.paths(found[chunk])
+                    z = vocab.prior[node] + np.einsum("ij,ij->i", hidden[which], nodes[node].astype(np.float32))
+                    own[chunk] -= np.bincount(which, np.logaddexp(0, np.where(right, -z, z)), len(hidden))
                 sums = np.concatenate([[0.0], np.cumsum(own)])
                 number.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])

@@ -371,6 +371,47 @@ def test_pseudo_likelihood_is_a_distribution():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_pseudo_likelihood_counts_every_word(spark, corpus):
+    number = Counter(w for _, t in corpus for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    hashes, counts, once = pseudo_likelihood.counts(frame(spark, corpus).repartition(3))
+    assert sorted(counts) == sorted(n for n in number.values() if n > 1) and once == sum(n == 1 for n in number.values())
+    own, _ = pseudo_likelihood.hashes_of(*texts_of(list(number)))
+    assert dict(zip(hashes.tolist(), counts.tolist())) == {h: n for h, n in zip(own.tolist(), number.values()) if n > 1}
+
+
+def test_pseudo_likelihood_of_all_words_is_a_distribution():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    number = rng.integers(2, 1000, len(hashes))
+    vocab = pseudo_likelihood.vocabulary(hashes, number, 70)
+    found = np.arange(len(hashes) + 1, dtype=np.int32)
+    classes = vocab.of_word[found]
+    assert (vocab.find(hashes) == found[:-1]).all() and (vocab.find(hashes + np.uint64(1)) == len(hashes)).all()
+    which, node, right = vocab.paths(found)
+    counts = np.append(number, 70)
+    for scale in (0, 0.5):
+        z = vocab.prior[node] + scale * rng.normal(0, 1, len(hashes) + 2)[node]
+        inner = np.exp(-np.bincount(which, np.logaddexp(0, np.where(right, -z, z)), len(found)))
+        assert np.allclose(np.bincount(classes, inner), 1, atol=1e-4)
+        if not scale:
+            assert np.allclose(inner, counts / np.bincount(classes, counts)[classes], rtol=1e-3)
+
+
+def test_pseudo_likelihood_tells_rare_words_of_one_class_apart(spark):
+    """Two words of equal counts and one class, each with neighbours of its own: an exchange of them is less likely."""
+    rng = random.Random(10)
+    taken = [f"w{k}" for k in range(3000)]
+    own, _ = pseudo_likelihood.hashes_of(*texts_of(taken))
+    high = [int(h >> np.uint64(32)) * 96 >> 32 for h in own]
+    a, b = [w for w, c in zip(taken, high, strict=True) if c == 5][:2]
+    often = [f"v{k}" for k in range(170)]
+    rows = [(k, " ".join([*rng.choices(often, k=6), *(["left", a, "side"] if k % 2 else ["right", b, "end"]), *rng.choices(often, k=6)])) for k in range(4000) if k % 20 < 2]
+    rows += [(10000 + k, " ".join(rng.choices(often, k=60))) for k in range(600)]
+    swapped = [(20000 + i, t.replace(f" {a} ", " # ").replace(f" {b} ", f" {a} ").replace(" # ", f" {b} ")) for i, t in rows[:40]]
+    got = rows_of(pseudo_likelihood.score(frame(spark, rows + swapped)))
+    assert np.mean([got[i].log_likelihood - got[20000 + i].log_likelihood for i, _ in rows[:40]]) > 0.1
+
+
 def test_components_of_long_chain(spark):
     from lingloom.llm.components import components as connected
 
