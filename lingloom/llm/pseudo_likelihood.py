@@ -172,7 +172,7 @@ class Network:
 
     def hidden(self, around: np.ndarray, more: np.ndarray | float = 0) -> np.ndarray:
         embed, inner = self.weights[:2]
-        return np.tanh(inner + sum(embed[k][around[:, k]] for k in range(len(AROUND))) + more)
+        return np.tanh(inner + sum(embed[k].take(around[:, k], 0) for k in range(len(AROUND))) + more)
 
     def exponentials(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the scores of all classes, less a bound of theirs where they could grow too large, in the one buffer; and their sums."""
@@ -190,8 +190,8 @@ class Network:
         z, total = self.exponentials(h)
         return np.log(np.maximum(z[np.arange(len(z)), target], np.float32(1e-30)) / total)
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float, more: np.ndarray | float = 0) -> np.ndarray:
-        """One gradient step on the mean loss of at most BATCH words; returns the gradient of each word's loss before the hidden layer."""
+    def train(self, around: np.ndarray, target: np.ndarray, rate: float, more: np.ndarray | float = 0) -> tuple[np.ndarray, np.ndarray]:
+        """One gradient step on the mean loss of at most BATCH words; returns the hidden layer, and the gradient of each word's loss before it."""
         embed, inner, layer, bias = self.weights
         h = self.hidden(around, more)
         z, total = self.exponentials(h)
@@ -207,8 +207,8 @@ class Network:
             order = np.argsort(around[:, k], kind="stable")
             own = around[order, k]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            embed[k][own[first]] -= np.add.reduceat(back[order], first)
-        return back / step
+            embed[k][own[first]] -= np.add.reduceat(back.take(order, 0), first)
+        return h, back / step
 
 
 class Rows:
@@ -225,7 +225,7 @@ class Rows:
         own = rows[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         number = np.diff(first, append=len(own))
-        self.vectors[own[first]] -= np.add.reduceat(gradient[order], first) * (ROW_RATE / np.sqrt(number, dtype=np.float32))[:, None]
+        self.vectors[own[first]] -= np.add.reduceat(gradient.take(order, 0), first) * (ROW_RATE / np.sqrt(number, dtype=np.float32))[:, None]
         self.met[own[first]] += number.astype(np.int32)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
@@ -247,7 +247,12 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def seen(vectors: np.ndarray, around: np.ndarray) -> np.ndarray:
     """The sum of the vectors of the words around, each turned by its place."""
-    return sum(np.roll(vectors[around[:, k]].astype(np.float32), 4 * k, 1) for k in range(len(AROUND)))
+    out = vectors.take(around[:, 0], 0).astype(np.float32)
+    for k in range(1, len(AROUND)):
+        v = vectors.take(around[:, k], 0)
+        out[:, 4 * k :] += v[:, : HIDDEN - 4 * k]
+        out[:, : 4 * k] += v[:, HIDDEN - 4 * k :]
+    return out
 
 
 def context(classes: np.ndarray, first: np.ndarray, none: int = NONE) -> np.ndarray:
@@ -318,15 +323,15 @@ def averaged(docs: DataFrame, shared: Broadcast, start: Network, size: int) -> t
                 order = rng.permutation(len(classes))
                 for begin_ in range(0, len(order), CHUNK):
                     chunk = order[begin_ : begin_ + CHUNK]
+                    hidden = np.empty((len(chunk), HIDDEN), np.float32)
                     for lo in range(0, len(chunk), BATCH):
                         part = chunk[lo : lo + BATCH]
-                        back = net.train(around[part], classes[part], 0.2 * RATE * len(part) / BATCH, seen(context_.vectors, near[part]))
+                        hidden[lo : lo + BATCH], back = net.train(around[part], classes[part], 0.2 * RATE * len(part) / BATCH, seen(context_.vectors, near[part]))
                         context_.move(near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))]))
                         context_.vectors[-1] = 0
-                    hidden = net.hidden(around[chunk], seen(context_.vectors, near[chunk]))
                     which, node, right = vocab.paths(found[chunk])
-                    own = hidden[which]
-                    z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors[node])
+                    own = hidden.take(which, 0)
+                    z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors.take(node, 0))
                     own *= (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right).astype(np.float32)[:, None]
                     nodes.move(node, own)
                 number += len(classes)
@@ -408,7 +413,7 @@ def score(docs: DataFrame, start_documents: int = 400) -> DataFrame:
                     for lo in range(0, len(hidden), BATCH):
                         own[begin + lo : begin + lo + BATCH][: len(hidden) - lo] += net.of_hidden(hidden[lo : lo + BATCH], classes[chunk][lo : lo + BATCH])
                     which, node, right = vocab.paths(found[chunk])
-                    z = vocab.prior[node] + np.einsum("ij,ij->i", hidden[which], nodes[node].astype(np.float32))
+                    z = vocab.prior[node] + np.einsum("ij,ij->i", hidden.take(which, 0), nodes.take(node, 0).astype(np.float32))
                     own[chunk] -= np.bincount(which, np.logaddexp(0, np.where(right, -z, z)), len(hidden))
                 sums = np.concatenate([[0.0], np.cumsum(own)])
                 number.append(np.diff(first))
