@@ -1,40 +1,48 @@
 """Links between documents of similar word shingles, by a token-group matrix.
 
-1. A count-min sketch of fixed size (as in substring_dedup) tells which shingles may occur in two documents. A document
-   with fewer than 0.8 of its shingles among them has no partner and goes no further; of the others only these
-   shingles and the true size of the set are needed. Documents with equal sets are one class. A second sketch, of what
-   is left, does the same again.
+1. A document with fewer than 0.8 of its shingles in other documents has no partner. Shingles are hashed to cells, about
+   twenty times as many as there are shingles; a part of the texts sends each of its cells once, as sorted differences,
+   with the text whose only it is; the cells meet by ranges, and each text learns how many of its cells others have.
+   Nothing of that is held in one place, and cells in common by chance only let a document through.
+   Documents with equal sets are one class; the sets of classes that go on are found again from their texts.
 2. Classes are dealt to groups by a minimum hash; in a group each class joins the first leader that it is similar to.
    Leaders are dealt again by another hash, a few times. What comes out are groups of documents that verified links
    hold together; large hash groups are split, so none is gathered in one task.
    The leaders' links make components, which need no more comparing inside.
 3. Token-group matrix: classes are dealt to groups of similar ones by their most frequent shingles. The rarest shingles of
    every class (those that any partner must share at least one of) are stored with its group; a class visits every group
-   that has one of its own. So rows follow classes and groups, never pairs of classes.
+   of a greater number that has one of its own. So rows follow classes and groups, never pairs of classes.
 4. There the union of the group's tokens bounds the overlap of a visitor with any member; only if the bound allows 0.8
-   is the group opened and its members counted exactly. The links that connect components are kept.
+   is the group opened and its members counted exactly. The links that connect components are kept. The visitors of a
+   group of many are dealt over several tasks, each with the group's members.
 Steps 2 to 4 lose no link that matters for components: whatever step 2 misses, step 3 finds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingloom.llm.components import components
-from lingloom.llm.scratch import given, release, shared, stored
-from lingloom.llm.substring_dedup import PART, cells, gathered, merged, packed
+from lingloom.llm.scratch import Shared, dropped, stored
 from lingloom.llm.words import SLICE, lowered, mixed, sequences, slices, u64, words
 
 SHINGLE = 5
 ROUNDS = 3
 LEADERS = 48  # leaders of a hash group that a class is compared with; step 3 finds what this misses
 SPLIT = 1024  # classes of a group that one task takes
-LEVEL_BITS = 20
+VISITORS = 256  # of a group that one task takes
+LEVEL_BITS = 21  # cells of shingles, and of groups, whose counts all tasks know
+GROUP_BITS = 18
+PART = 1 << 21  # shingles that a task gathers before it sends their cells
+TEXTS = 1 << 16  # texts of a part
+RANGE = 1 << 20  # cells that meet at once, about
 
 
 def similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,100 +73,219 @@ def batch_of(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def sketched(frame: DataFrame, hashes, depth: int, bits: int) -> DataFrame:
-    """The parts of a sketch of the hashes that hashes(batch) yields, of a frame of one column."""
+TEXT = np.dtype([("doc_id", np.int64), ("known", bool), ("n", np.int64), ("cls", np.int64), ("rid", np.int64), ("at", np.int32), ("common", np.int32)])
+TEXT_ROWS, CELL_ROWS, COUNT_ROWS = range(3)
+PARTS = "kind int, spot long, part long, texts int, payload binary"
+ROWS = "doc_id long, n long, cls long, rid long, alive boolean"
+
+
+class Cells:
+    """Sorted cells of a range, packed as differences of 16 or 32 bits, each with the number of a text."""
+
+    def __init__(self, size: int, tasks: int):
+        """For that many bytes of text: as many cells as three times that, and ranges for all tasks."""
+        self.bits = max(16, math.ceil(math.log2(3 * size + 1)))
+        least = math.ceil(math.log2(max(8 * tasks, size // 6 // RANGE)))
+        self.ranges = 1 << min(least, 17, self.bits)
+        self.width = self.bits - min(least, 17, self.bits)
+        self.step = np.dtype(np.uint16 if (1 << self.bits) // PART < 1 << 15 else np.uint32)
+        self.most = np.iinfo(self.step).max
+
+    def marks(self, texts: int) -> tuple[np.dtype, int, int]:
+        """Type of the numbers of so many texts, and the numbers that stand for several texts and for a mere step."""
+        kind = np.dtype(np.uint16 if texts < 65534 else np.uint32)
+        return kind, np.iinfo(kind).max, np.iinfo(kind).max - 1
+
+    def packed(self, cell: np.ndarray, text: np.ndarray, texts: int) -> Iterator[tuple[int, bytes]]:
+        """(range, payload) of cells in order, each once; text -1: several have it."""
+        kind, several, skip = self.marks(texts)
+        which = cell >> self.width
+        head = np.diff(which, prepend=-1) > 0
+        gap = np.where(head, cell - (which << self.width), np.diff(cell, prepend=0))
+        steps = gap // self.most
+        last = np.cumsum(steps + 1) - 1
+        step, name = np.full(last[-1] + 1 if len(last) else 0, self.most, self.step), np.full(last[-1] + 1 if len(last) else 0, skip, kind)
+        step[last], name[last] = gap % self.most, np.where(text < 0, several, text)
+        heads = np.flatnonzero(head)
+        lo, hi = (last - steps)[heads], np.append((last - steps)[heads[1:]], len(step))
+        for k, a, b in zip(heads, lo, hi, strict=True):
+            yield int(which[k]), step[a:b].tobytes() + name[a:b].tobytes()
+
+    def unpacked(self, which: int, texts: int, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        kind, several, skip = self.marks(texts)
+        n = len(payload) // (self.step.itemsize + kind.itemsize)
+        cell = (which << self.width) + np.cumsum(np.frombuffer(payload, self.step, n), dtype=np.int64)
+        name = np.frombuffer(payload, kind, n, n * self.step.itemsize)
+        real = name != skip
+        return cell[real], np.where(name[real] == several, -1, name[real].astype(np.int64))
+
+
+def part_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for lo in range(0, len(rows), 256):
+        columns = zip(*rows[lo : lo + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal sorted keys begins, and one more."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+
+
+def classed(docs: DataFrame, tasks: int) -> DataFrame:
+    """doc_id, size, class, row key of every row, and alive for one row at least of each class that may have a partner."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    space = Cells(size, tasks)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(depth)]
-        number = 0
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, texts, used, number, parts = [], [], 0, 0, 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            for row in range(depth):
-                out = list(packed(held[row], row)) if held[row] else []
-                held[row].clear()
-                for lo in range(0, len(out), 2048):
-                    yield batch_of("row int, shard int, low binary, again binary", list(zip(*out[lo : lo + 2048], strict=True)))
+            nonlocal used, number, parts
+            part = TaskContext.get().partitionId() << 32 | parts
+            cell, text = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+            own = np.concatenate(texts)
+            order = np.argsort(cell, kind="stable")
+            cell, text = cell[order], text[order]
+            begin = runs(cell)
+            alone = np.diff(begin) == 1
+            common = np.bincount(text[~np.repeat(alone, np.diff(begin))], minlength=used)
+            own["common"] = np.where(own["at"] < 0, 0, common[own["at"]] if used else 0)
+            yield from part_rows([(TEXT_ROWS, -1 - part % 1009, part, used, own.tobytes())])
+            begin = begin[:-1]
+            yield from part_rows([(CELL_ROWS, k, part, used, x) for k, x in space.packed(cell[begin], np.where(alone, text[begin], -1), used)])
+            held.clear(), texts.clear()
+            used, number, parts = 0, 0, parts + 1
 
         for batch in batches:
-            for h in hashes(batch) if batch.num_rows else ():
-                for row, cell in enumerate(cells(h, depth, bits)):
-                    held[row].append(cell)
-                number += len(h)
-                if number >= PART:
+            ids, rids = batch.column("doc_id"), batch.column("rid").to_numpy()
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy()
+            for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
+                row, h = shingles(data, offsets)
+                n = np.bincount(row, minlength=hi - lo)
+                cls = class_hashes(row, h, n)
+                first = np.zeros(hi - lo, bool)
+                for k in np.flatnonzero(n):
+                    if int(cls[k]) not in seen:
+                        if len(seen) > 1 << 18:
+                            seen.clear()
+                        seen.add(int(cls[k]))
+                        first[k] = True
+                own = np.zeros(hi - lo, TEXT)
+                own["doc_id"], own["known"], own["n"], own["cls"], own["rid"] = ids[lo:hi], known[lo:hi], n, cls, rids[lo:hi]
+                own["at"] = np.where(first, used + np.cumsum(first) - 1, -1)
+                mine = first[row]
+                held.append(((h[mine] >> u64(64 - space.bits)).astype(np.int64), own["at"][row[mine]].astype(np.int64)))
+                texts.append(own)
+                used, number = used + int(first.sum()), number + len(held[-1][0])
+                if number >= PART or used >= TEXTS - 1024 or sum(map(len, texts)) >= 4 * TEXTS:
                     yield from send()
-                    number = 0
-        yield from send()
+        if texts:
+            yield from send()
 
-    return frame.mapInArrow(sketch, "row int, shard int, low binary, again binary")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, counts = None, [], {}
+
+        def settle() -> None:
+            cell, text = (np.concatenate(x) for x in zip(*((c, t) for _, _, c, t in held), strict=True))
+            which = np.repeat(np.arange(len(held)), [len(c) for _, _, c, _ in held])
+            order = np.argsort(cell, kind="stable")
+            size = np.diff(runs(cell[order]))
+            found = order[np.repeat(size > 1, size)]
+            found = found[text[found] >= 0]
+            found = found[np.argsort(which[found], kind="stable")]
+            begin = runs(which[found])
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                part, texts = held[which[found[a]]][:2]
+                counts.setdefault(part, [texts, 0])[1] += np.bincount(text[found[a:b]], minlength=texts).astype(np.int32)
+            held.clear()
 
+        def send() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for part, (texts, number) in counts.items():
+                at = np.flatnonzero(number)
+                rows.append((COUNT_ROWS, 0, part, texts, at.astype(np.int32).tobytes() + number[at].astype(np.int32).tobytes()))
+            counts.clear()
+            yield from part_rows(rows)
 
-def shingles_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in slices(batch.column("text"), SLICE):
-        yield shingles(data, offsets)[1]
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == TEXT_ROWS:
+                    yield from part_rows([tuple(r.values())])
+                    continue
+                if r["spot"] != now and held:
+                    settle()
+                    if sum(x for x, _ in counts.values()) > 1 << 22:
+                        yield from send()
+                now = r["spot"]
+                held.append((r["part"], r["texts"], *space.unpacked(now, r["texts"], r["payload"])))
+        if held:
+            settle()
+        yield from send()
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, counts = None, [], []
 
-def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield unpacked(batch.column("tokens"))[0]
+        def result() -> pa.RecordBatch:
+            rows = np.concatenate(own)
+            common = np.zeros(int(rows["at"].max(initial=0)) + 1, np.int64)
+            for at, number in counts:
+                np.add.at(common, at, number)
+            total = rows["common"] + np.where(rows["at"] < 0, 0, common[rows["at"]])
+            alive = (rows["at"] >= 0) & (5 * total >= 4 * rows["n"])
+            columns = [pa.array(rows["doc_id"], mask=~rows["known"]), pa.array(rows["n"]), pa.array(rows["cls"], mask=rows["n"] == 0), pa.array(rows["rid"]), pa.array(alive)]
+            own.clear(), counts.clear()
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
 
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != now and own:
+                    yield result()
+                now = r["part"]
+                if r["kind"] == TEXT_ROWS:
+                    own.append(np.frombuffer(r["payload"], TEXT))
+                else:
+                    both = np.frombuffer(r["payload"], np.int32)
+                    counts.append((both[: len(both) // 2], both[len(both) // 2 :]))
+        if own:
+            yield result()
 
-def often(bit: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which hashes the sketch estimates to occur twice or more."""
-    ok = np.ones(len(hashes), bool)
-    for row, cell in enumerate(cells(hashes, len(bit), bits)):
-        ok &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-    return ok
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rid"), "text")
+    met = texts.mapInArrow(find, PARTS).repartition(max(tasks, space.ranges // 8), "spot").sortWithinPartitions("spot").mapInArrow(meet, PARTS)
+    return met.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(judge, ROWS)
 
 
-def refined(classes: DataFrame, depth: int, bits: int, tasks: int) -> DataFrame:
-    """classes(cls, n, tokens) by a second sketch, of their own tokens: without tokens that no other class has, and without
-    classes that have too few others. The first sketch holds the whole corpus and lets more through the larger that is."""
-    bit = shared(classes.sparkSession, gathered(merged(sketched(classes.select("tokens"), tokens_of, depth, bits), tasks), depth, bits))
+def row_key():
+    """Tells rows apart unless they are equal in id and text."""
+    return F.xxhash64("doc_id", "text")
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                tokens, at = unpacked(batch.column("tokens"))
-                ok = often(bit.value, tokens, bits)
-                left = np.diff(np.concatenate([[0], np.cumsum(ok)])[at])
-                alive = np.flatnonzero(5 * left >= 4 * batch.column("n").to_numpy())
-                part = batch.take(pa.array(alive))
-                yield batch_of("cls long, n long, tokens binary", [part.column("cls"), part.column("n"), [tokens[at[k] : at[k + 1]][ok[at[k] : at[k + 1]]].tobytes() for k in alive]])
 
-    return classes.mapInArrow(refine, "cls long, n long, tokens binary")
+def class_hashes(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each row's set of shingles, which are given by row and hash."""
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(len(h)) - bounds[row]
+    sums = np.concatenate([[u64(0)], np.cumsum(mixed(h + mixed(place.astype(np.uint64))))])
+    return mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-SETS = "doc_id long, n long, cls long, tokens binary"
+CLASSES = "cls long, n long, tokens binary"
 
 
-def sets(docs: DataFrame, sketch, bits: int) -> DataFrame:
-    """doc_id, size, class of every row; tokens (packed shingles that may occur elsewhere) once for a class in a task."""
+def token_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, n, tokens (all shingles, packed, in order) of classes that go on, from the texts of some rows of theirs."""
+    picked = rows.where("alive").groupBy("cls").agg(F.min("rid").alias("rid")).select("rid")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, seen = sketch.value, set()
         for batch in batches:
-            ids = batch.column("doc_id")
             for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
                 row, h = shingles(data, offsets)
-                ok = often(bit, h, bits)
-                rows = hi - lo
-                n = np.bincount(row, minlength=rows)
-                shared = np.bincount(row, ok, rows).astype(np.int64)
-                alive = (n > 0) & (5 * shared >= 4 * n)
-                bounds = np.searchsorted(row, np.arange(rows + 1))
-                place = np.arange(len(h)) - bounds[row]
-                sums = np.concatenate([[u64(0)], np.cumsum(mixed(h + mixed(place.astype(np.uint64))))])
-                cls = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
-                tokens: list[bytes | None] = [None] * rows
-                for k in np.flatnonzero(alive):
-                    if int(cls[k]) not in seen:
-                        if len(seen) > 1 << 18:
-                            seen.clear()
-                        seen.add(int(cls[k]))
-                        a, b = bounds[k], bounds[k + 1]
-                        tokens[k] = h[a:b][ok[a:b]].tobytes()
-                yield batch_of(SETS, [ids.slice(lo, rows), n, pa.array(cls, mask=~alive), tokens])
+                n = np.bincount(row, minlength=hi - lo)
+                bounds, some = np.concatenate([[0], np.cumsum(n)]), np.flatnonzero(n)
+                yield batch_of(CLASSES, [class_hashes(row, h, n)[some], n[some], [h[bounds[k] : bounds[k + 1]].tobytes() for k in some]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, SETS)
+    return docs.select(row_key().alias("rid"), "text").join(picked, "rid", "left_semi").select("text").mapInArrow(find, CLASSES)
 
 
 def group_hashes(tokens: np.ndarray, starts: np.ndarray, turn: int) -> np.ndarray:
@@ -174,28 +301,39 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), np.uint64), (offsets - offsets[0]) // 8
 
 
-def counted(frame: DataFrame, hashes, bits: int = LEVEL_BITS) -> np.ndarray:
-    """How many hashes of the rows fall into each of 2**bits cells: a table of fixed size."""
-    shard = min(bits, 16)
+def counted(frame: DataFrame, hashes, bits: int = GROUP_BITS) -> np.ndarray:
+    """How many hashes of the rows fall into each of 2**bits cells: a table of fixed size. A task's count of a cell stops at 65535."""
+    shards = 8
+    width = (1 << bits) // shards
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount((hashes(batch).view(np.uint64) >> u64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        parts = total.astype(np.uint32).reshape(-1, 1 << shard)
-        used = np.flatnonzero(parts.any(1))
-        yield batch_of("shard int, counts binary", [used, [parts[k].tobytes() for k in used]])
+                total += np.bincount((hashes(batch).view(np.uint64) >> u64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+        total = np.minimum(total, 65535).astype(np.uint16)
+        for k in range(shards):
+            own = total[k * width : (k + 1) * width]
+            used = np.flatnonzero(own)
+            if 3 * len(used) < width:  # places and counts are shorter than all counts
+                yield batch_of("shard int, places int, counts binary", [[k], [len(used)], [used.astype(np.uint32).tobytes() + own[used].tobytes()]])
+            else:
+                yield batch_of("shard int, places int, counts binary", [[k], [-1], [own.tobytes()]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                total[r["shard"]] = total.get(r["shard"], 0) + np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-        yield batch_of("shard int, counts binary", [list(total), [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()]])
+            for shard, places, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "places", "counts")), strict=True):
+                own = total.setdefault(shard, np.zeros(width, np.int64))
+                if places < 0:
+                    own += np.frombuffer(raw, np.uint16)
+                else:
+                    own[np.frombuffer(raw, np.uint32, places)] += np.frombuffer(raw, np.uint16, places, 4 * places)
+        yield batch_of("shard int, places int, counts binary", [list(total), [-1] * len(total), [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()]])
 
-    out = np.zeros((1 << bits - shard, 1 << shard), np.uint32)
-    for r in frame.mapInArrow(count, "shard int, counts binary").repartition(1 << bits - shard, "shard").mapInArrow(add, "shard int, counts binary").collect():
+    schema = "shard int, places int, counts binary"
+    out = np.zeros((shards, width), np.uint32)
+    for r in frame.mapInArrow(count, schema).repartition(shards, "shard").mapInArrow(add, schema).collect():
         out[r["shard"]] = np.frombuffer(r["counts"], np.uint32)
     return out.ravel()
 
@@ -203,13 +341,17 @@ def counted(frame: DataFrame, hashes, bits: int = LEVEL_BITS) -> np.ndarray:
 LED = "cls long, n long, tokens binary, lead long"
 
 
-def led(classes: DataFrame, turn: int, tasks: int) -> DataFrame:
+def led(classes: DataFrame, turn: int, tasks: int, given: Shared) -> DataFrame:
     """cls, n, tokens, lead: classes (each once) and the leader that a verified link joins them to, or themselves.
 
     A hash group of over SPLIT classes is split by class; those whose cell of the counts has one class stay apart.
     """
-    spark = classes.sparkSession
-    counts = shared(spark, counted(classes, lambda b: mixed(group_hashes(*(lambda t, s: (t, s[:-1]))(*unpacked(b.column("tokens"))), turn).view(np.uint64))))
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        tokens, at = unpacked(batch.column("tokens"))
+        return mixed(group_hashes(tokens, at[:-1], turn).view(np.uint64))
+
+    counts = given.give(counted(classes, keys))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = counts.value
@@ -217,7 +359,7 @@ def led(classes: DataFrame, turn: int, tasks: int) -> DataFrame:
             if batch.num_rows:
                 tokens, at = unpacked(batch.column("tokens"))
                 g = group_hashes(tokens, at[:-1], turn)
-                split = 1 + number[(mixed(g.view(np.uint64)) >> u64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.int64) // SPLIT
+                split = 1 + number[(mixed(g.view(np.uint64)) >> u64(64 - GROUP_BITS)).astype(np.int64)].astype(np.int64) // SPLIT
                 salt = (mixed(batch.column("cls").to_numpy().view(np.uint64)) % split.astype(np.uint64)).astype(np.int32)
                 yield batch_of("g long, salt int, cls long, n long, tokens binary", [g, salt, batch.column("cls"), batch.column("n"), batch.column("tokens")])
 
@@ -252,10 +394,9 @@ def led(classes: DataFrame, turn: int, tasks: int) -> DataFrame:
 HOMES = "cls long, comp long, n long, tokens binary, grp long"
 
 
-def in_groups(members: DataFrame, levels) -> DataFrame:
+def in_groups(members: DataFrame, levels, given: Shared) -> DataFrame:
     """members with the group that each class lives in: by the smallest hash of its most frequent tokens (those of the two
     highest levels), which an edit seldom makes, so similar classes share it whether linked or not. Large groups are split."""
-    spark = members.sparkSession
 
     def key(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         level = levels.value[(tokens >> u64(64 - LEVEL_BITS)).astype(np.int64)]
@@ -263,13 +404,13 @@ def in_groups(members: DataFrame, levels) -> DataFrame:
         often = level + 1 >= np.repeat(top, np.diff(at))
         return np.minimum.reduceat(np.where(often, mixed(tokens * u64(0xA24BAED4963EE407)), u64(-1)), at[:-1])
 
-    counts = shared(spark, counted(members, lambda b: mixed(key(*unpacked(b.column("tokens"))))))
+    counts = given.give(counted(members, lambda b: mixed(key(*unpacked(b.column("tokens"))))))
 
     def house(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 g = key(*unpacked(batch.column("tokens")))
-                split = 1 + counts.value[(mixed(g) >> u64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64) // u64(SPLIT)
+                split = 1 + counts.value[(mixed(g) >> u64(64 - GROUP_BITS)).astype(np.int64)].astype(np.uint64) // u64(SPLIT)
                 part = mixed(batch.column("cls").to_numpy().view(np.uint64) + u64(1)) % split
                 yield batch_of(HOMES, [*(batch.column(c) for c in ("cls", "comp", "n", "tokens")), mixed(g + mixed(part)).view(np.int64)])
 
@@ -280,7 +421,8 @@ ENTRY = np.dtype([("token", np.uint64), ("grp", np.int64), ("cls", np.int64), ("
 
 
 def visits(homes: DataFrame, levels, tasks: int) -> DataFrame:
-    """cls, grp: the groups other than its own that share a token with a class among those of which partners must share one.
+    """cls, grp: the groups of a greater number than its own that share a token with a class among those of which partners
+    must share one. So of two groups, the classes of one visit the other.
 
     These tokens are the first of the class in an order that is the same for all documents: by level, so that frequent ones
     come last, and then by hash. A group whose classes with the token are all linked to the visitor already, or cannot be
@@ -321,11 +463,8 @@ def visits(homes: DataFrame, levels, tasks: int) -> DataFrame:
                 number = 0
         yield from send()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column("rows").to_pylist()]
-        if not raw:
-            return
-        rows = np.concatenate(raw)
+    def met(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.frombuffer(x, ENTRY) for x in raw])
         rows = rows[np.lexsort((rows["grp"], rows["token"]))]
         # The matrix: for each token the groups that have it, with the span of their classes' sizes and components.
         token = np.diff(rows["token"], prepend=~rows["token"][:1]) != 0
@@ -344,7 +483,7 @@ def visits(homes: DataFrame, levels, tasks: int) -> DataFrame:
         for k in np.flatnonzero(np.diff(first) > 1):
             own = rows[begin[k] : begin[k + 1]]
             for j in range(first[k], first[k + 1]):
-                ok = (own["grp"] != rows["grp"][head[j]]) & ((own["comp"] != least[j]) | (own["comp"] != most[j]))
+                ok = (own["grp"] < rows["grp"][head[j]]) & ((own["comp"] != least[j]) | (own["comp"] != most[j]))
                 ok &= (5 * high[j].astype(np.int64) >= 4 * own["n"]) & (4 * low[j].astype(np.int64) <= 5 * own["n"].astype(np.int64))
                 guests = own["cls"][ok]
                 if len(guests):
@@ -356,8 +495,20 @@ def visits(homes: DataFrame, levels, tasks: int) -> DataFrame:
         if held:
             yield from send()
 
-    posted = homes.mapInArrow(post, "bucket int, rows binary")
-    return posted.repartition(tasks, "bucket").mapInArrow(meet, "cls long, grp long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, raw = None, []
+        for batch in batches:
+            for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if bucket != now and raw:
+                    yield from met(raw)
+                    raw.clear()
+                now = bucket
+                raw.append(rows)
+        if raw:
+            yield from met(raw)
+
+    posted = homes.mapInArrow(post, "bucket int, rows binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return posted.mapInArrow(meet, "cls long, grp long").distinct()
 
 
 class Sets:
@@ -399,11 +550,34 @@ class Group:
         return np.flatnonzero(similar(np.bincount(self.who[spread], minlength=len(self.sizes)), self.sizes, n))
 
 
-def opened(homes: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
-    """u, v: links between components, as many as are needed to connect those that a task sees linked."""
+def opened(homes: DataFrame, found: DataFrame, tasks: int, given: Shared) -> DataFrame:
+    """u, v: links between components, as many as are needed to connect those that a task sees linked.
+
+    The visitors of a group of many are dealt over tasks, and each of these has all the group's members.
+    """
+    counts = given.give(counted(found.select("grp"), lambda b: mixed(b.column("grp").to_numpy().view(np.uint64))))
+
+    def parts(grp: np.ndarray) -> np.ndarray:
+        return 1 + counts.value[(mixed(grp.view(np.uint64)) >> u64(64 - GROUP_BITS)).astype(np.int64)].astype(np.int64) // VISITORS
+
+    seats = "grp long, salt int, guest int, cls long, comp long, n long, tokens binary"
+
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = parts(batch.column("grp").to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), number)
+            salt = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+            for lo in range(0, len(row), 1024):
+                own = batch.take(pa.array(row[lo : lo + 1024]))
+                yield batch_of(seats, [own.column("grp"), salt[lo : lo + 1024].astype(np.int32), np.zeros(len(own), np.int32), *(own.column(c) for c in ("cls", "comp", "n", "tokens"))])
+
+    def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salt = mixed(batch.column("cls").to_numpy().view(np.uint64) + u64(5)) % parts(batch.column("grp").to_numpy()).astype(np.uint64)
+            yield batch_of(seats, [batch.column("grp"), salt.astype(np.int32), np.ones(len(batch), np.int32), *(batch.column(c) for c in ("cls", "comp", "n", "tokens"))])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, group, sets_ = None, [], None, Sets()
+        key, members, group, sets_, alone = None, [], None, Sets(), False
         out: list[tuple[int, int]] = []
 
         def settle(comp: int, n: int, tokens: np.ndarray) -> None:
@@ -414,18 +588,18 @@ def opened(homes: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
         def gather() -> Group:
             nonlocal group
             group = Group(members)
-            for x in members:
+            for x in members if alone else ():  # the first of the tasks of a group compares its members
                 if len({sets_.top(c) for c in group.comps}) == 1:
                     break
                 settle(*x)
             return group
 
         for batch in batches:
-            for grp, guest, comp, n, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "guest", "comp", "n", "tokens")), strict=True):
-                if grp != key:
+            for grp, salt, guest, comp, n, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "guest", "comp", "n", "tokens")), strict=True):
+                if (grp, salt) != key:
                     if len(members) > 1 and group is None:
                         gather()
-                    key, members, group, sets_ = grp, [], None, Sets()
+                    key, members, group, sets_, alone = (grp, salt), [], None, Sets(), salt == 0
                 tokens = np.frombuffer(raw, np.uint64)
                 if not guest:  # members come first
                     members.append((comp, n, tokens))
@@ -440,12 +614,13 @@ def opened(homes: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
         if out:
             yield batch_of("u long, v long", list(zip(*out, strict=True)))
 
-    home = homes.select("grp", F.lit(0).alias("guest"), "comp", "n", "tokens", "cls")
-    guests = homes.drop("grp").join(found, "cls").select("grp", F.lit(1).alias("guest"), "comp", "n", "tokens", "cls")
-    return home.unionByName(guests).repartition(tasks, "grp").sortWithinPartitions("grp", "guest", "cls").mapInArrow(visit, "u long, v long")
+    home = homes.select("cls", "comp", "n", "tokens", "grp").mapInArrow(hosts, seats)
+    visitors = homes.drop("grp").join(found, "cls").select("cls", "comp", "n", "tokens", "grp").mapInArrow(guests, seats)
+    seated = home.unionByName(visitors).repartition(tasks, "grp", "salt").sortWithinPartitions("grp", "salt", "guest", "cls")
+    return seated.mapInArrow(visit, "u long, v long")
 
 
-def link_components(docs: DataFrame, depth: int = 2, bits: int = 27) -> DataFrame:
+def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
 
     A-Z in lower case; words are runs of characters other than space and tab to carriage return. The set of a document
@@ -453,42 +628,54 @@ def link_components(docs: DataFrame, depth: int = 2, bits: int = 27) -> DataFram
     intersection >= 80 * union; component_id is the smallest doc_id that links reach. Null texts and texts without words
     have an empty set and are linked with nothing. doc_id is an integer; a row without one has a null component unless
     linked. Rows of one doc_id are documents that share it. Shingles and sets are compared by 64-bit hashes. Other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. docs is read twice and must give the same rows each time.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    before = given()
-    bit = shared(spark, gathered(merged(sketched(docs.select("text"), shingles_of, depth, bits), tasks), depth, bits))
-    rows = stored(sets(docs, bit, bits), "sets")
-    classes = stored(refined(rows.where("tokens IS NOT NULL").select("cls", "n", "tokens"), depth, bits, tasks), "classes")
-    now = stored(led(classes, 0, tasks), "led")
-    members = now
-    label = now.select("cls", F.col("lead").alias("comp"))
+    given = Shared(spark)
+    rows = stored(classed(docs, tasks), "rows")
+    sets = stored(token_sets(docs, rows), "sets")
+    first = now = stored(led(sets, 0, tasks, given), "led")
+    dropped(sets)
+    label, rounds = now.select("cls", F.col("lead").alias("comp")), []
     for turn in range(1, ROUNDS):
-        now = stored(led(now.where("lead = cls").select("cls", "n", "tokens"), turn, tasks), "led")
+        now = stored(led(now.where("lead = cls").select("cls", "n", "tokens"), turn, tasks, given), "led")
+        rounds.append(now)
         moved = now.where("lead <> cls").select(F.col("cls").alias("comp"), "lead")
         label = label.join(moved, "comp", "left").select("cls", F.coalesce("lead", "comp").alias("comp"))
     label = stored(label, "groups")
-    members = members.select("cls", "n", "tokens").join(label, "cls")
-    levels = shared(spark, np.log2(np.maximum(counted(members, lambda b: unpacked(b.column("tokens"))[0]), 1)).astype(np.uint8))
-    homes = stored(in_groups(members, levels), "homes")
-    links = opened(homes, visits(homes, levels, tasks), tasks)
-    joined = components(links)
-    release(before)  # all that used them is written
+    dropped(*rounds)
+    members = first.select("cls", "n", "tokens").join(label, "cls")
+    counts = counted(first.select("tokens"), lambda b: unpacked(b.column("tokens"))[0], LEVEL_BITS)
+    levels = given.give(np.log2(np.maximum(counts, 1)).astype(np.uint8))
+    homes = stored(in_groups(members, levels, given), "homes")
+    dropped(first)
+    found = stored(visits(homes, levels, tasks), "visits")
+    joined = components(opened(homes, found, tasks, given))
+    dropped(homes, found)
+    given.release()  # all that used them is written
     final = label.join(joined, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("label", "comp").alias("comp"))
     # Rows of a class are spread over runs, so that a class of very many copies never meets in one task.
     run = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(tasks)).alias("run")
-    alive = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls", run)
-    leaf = alive.groupBy("cls", "run").agg(F.min("doc_id").alias("least"))
+    some = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls", run)
+    leaf = some.groupBy("cls", "run").agg(F.min("doc_id").alias("least"))
     least = leaf.groupBy("cls").agg(F.min("least").alias("least")).join(final, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     of_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     down = leaf.select("cls", "run").join(least.select("cls", "comp").join(of_comp, "comp").select("cls", "component_id"), "cls")
-    linked = alive.join(down, ["cls", "run"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    linked = some.join(down, ["cls", "run"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(empty)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id, with all their columns.
+
+    Cases as in link_components(); of rows that share the smallest doc_id all stay.
+    """
+    gone = link_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*(docs[c] for c in quoted(docs)))
 
 
-def representatives(docs: DataFrame, depth: int = 2, bits: int = 27) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id, with all their columns."""
-    gone = link_components(docs, depth, bits).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def quoted(docs: DataFrame) -> list[str]:
+    """The names of the columns, fit for docs[...] whatever signs they have."""
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]

@@ -1,6 +1,7 @@
-"""Tables that cut lineage: written once to the shared folder that the cluster names, and read back.
+"""Tables that cut lineage, and values for all tasks; each call of an operator keeps its own, and takes them back.
 
-A written table survives the loss of executors, which cached or locally checkpointed blocks do not.
+A table is written once to the shared folder that the cluster names, and read back: it survives the loss of executors,
+which cached or locally checkpointed blocks do not.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ import uuid
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-_shared: list[Broadcast] = []
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,7 +20,8 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='lingloom-')}"
     spark.conf.set("spark.checkpoint.dir", own)
@@ -32,29 +33,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/lingloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
 
 
-def shared(spark: SparkSession, value: object) -> Broadcast:
-    """value for all tasks, until release()."""
-    _shared.append(spark.sparkContext.broadcast(value))
-    return _shared[-1]
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave; nothing that is still to be computed may need them."""
+    for table in tables:
+        found = _written.pop(id(table), None)
+        if found:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(conf).delete(path, True)
 
 
-def release(kept: int = 0) -> None:
-    """Takes back what shared() gave out, but for the first `kept`; nothing that is still to be computed may need it."""
-    while len(_shared) > kept:
-        _shared.pop().destroy()
+def sweep() -> None:
+    """Deletes the tables written so far; results that still read them must be saved first."""
+    dropped(*(table for table, _ in list(_written.values())))
 
 
-def given() -> int:
-    return len(_shared)
+class Shared:
+    """Values that one call gives to all tasks, and takes back when all that used them is written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.given = spark, []
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables written so far; results that still read them must be saved first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    def give(self, value: object) -> Broadcast:
+        self.given.append(self.spark.sparkContext.broadcast(value))
+        return self.given[-1]
+
+    def release(self) -> None:
+        while self.given:
+            self.given.pop().destroy()

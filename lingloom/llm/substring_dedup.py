@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.llm.scratch import given, release, shared, stored
+from lingloom.llm.scratch import Shared, stored
 from lingloom.llm.words import SLICE, SPACE, mixed, sequences, slices, u64, words
 
 WINDOW = 20
@@ -317,10 +317,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits:
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(bits, SHARD_BITS)
-    before = given()
-    sketch = shared(spark, gathered(merged(sketches(docs, window, depth, bits), tasks), depth, bits))
+    given = Shared(spark)
+    sketch = given.give(gathered(merged(sketches(docs, window, depth, bits), tasks), depth, bits))
     late = stored(late_places(places(docs, window, depth, bits, sketch, tasks), tasks), "late")
-    release(before)
+    given.release()
     rows = docs.select("doc_id", order_key().alias("ord"), row_key().alias("rid"), "text").join(late, ["ord", "rid"], "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
