@@ -1,11 +1,11 @@
-"""Benchmark decontamination by seeds that lose nothing.
+"""Benchmark decontamination by spaced seeds that lose nothing.
 
 A text overlaps an item if, laid against each other word by word, some stretch of SPAN words of the item (or the whole
-item, if it is shorter) has at least 80 % equal words. Such a stretch of 16 words has at most three other words, so four
-equal ones stand in a row: runs of four words are the seeds of an item. A shorter item may have e other words, and of its
-e + 1 pieces one is left whole: the pieces are its seeds. Seeds of the test items and of the training texts are hashed
-and joined: item seeds, in parts of a bounded number, go to all tasks as sorted arrays, and every part is one pass over
-the texts. What stands around a hit is then counted.
+item, if it is shorter) has at least 80 % equal words; words beyond the text's ends are not equal. A mask says which words
+of a run count and which are ignored. The masks of MASKS are chosen, by the size of the item, so that every way in which
+a fifth of the words may differ leaves one mask at one place with equal words only (tests go through all of them). Masked
+words of the test items and of the training texts are hashed and joined: item seeds, in parts of a bounded number, go to
+all tasks as sorted arrays, and every part is one pass over the texts. What stands around a hit is then counted.
 """
 
 from __future__ import annotations
@@ -19,12 +19,31 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingloom.llm.scratch import Shared, stored
 from lingloom.llm.words import SLICE, Words, lowered, mixed, slices, u64, words
 
-RUNS = (2, 3, 4)  # words of a seed
 SPAN = 16
 SHARE = 0.8
-LEAST = 5  # words; a shorter item would match ordinary text
+#: Masks for items of so many words (the last also for longer ones): 1 counts, 0 is ignored. Found by a search over all
+#: masks for few of many counted words that lose no pattern of substitutions.
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("111011", "110111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "101100111", "1111011"),
+    13: ("11101011", "110100111"),
+    14: ("11110111", "1110100111"),
+    15: ("1111011", "11001000111", "11010100011"),
+    16: ("11101011", "11001000111"),
+}
 SEEDS = 1 << 21  # seeds of items that a pass takes: 64 MB at most with what goes with them
 FILTER_BITS = 22
 HITS = 1 << 15  # looked at together
@@ -39,36 +58,27 @@ def spoken(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words(lowered(data[kept]), place[offsets])
 
 
-def seeds(hashes: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every run of so many words that stays in its row."""
+def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every run of the mask's length that stays in its row."""
     n = len(hashes)
     last = np.repeat(first[1:], np.diff(first))
-    at = np.flatnonzero(np.arange(n) + run <= last)
-    total = np.full(len(at), u64(run))
-    for k in range(run):
+    at = np.flatnonzero(np.arange(n) + len(mask) <= last)
+    total = np.full(len(at), u64(int("1" + mask, 2)))
+    for k in (k for k, sign in enumerate(mask) if sign == "1"):
         total = mixed(total * u64(0x9FB21C651E98DF25) + hashes[at + k])
     return total, at
 
 
-def needed(size: int) -> int:
-    """Equal words that a stretch of that size needs."""
-    return next(n for n in range(size + 1) if n >= SHARE * size)
-
-
-def places(size: int) -> list[tuple[int, int]]:
-    """(run, place) of the seeds of an item of that many words; one of them is equal wherever the item overlaps."""
-    if size >= SPAN:
-        run = -(-needed(SPAN) // (SPAN - needed(SPAN) + 1))
-        return [(run, k) for k in range(size - run + 1)]
-    cuts = [size * k // (size - needed(size) + 1) for k in range(size - needed(size) + 2)]
-    return [(min(b - a, max(RUNS)), a) for a, b in zip(cuts, cuts[1:])]
+def masks(size: int) -> tuple[str, ...]:
+    """The masks of an item of that many words."""
+    return MASKS[min(size, SPAN)]
 
 
 @dataclass
 class Part:
     """Seeds of some items, sorted: for each its item and place; and the words of the items."""
 
-    runs: list[int]
+    masks: list[str]
     key: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -79,18 +89,20 @@ class Part:
 
 
 def parts(benchmark: DataFrame) -> Iterator[Part]:
-    """Test items in parts of at most SEEDS seeds (an item of its own has a part)."""
+    """Test items in parts of at most SEEDS seeds (a longer item of its own has a part); the driver holds one part at a time."""
     held, number = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         h = spoken(raw, np.array([0, len(raw)])).hashes()
-        if len(h) < LEAST:
+        if not len(h):
             continue
-        if held and number + len(RUNS) * len(h) > SEEDS:
+        own = len(masks(len(h))) * len(h)
+        if held and number + own > SEEDS:
             yield part_of(held)
             held, number = [], 0
         held.append((r["item_id"], h))
-        number += len(RUNS) * len(h)
+        number += own
     if held:
         yield part_of(held)
 
@@ -99,24 +111,22 @@ def part_of(items: list[tuple[int, np.ndarray]]) -> Part:
     hashes = np.concatenate([h for _, h in items])
     first = np.concatenate([[0], np.cumsum([len(h) for _, h in items])])
     size = np.diff(first)
-    key, item, place, runs = [], [], [], []
-    for run in RUNS:
-        own = {n: [k for r, k in places(n) if r == run] for n in set(size.tolist())}
-        row = np.repeat(np.arange(len(size)), [len(own[n]) for n in size.tolist()])
-        if not len(row):
-            continue
-        at = np.concatenate([np.array(own[n], np.int64) for n in size.tolist()])
-        h, word = seeds(hashes, first, run)
-        key.append(h[np.searchsorted(word, first[row] + at)])
+    key, item, place = [], [], []
+    used = sorted({mask for n in set(size.tolist()) for mask in masks(n)})
+    for mask in used:
+        own = np.array([mask in masks(n) for n in size.tolist()])
+        h, word = seeds(hashes, first, mask)
+        row = np.searchsorted(first, word, "right") - 1
+        h, word, row = h[own[row]], word[own[row]], row[own[row]]
+        key.append(h)
         item.append(row)
-        place.append(at)
-        runs.append(run)
+        place.append(word - first[row])
     key, item, place = np.concatenate(key), np.concatenate(item), np.concatenate(place)
     order = np.argsort(key, kind="stable")
     key = key[order]
     flags = np.zeros(1 << FILTER_BITS, bool)
     flags[(key >> u64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Part(runs, key, item[order].astype(np.int32), place[order].astype(np.int32), hashes, first, np.array([i for i, _ in items], np.int64), flags)
+    return Part(used, key, item[order].astype(np.int32), place[order].astype(np.int32), hashes, first, np.array([i for i, _ in items], np.int64), flags)
 
 
 def best_stretch(equal: np.ndarray, size: int) -> tuple[int, int]:
@@ -148,11 +158,11 @@ def hits(part: Part, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, i
     w = spoken(data, offsets)
     h = w.hashes()
     found = []
-    for run in part.runs:
-        key, at = seeds(h, w.first, run)
+    for mask in part.masks:
+        key, at = seeds(h, w.first, mask)
         maybe = np.flatnonzero(part.filter[(key >> u64(64 - FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(part.key, key[maybe], "left"), np.searchsorted(part.key, key[maybe], "right")
-        total = np.concatenate([[0], np.cumsum(hi - lo)])
+        total = np.concatenate([[0], np.cumsum(hi - lo)])  # a mask with more hits than are looked at together takes turns
         for begin in range(0, int(total[-1]), HITS):
             n = np.arange(begin, min(begin + HITS, int(total[-1])))
             which = np.searchsorted(total, n, "right") - 1
@@ -165,12 +175,11 @@ def hits(part: Part, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, i
         a, b = part.first[item], part.first[item + 1]
         lo, hi = max(start, w.first[row]), min(start + b - a, w.first[row + 1])
         size = min(SPAN, int(b - a))
-        if hi - lo < size:
-            continue
-        equal = h[lo:hi] == part.hashes[a + lo - start : a + hi - start]
+        equal = np.zeros(b - a, bool)
+        equal[lo - start : hi - start] = h[lo:hi] == part.hashes[a + lo - start : a + hi - start]
         same, k = best_stretch(equal, size)
         if same >= SHARE * size:
-            whole = (int(equal.sum()), -int(start), int(lo + k - w.first[row]), size, same)
+            whole = (int(equal.sum()), -int(start), int(max(start + k, w.first[row]) - w.first[row]), size, same)
             key_ = (int(row), int(part.ids[item]))
             if key_ not in best or whole > best[key_]:
                 best[key_] = whole
@@ -185,11 +194,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the text (counted in words), its length, and how many of its words are the item's.
 
     Words are in lower case (A-Z) and without ASCII punctuation. Null and empty texts overlap nothing; items without an id, of
-    null text or fewer than five words are left out; equal items count once. A repeated row gives its pairs again; a null
-    doc_id is carried through; other columns are ignored; an empty table on either side gives an empty result.
+    null text or without words are left out; items of fewer than five words are found whole only; equal items count once. A
+    repeated row gives its pairs again; a null doc_id is carried through; other columns are ignored; an empty table on either
+    side gives an empty result. With more than one part of items, the pairs of each are written before the next is searched.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, {PAIRS}"
 
     def searched(part: Broadcast) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,27 +211,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         row, *rest = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.array(row) + lo)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "word", "stretch", "equal"])
 
-        return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {id_type}, {PAIRS}")
-
-    out = spark.createDataFrame([], f"doc_id {id_type}, {PAIRS}")
-    for k, part in enumerate(parts(benchmark)):
-        found = searched(spark.sparkContext.broadcast(part))
-        out = out.unionByName(found) if k else found
+        return docs.select("doc_id", "text").mapInArrow(search, schema)
+
+    rest, out = parts(benchmark), spark.createDataFrame([], schema)
+    part = next(rest, None)
+    while part is not None:
+        given = Shared(spark)
+        found, part = searched(given.give(part)), next(rest, None)
+        if part is not None:
+            found = stored(found, "overlaps")
+            given.release()
+        out = out.unionByName(found)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs(text, ...) that overlap no test item, with all their columns; cases as in overlaps()."""
-    spark = docs.sparkSession
-    for part in parts(benchmark):
-        shared = spark.sparkContext.broadcast(part)
+    names = docs.columns
 
-        def clean(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+    def cleaned(part: Broadcast) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kept = np.ones(batch.num_rows, bool)
-                for lo, _, data, offsets in slices(batch.column("text"), SLICE):
-                    kept[[lo + x[0] for x in hits(shared.value, data, offsets)]] = False
+                for lo, _, data, offsets in slices(batch.column(names.index("text")), SLICE):
+                    kept[[lo + x[0] for x in hits(part.value, data, offsets)]] = False
                 yield batch.filter(pa.array(kept))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        return left.mapInArrow(clean, left.schema)
+
+    rest, left = parts(benchmark), docs
+    part = next(rest, None)
+    while part is not None:
+        given = Shared(docs.sparkSession)
+        left, part = cleaned(given.give(part)), next(rest, None)
+        if part is not None:  # of several parts, each is done and its seeds taken back before the next goes to the tasks
+            left = stored(left, "decontaminated")
+            given.release()
+    return left
