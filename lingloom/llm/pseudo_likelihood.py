@@ -1,16 +1,22 @@
 """Masked pseudo-likelihood of texts under a bidirectional window network.
 
 The network predicts every word from both sides, and its vocabulary grows with the corpus: every word that occurs more
-than once is its own, as target and as context. Words that occur once are one entry, which each has an equal share of.
+than once is its own. Words that occur once are one entry, which each has an equal share of.
 
-The output layer is a hierarchical softmax. Its first step is a softmax over 256 classes: the most frequent words are a
+The output layer is a hierarchical softmax. Its first step is a softmax over 128 classes: the most frequent words are a
 class each, the others fall into the rest by their hash. The words of a class are the leaves of a binary tree, split by
-their counts; every node of it has weights, and starts from the counts of its sides. The probabilities of all words add
-up to one. The hidden layer sees the classes of the two words before and after, by place, and a vector of each word.
-
-All parts are gathered from all documents: exact counts of words (by 64-bit hashes) in a shuffle, and the weights: each
-task trains from a common start on every word of its documents, and the weights are averaged by words trained on, those
-of a node or word by the words that met it. The start of the classes is trained on the driver on a bounded sample.
+their counts. Nodes above BRANCH occurrences and more have weights, and start from the counts of their sides; below, words
+have the share of their counts, which so few occurrences would not change. The probabilities of all words add up to one.
+The hidden layer sees the classes of the two words before and after, by place, and a vector of each word of LEARN
+occurrences and more.
+
+All is gathered from all documents. Words (by 64-bit hashes) are counted exactly in a shuffle. Documents are dealt to
+splits by a hash, a number of splits that follows the number of words. A split masks a fifth of its words, in an order
+drawn from its number, and learns to predict them, from common weights; the weights of the splits of a round are averaged,
+those of a node or word by the words that met it, and the next round starts from there. The first start has the
+probabilities of counts alone. Averages are sums of whole numbers, so neither the partitions of the input nor the order
+of sums shows in the weights: scores differ by rounding in single precision only. A round that predicts words it has not
+learned from worse than their counts do is dropped.
 """
 
 from __future__ import annotations
@@ -20,24 +26,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingloom.llm.scratch import Shared
 from lingloom.llm.words import SLICE, lowered, slices, u64, words
 
-CLASSES = 256
-FREQUENT = 160
+CLASSES = 128
+FREQUENT = 64
+LEARN = 256  # occurrences of a word from which on it has a vector
+BRANCH = 1024  # occurrences of the words below a node from which on it has weights
 SHARDS = 1024  # of hashes
-ROWS = 1 << 14  # nodes or words of which weights travel together
-ROW_RATE = 0.05
+ROWS = 1 << 13  # nodes or words of which weights travel together
 CHUNK = 8 * 1024  # words whose paths are found together
 HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
 BATCH = 1024
 NONE = CLASSES  # beyond the text
-LANES = 64
-PART = 1 << 25  # words after which a task sends weights
+MASKED = 0.2
+WORDS = 1 << 22  # words of a split, about
+SHARES = (0.125, 0.5, 1.0)  # of the splits, by the end of each round
+RATE = 0.03
+ROW_RATE = 0.1
+FIXED = float(1 << 20)  # steps of one in sums of whole numbers
 
 
 def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +69,19 @@ def summed(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes, in order, and numbers of the words that occur more than once; and how many words occur once."""
     names = ["shard", "hashes", "counts", "once"]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def packed(shards: np.ndarray, h: np.ndarray, n: np.ndarray, cut: np.ndarray, once: int) -> pa.RecordBatch:
+        columns = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in shards], pa.binary()) for x in (h, n)]
+        return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), *columns, pa.array([once] * len(shards), pa.int64())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        held, size = [none], 0
 
         def send() -> pa.RecordBatch:
             h, n = summed(*map(np.concatenate, zip(*held, strict=True)))
             cut = np.searchsorted(h >> u64(54), np.arange(SHARDS + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (h, n)), pa.array([0] * len(used), pa.int64())], names)
+            return packed(np.flatnonzero(np.diff(cut)), h, n, cut, 0)
 
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
@@ -77,7 +93,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     size = 0
                     if len(held[0][0]) > 1 << 21:
                         yield send()
-                        held = held[:0] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                        held = [none]
         yield send()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,49 +104,59 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         for shard in held:
             h, n = summed(*map(np.concatenate, zip(*held[shard], strict=True)))
             more = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x[more].tobytes()], pa.binary()) for x in (h, n)), pa.array([int((~more).sum())], pa.int64())], names)
+            yield packed(np.array([shard]), h[more], n[more], {shard: 0, shard + 1: int(more.sum())}, int((~more).sum()))
 
     schema = "shard int, hashes binary, counts binary, once long"
-    got = sorted(docs.select("text").mapInArrow(count, schema).repartition("shard").mapInArrow(add, schema).collect(), key=lambda r: r["shard"])
-    h, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in got)]) for name, kind in (("hashes", np.uint64), ("counts", np.int64)))
-    return h, n, sum(r["once"] for r in got)
+    rows = docs.select("text").mapInArrow(count, schema).repartition("shard").mapInArrow(add, schema).collect()
+    rows.sort(key=lambda r: r["shard"])
+    h, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in rows)]) for name, kind in (("hashes", np.uint64), ("counts", np.int64)))
+    return h, n, sum(r["once"] for r in rows)
 
 
 @dataclass
 class Vocabulary:
-    """Words by their hashes, in order, and one entry more for those that occur once; of each its class and leaf.
+    """Words by their hashes, in order, and one entry more for those that occur once.
 
-    A node of the trees has the number of the first leaf of its right side. links has, for each node, the nodes on its left
-    and right, and at the end the highest node of each class; -1 stands for a leaf. prior has the log odds of right.
+    Of each word: its class, its leaf, the log of its share below the last node, and the row of its vector (the last row
+    is of no word). Of each node: the first leaf on its right, the nodes on its left and right (-1: none has weights), and
+    the log odds of its right side by counts. top: the highest node of each class.
     """
 
     hashes: np.ndarray
-    once: int
     of_word: np.ndarray
     leaf: np.ndarray
-    links: np.ndarray
+    rest: np.ndarray
+    row: np.ndarray
+    rows: int
+    middle: np.ndarray
+    below: np.ndarray
     prior: np.ndarray
+    top: np.ndarray
+    of_class: np.ndarray
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(self.hashes)
-        at = np.searchsorted(self.hashes, hashes)
+        n, order = len(self.hashes), np.argsort(hashes)
+        own = hashes[order]
+        at = np.searchsorted(self.hashes, own)  # in order, a search stays near the one before
         if n:
-            at[self.hashes[np.minimum(at, n - 1)] != hashes] = n
-        return at.astype(np.int32)
+            at[self.hashes[np.minimum(at, n - 1)] != own] = n
+        out = np.empty(len(hashes), np.int32)
+        out[order] = at
+        return out
 
     def paths(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which word, node, whether right) for all nodes above the leaves of these words."""
-        leaf, which = self.leaf[found], np.arange(len(found), dtype=np.int32)
-        node = self.links[len(self.links) - CLASSES + self.of_word[found].astype(np.int64)]
+        leaf, node = self.leaf[found], self.top[self.of_word[found]]
+        which = np.arange(len(found), dtype=np.int32)
         out = [(which[:0], node[:0], np.zeros(0, bool))]
         while True:
             on = np.flatnonzero(node >= 0)
             if not len(on):
                 return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-            which, node = which[on], node[on]
-            right = leaf[which] >= node
+            which, node, leaf = which[on], node[on], leaf[on]
+            right = leaf >= self.middle[node]
             out.append((which, node, right))
-            node = self.links[2 * node + right]
+            node = self.below[node, right.astype(np.int8)]
 
 
 def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
@@ -138,23 +164,39 @@ def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
     of_word = np.append(FREQUENT + ((hashes >> u64(32)) * u64(CLASSES - FREQUENT) >> u64(32)).astype(np.int16), np.int16(FREQUENT)).astype(np.int16)
     frequent = np.lexsort((hashes, -number))[:FREQUENT]
     of_word[frequent] = np.arange(len(frequent))
-    order = np.argsort(of_word[: n + (once > 0)], kind="stable")
-    leaf = np.zeros(n + 1, np.int32)
-    leaf[order] = np.arange(len(order))
-    total = np.concatenate([[0], np.cumsum(np.append(number, once)[order])])
-    m = n + 1
-    links, prior = np.full(2 * m + CLASSES, -1, np.int32), np.zeros(m, np.float32)
+    count = np.append(number, once)
+    order = np.argsort(of_word, kind="stable")
+    leaf = np.empty(n + 1, np.int32)
+    leaf[order] = np.arange(n + 1)
+    total = np.concatenate([[0], np.cumsum(count[order])])
     bounds = np.searchsorted(of_word[order], np.arange(CLASSES + 1))
-    lo, hi, slot = bounds[:-1], bounds[1:], 2 * m + np.arange(CLASSES)
-    while True:
-        on = hi - lo > 1
-        lo, hi, slot = lo[on], hi[on], slot[on]
-        if not len(lo):
-            return Vocabulary(hashes, once, of_word, leaf, links, prior)
+    lo, hi = bounds[:-1], bounds[1:]
+    levels, middle, prior, ends, number_of = [], [], [], [], 0
+    while len(lo):
+        on = np.flatnonzero((hi - lo > 1) & (total[hi] - total[lo] >= BRANCH))
+        named = np.full(len(lo), -1, np.int32)
+        named[on] = number_of + np.arange(len(on))
+        levels.append(named)
+        off = np.setdiff1d(np.arange(len(lo)), on)
+        ends.append(np.stack([lo[off], hi[off]]))
+        lo, hi = lo[on], hi[on]
         mid = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
-        prior[mid] = np.log((total[hi] - total[mid]) / (total[mid] - total[lo]))
-        links[slot] = mid
-        lo, hi, slot = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([2 * mid, 2 * mid + 1])
+        middle.append(mid)
+        prior.append(np.log(np.maximum(total[hi] - total[mid], 0.5) / np.maximum(total[mid] - total[lo], 0.5)))
+        number_of += len(on)
+        lo, hi = np.stack([lo, mid], 1).ravel(), np.stack([mid, hi], 1).ravel()
+    below = np.concatenate([np.zeros((0, 2), np.int32), *(x.reshape(-1, 2) for x in levels[1:])])
+    lo, hi = np.concatenate(ends, 1)
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], hi[by]
+    share = np.empty(n + 1)
+    share[order] = np.log(np.maximum(count[order], 0.5)) - np.repeat(np.log(np.maximum(total[hi] - total[lo], 0.5)), hi - lo)
+    share[n] -= np.log(max(once, 1))
+    learned = np.flatnonzero(number >= LEARN)
+    row = np.full(n + 1, len(learned), np.int32)
+    row[learned] = np.arange(len(learned))
+    of_class = np.bincount(of_word, count, CLASSES)
+    return Vocabulary(hashes, of_word, leaf, share.astype(np.float32), row, len(learned) + 1, np.concatenate(middle).astype(np.int32), below, np.concatenate(prior).astype(np.float32), levels[0], of_class)
 
 
 class Network:
@@ -162,13 +204,15 @@ class Network:
 
     def __init__(self, weights: list[np.ndarray]):
         self.weights = weights
-        self.buffer = np.empty((BATCH, CLASSES), np.float32)
+        self.buffer = np.empty((BATCH, CLASSES), weights[2].dtype)
 
     @staticmethod
     def start(number: np.ndarray, seed: int = 13) -> Network:
+        """The probabilities of the classes by their counts, whatever stands around."""
         rng = np.random.default_rng(seed)
-        bias = np.log((number + 1) / (number.sum() + len(number)))
-        return Network([x.astype(np.float32) for x in (rng.normal(0, 0.2, (len(AROUND), CLASSES + 1, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.2, (HIDDEN, CLASSES)), bias)])
+        bias = np.log((number + 1e-2) / (number + 1e-2).sum())
+        weights = (rng.normal(0, 0.3, (len(AROUND), CLASSES + 1, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, CLASSES)), bias)
+        return Network([x.astype(np.float32) for x in weights])
 
     def hidden(self, around: np.ndarray, more: np.ndarray | float = 0) -> np.ndarray:
         embed, inner = self.weights[:2]
@@ -178,58 +222,69 @@ class Network:
         """exp of the scores of all classes, less a bound of theirs where they could grow too large, in the one buffer; and their sums."""
         layer, bias = self.weights[2:]
         z = np.matmul(h, layer, out=self.buffer[: len(h)])
-        z += bias - np.float32(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
+        z += bias - z.dtype.type(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
         np.exp(z, out=z)
-        return z, z @ np.ones(CLASSES, np.float32)
-
-    def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """For at most BATCH words."""
-        return self.of_hidden(self.hidden(around), target)
+        return z, z @ np.ones(CLASSES, z.dtype)
 
     def of_hidden(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the classes of at most BATCH words."""
         z, total = self.exponentials(h)
-        return np.log(np.maximum(z[np.arange(len(z)), target], np.float32(1e-30)) / total)
+        return np.log(np.maximum(z[np.arange(len(z)), target], z.dtype.type(1e-30)) / total)
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float, more: np.ndarray | float = 0) -> tuple[np.ndarray, np.ndarray]:
-        """One gradient step on the mean loss of at most BATCH words; returns the hidden layer, and the gradient of each word's loss before it."""
+    def gradients(self, around: np.ndarray, target: np.ndarray, more: np.ndarray | float = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of the summed loss of at most BATCH words by the weights; the hidden layer; the gradient by each word's sum below it."""
         embed, inner, layer, bias = self.weights
         h = self.hidden(around, more)
         z, total = self.exponentials(h)
-        step = np.float32(rate / len(z))
-        z *= (step / total)[:, None]
-        z[np.arange(len(z)), target] -= step
+        z /= total[:, None]
+        z[np.arange(len(z)), target] -= 1
         back = (z @ layer.T) * (1 - h * h)
-        layer -= h.T @ z
-        bias -= np.ones(len(z), np.float32) @ z
-        inner -= back.sum(0)
+        by_embed = np.zeros_like(embed)
         for k in range(len(AROUND)):
             # The rows of a class in the batch are summed by sorting: far faster than adding one at a time.
             order = np.argsort(around[:, k], kind="stable")
             own = around[order, k]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            embed[k][own[first]] -= np.add.reduceat(back.take(order, 0), first)
-        return h, back / step
+            by_embed[k][own[first]] = np.add.reduceat(back.take(order, 0), first)
+        return [by_embed, back.sum(0), h.T @ z, np.ones(len(z), z.dtype) @ z], h, back
+
+
+class Steps:
+    """Steps against gradients, shorter the more a weight has moved: one scale a weight, or one a row."""
+
+    def __init__(self, shapes: list[tuple[int, ...]]):
+        self.square = [np.full(s, 1e-2, np.float32) for s in shapes]
+
+    def move(self, weights: list[np.ndarray], gradients: list[np.ndarray], size: int) -> None:
+        for w, g, s in zip(weights, gradients, self.square, strict=True):
+            g = g * np.float32(1 / np.sqrt(size))
+            s += g * g
+            w -= np.float32(RATE) * g / np.sqrt(s)
 
 
 class Rows:
-    """A vector for each node or word, and how many words have met it."""
+    """A vector for each node or word, and how many words have met it since the start."""
 
-    def __init__(self, size: int):
-        self.vectors, self.met = np.zeros((size, HIDDEN), np.float32), np.zeros(size, np.int32)
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors.astype(np.float32)
+        self.met, self.square = np.zeros(len(vectors), np.int32), np.full(len(vectors), 1e-2, np.float32)
 
     def move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """One step against the gradients of these rows, shorter for each where a row occurs often."""
+        """One step against the gradients of these rows, shorter the more a row has moved."""
         if not len(rows):
             return
-        order = np.argsort(rows)
+        order = np.argsort(rows, kind="stable")
         own = rows[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         number = np.diff(first, append=len(own))
-        self.vectors[own[first]] -= np.add.reduceat(gradient.take(order, 0), first) * (ROW_RATE / np.sqrt(number, dtype=np.float32))[:, None]
-        self.met[own[first]] += number.astype(np.int32)
+        own, g = own[first], np.add.reduceat(gradient.take(order, 0), first)
+        g /= np.sqrt(number, dtype=np.float32)[:, None]
+        self.square[own] += np.einsum("ij,ij->i", g, g)
+        self.vectors[own] -= g * (ROW_RATE / np.sqrt(self.square[own]))[:, None]
+        self.met[own] += number.astype(np.int32)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
-        """Rows that were met, in shards: their number, places, times met and vectors."""
+        """Rows that were met, in shards: their places, times met, and vectors times that."""
         for lo in range(0, len(self.met), ROWS):
             used = np.flatnonzero(self.met[lo : lo + ROWS])
             if len(used):
@@ -245,141 +300,194 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.int16, n).astype(np.int64), np.frombuffer(data, np.int64, n, 2 * n), np.frombuffer(data, np.float16, n * HIDDEN, 10 * n).reshape(n, HIDDEN)
 
 
-def seen(vectors: np.ndarray, around: np.ndarray) -> np.ndarray:
+def seen(vectors: np.ndarray, near: np.ndarray) -> np.ndarray:
     """The sum of the vectors of the words around, each turned by its place."""
-    out = vectors.take(around[:, 0], 0).astype(np.float32)
+    out = vectors.take(near[:, 0], 0).astype(np.float32)
     for k in range(1, len(AROUND)):
-        v = vectors.take(around[:, k], 0)
+        v = vectors.take(near[:, k], 0)
         out[:, 4 * k :] += v[:, : HIDDEN - 4 * k]
         out[:, : 4 * k] += v[:, HIDDEN - 4 * k :]
     return out
 
 
-def context(classes: np.ndarray, first: np.ndarray, none: int = NONE) -> np.ndarray:
-    """Classes (or words) around each word [word, place]; none beyond its text."""
-    n = len(classes)
-    out = np.full((n, len(AROUND)), none, classes.dtype)
+def context(values: np.ndarray, first: np.ndarray, none: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Values around each word (or those at some places) [word, place]; none beyond its text."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(n)
+    at = np.arange(len(values)) if at is None else at
+    lo, hi = first[row[at]], first[row[at] + 1]
+    out = np.full((len(at), len(AROUND)), none, values.dtype)
     for k, step in enumerate(AROUND):
-        ok = (at + step >= first[row]) & (at + step < first[row + 1])
-        out[ok, k] = classes[at[ok] + step]
+        ok = (at + step >= lo) & (at + step < hi)
+        out[ok, k] = values[at[ok] + step]
     return out
 
 
-RATE = 12.0  # of a step; the gradient of a mean over words is small
-
-
-def start_network(docs: DataFrame, vocab: Vocabulary, bound: int) -> Network:
-    """The common start, trained on the first words of up to `bound` documents taken by a hash over all of them."""
-    number = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit(43), "text"), F.lit(1 << 30)) / float(1 << 30)
-    texts = sorted(r["text"] for r in docs.select("text").where(F.col("text").isNotNull() & (draw < min(1.0, bound / max(1, number)))).limit(2 * bound).collect())
-    classes, around = [], []
-    for _, _, data, offsets in slices(pa.array(texts, pa.string()), SLICE):
-        h, first = hashes_of(data, offsets)
-        classes.append(vocab.of_word[vocab.find(h)])
-        around.append(context(classes[-1], first))
-    classes, around = np.concatenate([np.zeros(0, np.int16), *classes]), np.concatenate([np.zeros((0, len(AROUND)), np.int16), *around])
-    net = Network.start(np.bincount(classes, minlength=CLASSES))
-    order = np.random.default_rng(17).permutation(len(classes))
-    steps = 2 * -(-len(order) // BATCH)
-    for step in range(steps):
-        part = order[(step % (steps // 2)) * BATCH : (step % (steps // 2) + 1) * BATCH]
-        net.train(around[part], classes[part], RATE * (1 - 0.8 * step / steps))
-    return net
-
-
-def averaged(docs: DataFrame, shared: Broadcast, start: Network, size: int) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The mean of the weights that tasks reach on all words of their documents, by the number of words; and the vectors of nodes and of words."""
-    spark = docs.sparkSession
-    begin = spark.sparkContext.broadcast([w.copy() for w in start.weights])
-    shapes = [w.shape for w in start.weights]
-    shards = -(-size // ROWS)
+@dataclass
+class Weights:
+    """All that is learned: the network's weights, and the vectors of nodes and of words."""
+
+    dense: list[np.ndarray]
+    nodes: np.ndarray
+    near: np.ndarray
+
+
+def started(vocab: Vocabulary) -> Weights:
+    return Weights(Network.start(vocab.of_class).weights, np.zeros((len(vocab.middle), HIDDEN), np.float16), np.zeros((vocab.rows, HIDDEN), np.float16))
+
+
+class Model:
+    """Log-probabilities of words under the weights."""
+
+    def __init__(self, vocab: Vocabulary, weights: Weights):
+        self.vocab, self.net = vocab, Network(weights.dense)
+        self.nodes, self.near = weights.nodes.astype(np.float32), weights.near.astype(np.float32)
+
+    def scores(self, found: np.ndarray, around: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Of words (by their places in the vocabulary) with the classes and rows of the words around them."""
+        vocab = self.vocab
+        out = vocab.rest[found].astype(np.float64)
+        for begin in range(0, len(out), CHUNK):
+            chunk = slice(begin, begin + CHUNK)
+            hidden = self.net.hidden(around[chunk], seen(self.near, near[chunk]))
+            target = vocab.of_word[found[chunk]]
+            for lo in range(0, len(hidden), BATCH):
+                out[begin + lo : begin + min(lo + BATCH, len(hidden))] += self.net.of_hidden(hidden[lo : lo + BATCH], target[lo : lo + BATCH])
+            which, node, right = vocab.paths(found[chunk])
+            z = vocab.prior[node] + np.einsum("ij,ij->i", hidden.take(which, 0), self.nodes.take(node, 0))
+            np.negative(z, out=z, where=right)
+            out[chunk] -= np.bincount(which, np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), len(hidden))
+        return out
+
+
+def learn(vocab: Vocabulary, weights: Weights, found: np.ndarray, first: np.ndarray, split: int) -> tuple[Weights, Rows, Rows, np.ndarray]:
+    """The weights after the masked words of a split; the rows of nodes and words; and, of some words before they are
+    learned: how many, and the sums of their log-probabilities by the weights so far and by counts."""
+    rng = np.random.default_rng([19, split])
+    at = np.flatnonzero(rng.random(len(found)) < MASKED)
+    rng.shuffle(at)
+    classes, rows = vocab.of_word[found], vocab.row[found]
+    target, words_ = classes[at], found[at]
+    around, near = context(classes, first, NONE, at), context(rows, first, vocab.rows - 1, at)
+    some = slice(0, CHUNK)
+    counted = Model(vocab, started(vocab))
+    sums = np.array([len(words_[some]), *(m.scores(words_[some], around[some], near[some]).sum() for m in (Model(vocab, weights), counted))])
+    net = Network([w.copy() for w in weights.dense])
+    steps, nodes, vectors = Steps([w.shape for w in net.weights]), Rows(weights.nodes), Rows(weights.near)
+    for begin in range(0, len(at), CHUNK):
+        size = min(CHUNK, len(at) - begin)
+        hidden = np.empty((size, HIDDEN), np.float32)
+        for lo in range(0, size, BATCH):
+            part = slice(begin + lo, begin + min(lo + BATCH, size))
+            gradients, hidden[lo : lo + BATCH], back = net.gradients(around[part], target[part], seen(vectors.vectors, near[part]))
+            steps.move(net.weights, gradients, part.stop - part.start)
+            around_, turned = near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))])
+            own = np.flatnonzero(around_ < vocab.rows - 1)  # words without a vector of their own stay at zero
+            vectors.move(around_[own], turned.take(own, 0))
+        which, node, right = vocab.paths(words_[begin : begin + size])
+        own = hidden.take(which, 0)
+        z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors.take(node, 0))
+        own *= (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right).astype(np.float32)[:, None]
+        nodes.move(node, own)
+    return Weights(net.weights, nodes.vectors, vectors.vectors), nodes, vectors, sums
+
+
+def averaged(docs: DataFrame, known: Broadcast, weights: Weights, splits: int, low: int, high: int) -> tuple[Weights, np.ndarray]:
+    """The mean of the weights that splits low to high reach, by their numbers of words; and the sums of learn()."""
+    given = Shared(docs.sparkSession)
+    begin = given.give(weights)
+    shapes = [w.shape for w in weights.dense]
+    shards = [-(-len(x) // ROWS) for x in (weights.nodes, weights.near)]
     names = ["k", "lane", "number", "weights"]
 
-    def sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+    def sent(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows), 64):
+            columns = zip(*rows[lo : lo + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, held, now = known.value, [], None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            found, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if not len(found):
+                return
+            after, nodes, vectors, sums = learn(vocab, begin.value, found, np.concatenate([[0], np.cumsum(size)]), now)
+            rows = [(-1, now % 8, 0, np.rint(sums * 2**10).astype(np.int64).tobytes())]
+            rows += [(k, now % 8, len(found), np.rint(w.astype(np.float64) * (len(found) * FIXED)).astype(np.int64).tobytes()) for k, w in enumerate(after.dense)]
+            for k, own in enumerate((nodes, vectors)):
+                rows += [(len(shapes) + k * shards[0] + shard, 0, 0, data) for shard, data in own.packed()]
+            yield from sent(rows)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value, begin.value
-        net, nodes, context_, number = Network([w.copy() for w in weights]), Rows(size), Rows(size), 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            lane = TaskContext.get().partitionId() % LANES
-            yield sent([(k, lane, number, (w.astype(np.float64) * number).tobytes()) for k, w in enumerate(net.weights)])
-            for k, rows in enumerate((nodes, context_)):
-                for shard, data in rows.packed():
-                    yield sent([(len(shapes) + k * shards + shard, 0, 0, data)])
-
-        rng = np.random.default_rng(19)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text"), SLICE):
-                h, first = hashes_of(data, offsets)
-                found = vocab.find(h)
-                classes = vocab.of_word[found]
-                around, near = context(classes, first), context(found, first, size - 1)
-                order = rng.permutation(len(classes))
-                for begin_ in range(0, len(order), CHUNK):
-                    chunk = order[begin_ : begin_ + CHUNK]
-                    hidden = np.empty((len(chunk), HIDDEN), np.float32)
-                    for lo in range(0, len(chunk), BATCH):
-                        part = chunk[lo : lo + BATCH]
-                        hidden[lo : lo + BATCH], back = net.train(around[part], classes[part], 0.2 * RATE * len(part) / BATCH, seen(context_.vectors, near[part]))
-                        context_.move(near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))]))
-                        context_.vectors[-1] = 0
-                    which, node, right = vocab.paths(found[chunk])
-                    own = hidden.take(which, 0)
-                    z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors.take(node, 0))
-                    own *= (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right).astype(np.float32)[:, None]
-                    nodes.move(node, own)
-                number += len(classes)
-                if number >= PART:
-                    yield from send()
-                    net, nodes, context_, number = Network([w.copy() for w in weights]), Rows(size), Rows(size), 0
-        if number:
-            yield from send()
+            split = batch.column("split").to_numpy()
+            bounds = np.flatnonzero(np.diff(split, prepend=-1, append=-1))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if split[lo] != now and held:
+                    yield from settle()
+                now = int(split[lo])
+                for _, _, data, offsets in slices(batch.column("text").slice(lo, hi - lo), SLICE):
+                    h, first = hashes_of(data, offsets)
+                    held.append((vocab.find(h), np.diff(first)))
+        if held:
+            yield from settle()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple[int, int], list] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                key = (r["k"], r["lane"])
                 if r["k"] < len(shapes):
-                    old = total.get(r["k"], [0, 0])
-                    total[r["k"]] = [old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.float64)]
+                    old = total.setdefault(key, [0, 0])
+                    old[0], old[1] = old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.int64)
                 else:
-                    met, vectors = total.setdefault(r["k"], [np.zeros(ROWS, np.int64), np.zeros((ROWS, HIDDEN))])
+                    met, vectors = total.setdefault(key, [np.zeros(ROWS, np.int64), np.zeros((ROWS, HIDDEN), np.int64)])
                     at, n, v = unpacked(r["weights"])
                     met[at] += n
-                    vectors[at] += v.astype(np.float64) * n[:, None]
-        for k, (n, x) in total.items():
+                    vectors[at] += np.rint(v.astype(np.float64) * (n[:, None] * FIXED)).astype(np.int64)
+        for (k, lane), (n, x) in total.items():
             if k >= len(shapes):
                 used = np.flatnonzero(n)
-                yield sent([(k, 0, 0, pack(used, n[used], x[used] / n[used][:, None]))])
+                yield from sent([(k, lane, 0, pack(used, n[used], x[used] / (n[used][:, None] * FIXED)))])
             else:
-                yield sent([(k, 0, n, x.tobytes())])
+                yield from sent([(k, lane, n, x.tobytes())])
 
     schema = "k int, lane int, number long, weights binary"
-    weights = [w.copy() for w in start.weights]
-    rows = np.zeros((2, shards * ROWS, HIDDEN), np.float16)
-    dense = [0] * len(shapes)
-    # Tasks' weights meet in lanes; of each array as many rows as lanes are left, of the rows of nodes and words one each.
-    for r in docs.select("text").mapInArrow(learn, schema).repartition(LANES, "k", "lane").mapInArrow(add, schema).toLocalIterator():
-        if r["k"] < len(shapes):
-            dense[r["k"]] = dense[r["k"]] + np.append(np.frombuffer(r["weights"], np.float64), r["number"])
+    split = F.pmod(F.xxhash64(F.lit(43), "doc_id", "text"), F.lit(splits))
+    own = docs.select(split.cast("int").alias("split"), F.xxhash64("doc_id", "text").alias("place"), "text").where((F.col("split") >= low) & (F.col("split") < high))
+    dealt = own.repartition(high - low, "split").sortWithinPartitions("split", "place").select("split", "text")
+    dense, sums = [[0, 0] for _ in shapes], np.zeros(3)
+    nodes, near = weights.nodes.copy(), weights.near.copy()
+    for r in dealt.mapInArrow(train, schema).repartition(64, "k", "lane").mapInArrow(add, schema).toLocalIterator():
+        if r["k"] < 0:
+            sums += np.frombuffer(r["weights"], np.int64)
+        elif r["k"] < len(shapes):
+            old = dense[r["k"]]
+            old[0], old[1] = old[0] + r["number"], old[1] + np.frombuffer(r["weights"], np.int64)
         else:
-            k, shard = divmod(r["k"] - len(shapes), shards)
+            k = r["k"] - len(shapes)
             at, _, v = unpacked(r["weights"])
-            rows[k, shard * ROWS + at] = v
-    for k, x in enumerate(dense):
-        if not np.isscalar(x):
-            weights[k] = (x[:-1] / x[-1]).astype(np.float32).reshape(shapes[k])
-    begin.destroy()
-    return Network(weights), rows[0, :size], rows[1, :size]
-
-
-def score(docs: DataFrame, start_documents: int = 400) -> DataFrame:
+            (nodes if k < shards[0] else near)[(k if k < shards[0] else k - shards[0]) * ROWS + at] = v
+    given.release()
+    if not dense[0][0]:
+        return weights, sums
+    return Weights([(x / (n * FIXED)).astype(np.float32).reshape(s) for (n, x), s in zip(dense, shapes, strict=True)], nodes, near), sums
+
+
+def trained(docs: DataFrame, vocab: Vocabulary, known: Broadcast, number: int) -> Weights:
+    splits = max(len(SHARES), -(-number // WORDS))
+    cuts = [0, *sorted({max(k + 1, int(splits * s)) for k, s in enumerate(SHARES)})]
+    before = weights = started(vocab)
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        after, (size, net, plain) = averaged(docs, known, weights, splits, low, high)
+        if size and net < plain:  # what the round before has reached is no good: counts alone predict better
+            weights = before
+            after, _ = averaged(docs, known, weights, splits, low, high)
+        before, weights = weights, after
+    return weights
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every row of docs(doc_id, text, ...).
 
     Tokens are words in lower case (A-Z). log_likelihood is the sum over them of the log-probability of the word given
@@ -387,34 +495,23 @@ def score(docs: DataFrame, start_documents: int = 400) -> DataFrame:
     text of one word is scored without context. Repeated rows give repeated rows and count as often in training; a null
     doc_id is carried through; other columns are ignored; an empty table gives an empty result.
     """
-    context_of = docs.sparkSession.sparkContext
-    vocab = vocabulary(*counts(docs))
-    known = context_of.broadcast(vocab)
-    start = start_network(docs, vocab, start_documents)
-    size = len(vocab.hashes) + 2  # the last but one is of words that occur once, the last beyond the text
-    del vocab
-    net, *rows = averaged(docs, known, start, size)
-    shared = context_of.broadcast((net.weights, *rows))
+    given = Shared(docs.sparkSession)
+    hashes, number, once = counts(docs)
+    vocab = vocabulary(hashes, number, once)
+    known = given.give(vocab)
+    weights = trained(docs, vocab, known, int(number.sum()) + once)
+    shared = given.give(weights)
+    del vocab, weights, hashes, number
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, (weights, nodes, vectors) = known.value, shared.value
-        net = Network(weights)
+        vocab = known.value
+        model = Model(vocab, shared.value)
         for batch in batches:
             number, total = [np.zeros(0, np.int64)], [np.zeros(0)]
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 h, first = hashes_of(data, offsets)
                 found = vocab.find(h)
-                classes = vocab.of_word[found]
-                around, near = context(classes, first), context(found, first, size - 1)
-                own = np.where(found == len(vocab.hashes), -np.log(max(vocab.once, 1)), 0.0)
-                for begin in range(0, len(own), CHUNK):
-                    chunk = slice(begin, begin + CHUNK)
-                    hidden = net.hidden(around[chunk], seen(vectors, near[chunk]))
-                    for lo in range(0, len(hidden), BATCH):
-                        own[begin + lo : begin + lo + BATCH][: len(hidden) - lo] += net.of_hidden(hidden[lo : lo + BATCH], classes[chunk][lo : lo + BATCH])
-                    which, node, right = vocab.paths(found[chunk])
-                    z = vocab.prior[node] + np.einsum("ij,ij->i", hidden.take(which, 0), nodes.take(node, 0).astype(np.float32))
-                    own[chunk] -= np.bincount(which, np.logaddexp(0, np.where(right, -z, z)), len(hidden))
+                own = model.scores(found, context(vocab.of_word[found], first, NONE), context(vocab.row[found], first, vocab.rows - 1))
                 sums = np.concatenate([[0.0], np.cumsum(own)])
                 number.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])
