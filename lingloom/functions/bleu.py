@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3, 4)
+DEPTH = 3  # times that an n-gram is counted by set operations; what stands in both texts oftener is counted one by one
 #: Replacements of the public mteval-v13a tokeniser, in its order (fixed values).
 STEPS = (
     ("<skipped>", ""),
@@ -35,29 +36,42 @@ def tokens_13a(text: Column) -> Column:
 
 
 def ngrams(words: Column, order: int) -> Column:
-    """All runs of `order` words of an array, joined by blanks."""
+    """64-bit hashes of all runs of `order` words of an array, sorted; runs of different length never meet."""
     last = F.size(words) - order + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, order), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, order)))
+    return F.sort_array(F.when(last > 0, grams).otherwise(F.array().cast("array<bigint>")))
 
 
-def clipped(hypothesis: Column, reference: Column) -> Column:
-    """How many n-grams of the hypothesis the reference has, each as often at most as there."""
-    return F.size(hypothesis) - unmatched(hypothesis, reference)
+def repeated(grams: Column) -> Column:
+    """Of sorted n-grams, one entry less of each different one."""
+    return F.filter(grams, lambda g, i: (i > 0) & (g == F.get(grams, i - 1)))
 
 
-def unmatched(hypothesis: Column, reference: Column) -> Column:
-    counts = lambda grams: F.transform(F.array_distinct(hypothesis), lambda g: F.size(F.filter(grams, lambda x: x == g)))
-    extra = F.zip_with(counts(hypothesis), counts(reference), lambda h, r: F.greatest(h - r, F.lit(0)))
-    return F.aggregate(extra, F.lit(0), lambda acc, x: acc + x)
+def shared(a: Column, b: Column) -> Column:
+    """How many different n-grams both have."""
+    return F.size(F.array_intersect(a, b))
+
+
+def shared_counts(a: Column, b: Column) -> Column:
+    """How many n-grams of a are in b, each as often at most as there. For the few that stand in a text many times."""
+    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, g: total + F.least(count(a, g), count(b, g)))
 
 
 def statistics(pairs: DataFrame, hypothesis: str, reference: str, keys: list[str]) -> DataFrame:
-    """keys, hyp_len, ref_len, match1..match4, total1..total4: sums over the rows of each group."""
-    frame = pairs.withColumn("h_", tokens_13a(F.col(hypothesis))).withColumn("r_", tokens_13a(F.col(reference)))
+    """keys, hyp_len, ref_len, match1..match4, total1..total4: sums over the rows of each group.
+
+    An n-gram counts as often as it stands in both texts: once if both have it, once more if both have it again, and so
+    on. Each step is a set operation of one row, so nothing but the sums is shuffled.
+    """
+    frame = pairs.select(*keys, tokens_13a(F.col(hypothesis)).alias("h_"), tokens_13a(F.col(reference)).alias("r_"))
     sums = [F.sum(F.size("h_")).alias("hyp_len"), F.sum(F.size("r_")).alias("ref_len")]
+    frame = frame.select("*", *(ngrams(F.col(f"{side}_"), n).alias(f"{side}{n}_0") for n in ORDERS for side in "hr"))
+    for step in range(DEPTH):
+        frame = frame.select("*", *(repeated(F.col(f"{side}{n}_{step}")).alias(f"{side}{n}_{step + 1}") for n in ORDERS for side in "hr"))
     for n in ORDERS:
-        frame = frame.withColumn(f"h{n}_", ngrams(F.col("h_"), n)).withColumn(f"r{n}_", ngrams(F.col("r_"), n))
-        sums += [F.sum(clipped(F.col(f"h{n}_"), F.col(f"r{n}_"))).alias(f"match{n}"), F.sum(F.size(f"h{n}_")).alias(f"total{n}")]
+        match = sum((shared(F.col(f"h{n}_{step}"), F.col(f"r{n}_{step}")) for step in range(DEPTH)), shared_counts(F.col(f"h{n}_{DEPTH}"), F.col(f"r{n}_{DEPTH}")))
+        sums += [F.sum(match).alias(f"match{n}"), F.sum(F.size(f"h{n}_0")).alias(f"total{n}")]
     return frame.groupBy(*keys).agg(*sums)
 
 

@@ -11,6 +11,9 @@ PUNCTUATION = r"[\p{P}$+<=>^`|~]"
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
+MOST_WORDS = 0x10000 - 0x800 - 0x100
+
+
 def remove_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, PUNCTUATION, "")
 
@@ -49,15 +52,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(collapse_spaces(text), " "), lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(x) with x standing for the value, which is worked out once however often and wherever use() names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words.
 
     Each different word of the pair becomes one character of its own, so the built-in distance of strings counts words.
-    Characters are dealt from U+0100 on, past the range of surrogates: up to some 60,000 different words a pair.
+    Characters are dealt from U+0100 on, past the range of surrogates: up to some 63,000 different words a pair; more raise.
     """
-    known = F.array_distinct(F.concat(a, b))
 
-    def coded(words: Column) -> Column:
+    def coded(words: Column, known: Column) -> Column:
         def char(w: Column) -> Column:
             at = F.array_position(known, w) + 255
             at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
@@ -65,13 +72,18 @@ def token_distance(a: Column, b: Column) -> Column:
 
         return F.array_join(F.transform(words, char), "")
 
-    return F.levenshtein(coded(a), coded(b))
+    def measured(x: Column) -> Column:
+        edits = F.levenshtein(coded(x["a"], x["known"]), coded(x["b"], x["known"]))
+        return F.when(F.size(x["known"]) > MOST_WORDS, F.raise_error(F.lit("too many different words in a pair"))).otherwise(edits)
+
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return let(pair, lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("known")), measured))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word edits over the words of the reference; null for a reference without words."""
-    a, b = tokens(reference), tokens(hypothesis)
-    return F.try_divide(token_distance(a, b).cast("double"), F.size(a).cast("double"))
+    pair = F.struct(tokens(reference).alias("a"), tokens(hypothesis).alias("b"))
+    return let(pair, lambda p: F.try_divide(token_distance(p["a"], p["b"]).cast("double"), F.size(p["a"]).cast("double")))
 
 
 def speaker_number(text: Column) -> Column:

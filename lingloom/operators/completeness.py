@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def with_completeness(linked: DataFrame, reference: DataFrame, keys: list[str], distinct_on: str | None = None) -> DataFrame:
-    """linked with full_paragraph: as many rows of its group as reference has. distinct_on: compare different values of it instead."""
-    number = F.countDistinct(distinct_on) if distinct_on else F.count(F.lit(1))
-    have, need = linked.groupBy(*keys).agg(number.alias("have_")), reference.groupBy(*keys).agg(number.alias("need_"))
-    whole = have.join(need, keys, "left").select(*keys, F.coalesce(F.col("have_") == F.col("need_"), F.lit(False)).alias("full_paragraph"))
-    return linked.join(whole, keys).select(*linked.columns, "full_paragraph")
+    """linked (without rows of null keys) with full_paragraph: as many rows of its group as reference has. distinct_on: compare
+    different values of it instead."""
+    group = Window.partitionBy(*keys)
+    have = F.size(F.collect_set(distinct_on).over(group)) if distinct_on else F.count(F.lit(1)).over(group)
+    need = reference.groupBy(*keys).agg((F.countDistinct(distinct_on) if distinct_on else F.count(F.lit(1))).alias("need_"))
+    # A window keeps linked in the plan once; a join with its own counts would have it worked out twice.
+    counted = linked.dropna(subset=keys).withColumn("have_", have).join(need, keys, "left")
+    return counted.select(*linked.columns, F.coalesce(F.col("have_") == F.col("need_"), F.lit(False)).alias("full_paragraph"))
 
 
 def paragraph_counts(flagged: DataFrame, keys: list[str], paragraph: str) -> DataFrame:

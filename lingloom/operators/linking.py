@@ -15,8 +15,10 @@ def voiced(recordings: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def rewritten(frame: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """frame with column replaced by mapping.new where mapping.old equals it, all at once."""
-    return frame.join(mapping.select(F.col("old").alias(column), F.col("new").alias("new_")), column, "left").withColumn(column, F.coalesce("new_", column)).drop("new_").select(*frame.columns)
+    """frame with column replaced by mapping.new where mapping.old equals it, all at once. Of several rows of one old value the
+    smallest new one counts."""
+    one = mapping.groupBy(F.col("old").alias(column)).agg(F.min("new").alias("new_"))
+    return frame.join(one, column, "left").withColumn(column, F.coalesce("new_", column)).drop("new_").select(*frame.columns)
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

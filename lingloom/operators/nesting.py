@@ -40,6 +40,9 @@ def numbered(frame: DataFrame, keys: list[str], order: list[str], name: str = "s
 
 
 def with_media(items: Column, prefix: Column, rate: int = 16000) -> Column:
-    """Elements with a field audio: path and sampling rate of each file, from the fields split and filename (arrays)."""
-    paths = lambda x: F.transform(F.arrays_zip(x["split"].alias("split"), x["filename"].alias("filename")), lambda z: F.struct(F.concat_ws("/", prefix, z["split"], z["filename"]).alias("path"), F.lit(rate).alias("sampling_rate")))
-    return F.transform(items, lambda x: x.withField("audio", paths(x)))
+    """Elements with a field audio: path and sampling rate of each file of their field recordings (split, filename, ...)."""
+
+    def path(recording: Column) -> Column:
+        return F.struct(F.concat_ws("/", prefix, recording["split"], recording["filename"]).alias("path"), F.lit(rate).alias("sampling_rate"))
+
+    return F.transform(items, lambda x: x.withField("audio", F.transform(x["recordings"], path)))

@@ -1,46 +1,60 @@
 """Joins of texts within a small edit distance.
 
 A plain edit-distance predicate compares all pairs. Instead, each reference text is cut into k + 1 pieces; k edits leave
-at least one of them whole, so it stands in the other text near its place. Pieces and the possible substrings meet in an
-equi-join (on group, length, piece number and piece), and only those pairs are measured. Nothing is lost.
+at least one of them whole, so it stands in the other text near its place. Pieces and the possible substrings, as 64-bit
+hashes of (keys, length, piece number, piece), meet in an equi-join of hashes and text numbers only; texts come back for
+the pairs that are left, and those are measured. Nothing is lost, and what meets by chance is measured too. A piece that
+very many texts of one length share still makes a candidate of every pair of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def piece_hashes(keys: list[str], k: int) -> Column:
+    """The hashes of the k + 1 pieces of column b; a text shorter than that is one piece without content."""
+    key = ", ".join([*(f"`{c}`" for c in keys), "n"])
+    begin, end = f"cast(i * n div {k + 1} as int)", f"cast((i + 1) * n div {k + 1} as int)"
+    piece = f"xxhash64({key}, i, substring(b, {begin} + 1, {end} - {begin}))"
+    return F.expr(f"if(n > {k}, transform(sequence(0, {k}), i -> {piece}), array(xxhash64({key}, -1, '')))")
+
+
+def probe_hashes(keys: list[str], k: int) -> Column:
+    """The hashes that a piece within k edits of column a may have, for all lengths of its text.
+
+    Of piece i, at most i edits stand before it and k - i after it: so far it can have moved.
+    """
+    key = ", ".join([*(f"`{c}`" for c in keys), "n"])
+    begin, size = f"cast(i * n div {k + 1} as int)", f"(cast((i + 1) * n div {k + 1} as int) - cast(i * n div {k + 1} as int))"
+    fits = f"s >= greatest(-i, (m - n) - ({k} - i)) and s <= least(i, (m - n) + ({k} - i)) and {begin} + s >= 0 and {begin} + s + {size} <= m"
+    shifted = f"transform(filter(sequence(-{k}, {k}), s -> {fits}), s -> xxhash64({key}, i, substring(a, {begin} + s + 1, {size})))"
+    of_length = f"if(n > {k}, flatten(transform(sequence(0, {k}), i -> {shifted})), array(xxhash64({key}, -1, '')))"
+    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(m - {k}, 0), m + {k}), n -> {of_length})))")
+
+
 def within_distance(left: DataFrame, right: DataFrame, k: int = 3, keys: list[str] | None = None) -> DataFrame:
     """keys, a, b, distance: different texts left.text and right.text of equal keys at most k edits apart.
 
-    Both sides have a column text (and the keys). Equal rows count once; null texts match nothing.
+    Both sides have a column text (and the keys). Equal rows count once; null texts and null keys match nothing.
     """
     keys = keys or []
-    a = left.select(*keys, F.col("text").alias("a")).where("a IS NOT NULL").distinct()
-    b = right.select(*keys, F.col("text").alias("b")).where("b IS NOT NULL").distinct()
-    p = k + 1
-    # Piece i of a text of length n: from i * n / p to (i + 1) * n / p, in characters, from 0.
-    pieces = b.withColumn("n", F.length("b")).select(
-        *keys, "b", "n",
-        F.explode(F.when(F.col("n") >= p, F.expr(f"transform(sequence(0, {k}), i -> struct(i, substring(b, cast(i * n div {p} as int) + 1, cast((i + 1) * n div {p} as int) - cast(i * n div {p} as int)) as piece))")).otherwise(F.expr("array(struct(-1 as i, '' as piece))"))).alias("x"),
-    ).select(*keys, "b", "n", "x.i", "x.piece")
-    # Of piece i, i edits at most stand before it or k - i after it: so far it can have moved.
-    begin, size = f"cast(i * n div {p} as int)", f"(cast((i + 1) * n div {p} as int) - cast(i * n div {p} as int))"
-    probes = (
-        a.withColumn("m", F.length("a"))
-        .select(*keys, "a", "m", F.explode(F.expr(f"sequence(greatest(m - {k}, 0), m + {k})")).alias("n"))
-        .select(*keys, "a", "m", "n", F.explode(F.expr(f"if(n >= {p}, sequence(0, {k}), array(-1))")).alias("i"))
-        .select(
-            *keys, "a", "n", "i",
-            F.explode(F.expr(
-                f"if(i < 0, array(''), transform(filter(sequence(-{k}, {k}), s -> s >= greatest(-i, (m - n) - ({k} - i)) and s <= least(i, (m - n) + ({k} - i)) and {begin} + s >= 0 and {begin} + s + {size} <= m), s -> substring(a, {begin} + s + 1, {size})))"
-            )).alias("piece"),
-        )
-        .distinct()
-    )
-    pairs = probes.join(pieces, [*keys, "n", "i", "piece"]).select(*keys, "a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
+    given = [F.col(c).isNotNull() for c in keys]
+    texts = {}
+    for side, frame in (("a", left), ("b", right)):
+        rows = frame.select(*keys, F.col("text").alias(side)).where(F.col(side).isNotNull())
+        for known in given:
+            rows = rows.where(known)
+        texts[side] = rows.distinct().withColumn(f"{side}_id", F.xxhash64(*keys, side))
+    pieces = texts["b"].withColumn("n", F.length("b")).select("b_id", F.explode(piece_hashes(keys, k)).alias("piece"))
+    probes = texts["a"].withColumn("m", F.length("a")).select("a_id", F.explode(probe_hashes(keys, k)).alias("piece"))
+    pairs = probes.join(pieces, "piece").select("a_id", "b_id").distinct()
+    # A number that two texts share brings both back; keys and distance are of the texts themselves.
+    found = pairs.join(texts["a"], "a_id").join(texts["b"].select("b_id", "b", *(F.col(c).alias(f"{c}_b") for c in keys)), "b_id")
+    for c in keys:
+        found = found.where(F.col(c) == F.col(f"{c}_b"))
+    return found.select(*keys, "a", "b", F.levenshtein("a", "b", k).alias("distance")).where("distance >= 0").distinct()
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 3, keys: list[str] | None = None, order: str = "ord") -> DataFrame:

@@ -10,7 +10,7 @@ from lingloom.functions.splits import resolve, route
 from lingloom.functions.text import char_error_rate, class_code, normalise, normalised_distance, strip, word_error_rate
 from lingloom.operators.completeness import paragraph_counts, with_completeness
 from lingloom.operators.linking import links, voiced
-from lingloom.operators.nesting import nest, unnest
+from lingloom.operators.nesting import nest, unnest, with_media
 from lingloom.operators.reports import array_mean, best_hypothesis, pivot_summary
 
 RECORDING = ["filename", "gender", "num_samples", "speaker_id", "split"]
@@ -20,7 +20,10 @@ TOPICS = ["science/technology", "travel", "politics", "sports", "health", "enter
 
 def nested_sentences(recordings: DataFrame, activity: DataFrame | None = None) -> DataFrame:
     """lang, fleurs_id, raw_transcription, transcription, recordings: one row a sentence, recordings in order of file and split."""
-    kept = recordings.dropDuplicates(["lang", "fleurs_id", "filename"])
+    key = ["lang", "fleurs_id", "filename"]
+    rest = [c for c in recordings.columns if c not in key]
+    # Of rows of one file the smallest stays, so that a second run gives the same.
+    kept = recordings.groupBy(*key).agg(F.min(F.struct("split", *(c for c in rest if c != "split"))).alias("row_")).select(*key, "row_.*")
     if activity is not None:
         kept = voiced(kept, activity)
     return nest(kept, ["lang", "fleurs_id"], ["filename", "split"], RECORDING, "recordings", ["raw_transcription", "transcription"])
@@ -86,9 +89,13 @@ def link_topics(spoken: DataFrame, topics: DataFrame, k: int = 3, by_split: bool
     return joined.withColumn("split", route(F.transform("recordings", lambda r: r["split"]))).where("split IS NOT NULL").drop("topic_split")
 
 
-def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, media: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Questions (lang, link, passage, ...) of complete paragraphs with sentence_data, its sentences in order of id; and the
-    (lang, link, passage, distance) set aside, whose passage is not near enough to the sentences joined."""
+    (lang, link, passage, distance) set aside, whose passage is not near enough to the sentences joined.
+
+    media: the folder of the sound files; each sentence then has audio, the paths and rates of its recordings.
+    strict: a passage that is not near enough raises when the questions are read.
+    """
     whole = linked.where("full_paragraph")
     fields = [c for c in whole.columns if c not in ("lang", "url", "full_paragraph")]
     data = nest(whole, ["lang", "url"], ["id", "sentence"], fields, "sentence_data").withColumnRenamed("url", "link")
@@ -97,6 +104,11 @@ def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05) -> t
     passages = items.select("lang", "link", "passage").distinct().join(data, ["lang", "link"])
     passages = passages.withColumn("distance", normalised_distance(normalise(F.col("passage")), F.col("text_")))
     near = F.col("distance") < limit
+    if media is not None:
+        passages = passages.withColumn("sentence_data", with_media(F.col("sentence_data"), F.lit(media)))
+    if strict:
+        far = F.raise_error(F.concat(F.lit("a passage differs from its sentences: "), F.col("lang"), F.lit(" "), F.col("link").cast("string")))
+        passages = passages.withColumn("distance", F.when(near, F.col("distance")).otherwise(far.cast("double")))
     good = items.join(passages.where(near).select("lang", "link", "passage", "sentence_data"), ["lang", "link", "passage"])
     return good, passages.where(~near | F.col("distance").isNull()).select("lang", "link", "passage", "distance")
 

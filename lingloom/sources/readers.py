@@ -52,6 +52,12 @@ def read_union(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame over all cores, if its scan has fewer tasks than that; a larger table is left as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def read_completed(spark: SparkSession, path: str) -> DataFrame:
     """The log of finished work: lang, split, number."""
     return spark.read.schema("lang string, split string, n long").csv(path, sep="\t")
