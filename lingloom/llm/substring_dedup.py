@@ -3,19 +3,22 @@
 Pass 1 takes the minimizer of every window, its run of 10 words of the smallest hash: equal windows have equal
 minimizers at equal distances, so there are at least as many places of a minimizer as of a window, and about a sixth as
 many places as windows. A task sends the cells that its minimizers hit in each row of the sketch, with a mark on those
-hit twice; cells merge by shard, streaming, into the bits "hit at least twice". The merged bits have a fixed size
-(depth * 2**bits / 8 bytes, 32 MB by default), whatever the corpus, and go to all tasks.
+hit twice; cells merge by shard, streaming, into the bits "hit at least twice". The merged bits are sized by the corpus,
+four cells or more to a minimizer, up to 2**MOST_BITS cells a row (64 MB in all), and go to all tasks.
 Pass 2 keeps the windows whose minimizer has the bit in all rows: every repeated window is among them, as the sketch
 never underestimates. Where a window occurs again inside one part of a task, only its first place travels and the others
 are marked at once, so a passage that a third of all rows share sends one row a part. Exact grouping by minimizer and
-window hash (128 bits) marks all but the first place. With far more minimizers than cells the sketch lets more windows
-through; results stay the same and only the second pass grows.
+window hash (128 bits) marks all but the first place. Windows are dealt by their minimizer, those of minimizers of very
+many windows (pass 1 counts them in 2**16 cells) by their own hash: a line that is common but stands in ever new
+surroundings fills no task. With far more minimizers than cells the sketch lets more windows through; results stay the
+same and only the second pass grows.
 Pass 3 brings marks and texts together and removes the words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.llm.scratch import Shared, stored
+from lingloom.llm.scratch import Shared, dropped, stored
 from lingloom.llm.words import SLICE, SPACE, mixed, sequences, slices, u64, words
 
 WINDOW = 20
 GRAM = 10
 SHARD_BITS = 16
 PART = 1 << 21  # windows that a task gathers before it sends their cells or places
+MOST_BITS = 28
+HEAVY = 1 << 18  # windows of a cell of minimizers from which on they are dealt by their own hash
+COUNTS = -1  # in place of a row of the sketch
+SHARE = 1 << 11  # cells of minimizers that are counted together
 
 
 def order_key() -> Column:
@@ -88,11 +95,12 @@ def sketches(docs: DataFrame, window: int, depth: int, bits: int) -> DataFrame:
                     columns = zip(*out[lo : lo + 2048], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["row", "shard", "low", "again"])
 
-        number = 0
+        number, windows = 0, np.zeros(1 << 16, np.int64)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 w = words(data, offsets)
                 gram, _, place = minimizers(w.hashes(), w.first, window)
+                windows += np.bincount((gram[place] >> u64(48)).astype(np.int64), minlength=1 << 16)
                 for row, cell in enumerate(cells(gram[place[np.diff(place, prepend=-1) > 0]], depth, bits)):
                     held[row].append(cell)
                 number += len(place)
@@ -100,22 +108,31 @@ def sketches(docs: DataFrame, window: int, depth: int, bits: int) -> DataFrame:
                     yield from send()
                     number = 0
         yield from send()
+        shards = range(0, 1 << 16, SHARE)
+        used = [np.flatnonzero(windows[k : k + SHARE]) for k in shards]
+        columns = [pa.array([COUNTS] * len(used), pa.int32()), pa.array([k // SHARE for k in shards], pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in used]), pa.array([windows[k + x].tobytes() for k, x in zip(shards, used, strict=True)])]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "shard", "low", "again"])
 
     return docs.select("text").mapInArrow(sketch, "row int, shard int, low binary, again binary")
 
 
 def merged(parts: DataFrame, tasks: int) -> DataFrame:
-    """row, shard, bits: which cells were hit at least twice over all parts. A task holds its share of the sketch, at two bytes a cell."""
+    """row, shard, bits: which cells were hit at least twice over all parts; and how many windows each cell of minimizers has. A task holds its share of the sketch, at two bytes a cell."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        windows: dict[int, np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                if r["row"] == COUNTS:
+                    windows.setdefault(r["shard"], np.zeros(SHARE, np.int64))[np.frombuffer(r["low"], np.uint16)] += np.frombuffer(r["again"], np.int64)
+                    continue
                 once, twice = seen.setdefault((r["row"], r["shard"]), (np.zeros(1 << SHARD_BITS, bool), np.zeros(1 << SHARD_BITS, bool)))
                 low = np.frombuffer(r["low"], np.uint16)
                 twice[low] |= once[low] | np.unpackbits(np.frombuffer(r["again"], np.uint8), count=len(low)).astype(bool)
                 once[low] = True
         out = [(row, shard, np.packbits(twice).tobytes()) for (row, shard), (_, twice) in seen.items() if twice.any()]
+        out += [(COUNTS, shard, x.tobytes()) for shard, x in windows.items()]
         for lo in range(0, len(out), 64):
             columns = zip(*out[lo : lo + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row", "shard", "bits"])
@@ -123,13 +140,18 @@ def merged(parts: DataFrame, tasks: int) -> DataFrame:
     return parts.repartition(max(tasks, 16), "row", "shard").mapInArrow(merge, "row int, shard int, bits binary")
 
 
-def gathered(parts: DataFrame, depth: int, bits: int) -> np.ndarray:
-    """The bits of the merged sketch [row, byte]: of a fixed size, so the driver may hold them."""
-    out = np.zeros((depth, 1 << bits >> 3), np.uint8)
+def gathered(parts: DataFrame, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the merged sketch [row, byte], of a bounded size, so the driver may hold them; and which cells of minimizers are heavy."""
+    out, heavy = np.zeros((depth, 1 << bits >> 3), np.uint8), np.zeros(1 << 16, bool)
     size = 1 << SHARD_BITS >> 3
-    for r in stored(parts, "sketch").toLocalIterator():  # from the written table, a few rows at a time
-        out[r["row"], r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    table = stored(parts, "sketch")
+    for r in table.toLocalIterator():  # from the written table, a few rows at a time
+        if r["row"] == COUNTS:
+            heavy[r["shard"] * SHARE : (r["shard"] + 1) * SHARE] = np.frombuffer(r["bits"], np.int64) >= HEAVY
+        else:
+            out[r["row"], r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    dropped(table)
+    return out, heavy
 
 
 def first_places(gram: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +205,7 @@ def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, tasks: i
     buckets = 8 * tasks
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = sketch.value
+        bit, heavy = sketch.value
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -195,15 +217,18 @@ def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, tasks: i
             place = number << 32 | start
             only, late = first_places(gram, h, place)
             if len(late):
-                yield from marks(docs_at, place[late], tasks)
-            only = only[np.lexsort((place[only], gram[only]))]
+                yield from marks(docs_at, place[late], buckets)
+            own = heavy[(gram[only] >> u64(48)).astype(np.int64)]
+            dealt = (np.where(own, mixed(h[only]), gram[only]) >> u64(32)).astype(np.int64) * buckets >> 32
+            order = np.lexsort((place[only], gram[only], dealt))
+            only, own, dealt = only[order], own[order], dealt[order]
             gram, h, place = gram[only], h[only], place[only]
-            new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(place, prepend=-2) != 1))
+            new = np.flatnonzero(own | (np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(place, prepend=-2) != 1))
             runs = np.zeros(len(new), RUN)
             runs["gram"], runs["doc"], runs["start"] = gram[new], place[new] >> 32, place[new] & 0xFFFFFFFF
             ends = np.append(new[1:], len(gram))
             runs["length"] = ends - new
-            bounds = np.searchsorted((runs["gram"] >> u64(32)).astype(np.int64) * buckets >> 32, np.arange(buckets + 1))
+            bounds = np.searchsorted(dealt[new], np.arange(buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(bounds)):
                 own = runs[bounds[k] : bounds[k + 1]].copy()
@@ -240,13 +265,29 @@ def places(docs: DataFrame, window: int, depth: int, bits: int, sketch, tasks: i
 def late_places(found: DataFrame, tasks: int) -> DataFrame:
     """ord, rid, late (runs of starts, packed) for documents with windows that repeat earlier ones."""
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, h, ord_, rid, start = [], [], [], [], []
+    def in_buckets(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[list[dict]]:
+        """Rows of a kind, a bucket at a time; those of the other kind one by one."""
+        now, held = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == 1:
-                    yield from found_rows([tuple(r.values())])
+                if r["kind"] != kind:
+                    yield [r]
                     continue
+                if r["bucket"] != now and held:
+                    yield held
+                    held = []
+                now = r["bucket"]
+                held.append(r)
+        if held:
+            yield held
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_buckets(batches, 0):
+            if rows[0]["kind"] == 1:
+                yield from found_rows([tuple(rows[0].values())])
+                continue
+            gram, h, ord_, rid, start = [], [], [], [], []
+            for r in rows:
                 ids = np.frombuffer(r["payload"], np.int64, 2 * r["docs"]).reshape(2, -1)
                 runs = np.frombuffer(r["payload"], RUN, r["runs"], 16 * r["docs"])
                 length = runs["length"].astype(np.int64)
@@ -256,27 +297,27 @@ def late_places(found: DataFrame, tasks: int) -> DataFrame:
                 start.append(np.repeat(runs["start"].astype(np.int64) - np.cumsum(length) + length, length) + np.arange(length.sum()))
                 ord_.append(ids[0][doc])
                 rid.append(ids[1][doc])
-        if h:
             docs_at, number = numbered(np.concatenate(ord_), np.concatenate(rid))
             place = number << 32 | np.concatenate(start)
             _, late = first_places(np.concatenate(gram), np.concatenate(h), place)
             if len(late):
-                yield from marks(docs_at, place[late], tasks)
+                yield from marks(docs_at, place[late], buckets)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(x for batch in batches for x in batch.column("payload").to_pylist())
-        all_ = np.frombuffer(raw, MARK)
-        if len(all_):
+        for rows in in_buckets(batches, 1):
+            all_ = np.frombuffer(b"".join(r["payload"] for r in rows), MARK)
             all_ = all_[np.lexsort((all_["start"], all_["rid"], all_["ord"]))]
             new = np.flatnonzero((np.diff(all_["ord"], prepend=~all_["ord"][:1]) != 0) | (np.diff(all_["rid"], prepend=~all_["rid"][:1]) != 0))
             ends = np.append(new[1:], len(all_))
             pairs = np.stack([all_["start"], all_["length"]], 1)
             for lo in range(0, len(new), 4096):
                 part = slice(lo, lo + 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(all_["ord"][new[part]]), pa.array(all_["rid"][new[part]]), pa.array([pairs[a:b].tobytes() for a, b in zip(new[part], ends[part], strict=True)], pa.binary())], ["ord", "rid", "late"])
+                runs = [pairs[a:b].tobytes() for a, b in zip(new[part], ends[part], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(all_["ord"][new[part]]), pa.array(all_["rid"][new[part]]), pa.array(runs, pa.binary())], ["ord", "rid", "late"])
 
-    late = found.repartition(tasks, "bucket").mapInArrow(group, FOUND)
-    return late.repartition(tasks, "bucket").mapInArrow(collect, "ord long, rid long, late binary")
+    buckets = 8 * tasks
+    late = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(group, FOUND)
+    return late.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(collect, "ord long, rid long, late binary")
 
 
 def cleaned(data: np.ndarray, offsets: np.ndarray, late: list[bytes | None], window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -304,7 +345,7 @@ def cleaned(data: np.ndarray, offsets: np.ndarray, late: list[bytes | None], win
     return number, gone, [out[a:b].tobytes() for a, b in zip(places_[:-1], places_[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits: int = 27, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits: int | None = None, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by blanks), kept_sha256 for every row of docs(doc_id, text, ...).
 
     Words are runs of characters other than space and tab to carriage return, unchanged. A word is removed if a window of
@@ -312,10 +353,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits:
     in the same one. Windows are judged on the input. Null texts have no words. doc_id is an integer; rows without one
     come after all others. Rows of one doc_id with different texts are separate documents, in the order of a hash;
     rows equal in id and text are judged as one and get the same result. Texts shorter than a window lose nothing.
-    Other columns are ignored; an empty table gives an empty result. texts: whether to return kept, the texts themselves.
+    Other columns are ignored; an empty table gives an empty result. bits: of the cells of a row of the sketch, by default
+    by the size of the texts; docs is read three times and must give the same rows each time. texts: whether to return kept, the texts themselves.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if bits is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(MOST_BITS, math.ceil(math.log2(size // 10 + 1)))
     bits = max(bits, SHARD_BITS)
     given = Shared(spark)
     sketch = given.give(gathered(merged(sketches(docs, window, depth, bits), tasks), depth, bits))
