@@ -9,7 +9,7 @@ As both layers are linear, a trained model is one table of scores [bucket, langu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ SIZES = (2, 3, 4)
 BITS = 15
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
+MOST_LABELS = 500  # values of a label that are learned, the most frequent first
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -86,20 +87,21 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 5) -> Model:
-    """A model of the labelled texts; the last fifth (in a fixed shuffle) only calibrates it."""
+def gram_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, each once, and how often it has them."""
+    data = normalised(data)
+    return np.unique(np.concatenate([buckets(data, size) for size in SIZES]).astype(np.int32), return_counts=True)
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 5) -> Model:
+    """A model of the labelled texts (as gram_counts() gives them); the last fifth (in a fixed shuffle) only calibrates it."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     label = np.array([languages.index(x) for x in langs])[order]
-    grams = []
-    for k in order:
-        data = normalised(np.frombuffer(texts[k].encode(), np.uint8))
-        counts = np.bincount(np.concatenate([buckets(data, size) for size in SIZES]), minlength=1 << BITS)
-        at = np.flatnonzero(counts)
-        grams.append((at, (counts[at] / max(1, counts.sum())).astype(np.float32)))
+    grams = [(at, (counts / max(1, counts.sum())).astype(np.float32)) for at, counts in (texts[k] for k in order)]
     cut = max(1, len(texts) - len(texts) // 5)
     embed = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
@@ -139,23 +141,44 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 6, ra
     return model
 
 
-def sample(docs: DataFrame, label: str, bound: int, salt: int) -> DataFrame:
+def sample(docs: DataFrame, label: str, bound: int, salt: int, most: int = MOST_LABELS) -> DataFrame:
     """About `bound` rows of docs with each value of the label, and never above twice as many rows as that in all.
 
-    Rows are taken by a hash of their text, at a rate from the exact counts of the values, so no group meets in one task.
+    Rows are taken by a hash of their text, at a rate from the exact counts of the values, so no group meets in one task;
+    the first by the hash, should there be too many. Of labels beyond the `most` most frequent none is taken.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label) == value, min(1.0, bound / n)).otherwise(rate)
+    counts = docs.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most)
+    rates = counts.select(F.col(label), F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count")).alias("rate_"))  # `most` rows at most
     draw = F.pmod(F.xxhash64(F.lit(salt), F.col("text"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    return docs.where(draw < rate).limit(2 * bound * max(1, len(counts)))
+    drawn = docs.join(F.broadcast(rates), label).withColumn("draw_", draw).where("draw_ < rate_")
+    return drawn.orderBy("draw_", "doc_id").limit(2 * bound * max(1, counts.count())).select(*docs.columns)
+
+
+def featured(rows: DataFrame, label: str, features: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> list[tuple[object, tuple[np.ndarray, ...]]]:
+    """(label, arrays) of each row (text, label), in an order of their own, so that a model does not hang on how rows arrive.
+
+    The tasks turn texts into arrays of whole numbers, of as many entries as there are buckets at most: the driver gets
+    no text, however long.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text"):
+                arrays = features(np.frombuffer((text.as_py() or "").encode(), np.uint8))
+                out.append([x.astype(np.int32).tobytes() for x in arrays])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.binary()))], ["label", "arrays"])
+
+    kind = rows.schema[label].dataType.simpleString()
+    got = rows.select(F.col(label).alias("label"), "text").mapInArrow(find, f"label {kind}, arrays array<binary>").collect()
+    got = sorted((tuple(map(bytes, r["arrays"])), r["label"]) for r in got)
+    return [(value, tuple(np.frombuffer(x, np.int32) for x in arrays)) for arrays, value in got]
 
 
 def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs(doc_id, text, lang, ...).
 
-    It learns from about `per_language` texts of each non-null lang outside the held-out fold (crc32(doc_id) mod 3 = 1;
+    It learns from about `per_language` texts of each non-null lang (of the MOST_LABELS most frequent) outside the held-out fold (crc32(doc_id) mod 3 = 1;
     a null doc_id counts as an empty text). lang_pred is a learned language, or `und` with score 0 if the text is null,
     empty or has no letter, or nothing could be learned. score: the calibrated probability. rejected: it is `und` or
     the score is under that of the lowest hundredth of the calibration texts. Repeated rows give repeated rows; other
@@ -163,9 +186,8 @@ def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:
     """
     held = fold(F.col("doc_id"), FOLDS) == HELD
     known = docs.select("doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # In an order of its own, so that the model does not hang on how rows arrive.
-    rows = sorted((r["text"], r["lang"]) for r in sample(known, "lang", per_language, 29).select("text", "lang").collect())
-    model = train([t for t, _ in rows], [x for _, x in rows])
+    rows = featured(sample(known, "lang", per_language, 29), "lang", gram_counts)
+    model = train([x for _, x in rows], [lang for lang, _ in rows])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)

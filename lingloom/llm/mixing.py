@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.llm.language_id import sample
-from lingloom.llm.quality import BITS, features
+from lingloom.llm.language_id import featured, sample
+from lingloom.llm.quality import BITS, features, presence
 from lingloom.llm.scratch import stored
 from lingloom.llm.words import SLICE, slices, words
 
@@ -45,8 +45,8 @@ class Classifier:
         return z / z.sum(1, keepdims=True)
 
 
-def trained(texts: list[str], labels: list[str], domains: list[str], share: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 11) -> Classifier:
-    """Softmax regression by adaptive gradient steps; a fifth of the texts (in a fixed shuffle) fits its temperature.
+def trained(texts: list[np.ndarray], labels: list[str], domains: list[str], share: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 11) -> Classifier:
+    """Softmax regression on texts (their buckets) by adaptive gradient steps; a fifth of the texts (in a fixed shuffle) fits its temperature.
 
     share: of each domain among all labelled rows; the sample may hold other shares, and the bias makes up for it.
     """
@@ -56,10 +56,7 @@ def trained(texts: list[str], labels: list[str], domains: list[str], share: np.n
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     y = np.array([domains.index(labels[k]) for k in order])
-    rows = []
-    for k in order:
-        raw = np.frombuffer(texts[k].encode(), np.uint8)
-        rows.append(features(raw, np.array([0, len(raw)]))[1].astype(np.int32))
+    rows = [texts[k] for k in order]
     cut = max(1, len(texts) - len(texts) // 5)
     # Buckets of one text only say nothing about other texts, and a text of new words must not stand out by them.
     count = np.zeros(1 << BITS, np.int32)
@@ -101,9 +98,10 @@ def learned(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain
     share = np.array([total.get(d, 0) for d in domains], float)
     draws = sample(marks.withColumn("text", F.lit("")), "domain", per_domain, 37).select("doc_id", "domain")
     # Twice per_domain ids for each domain at most, so the side has a fixed bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(draws), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"] or "", r["domain"]) for r in rows)
-    return trained([t for _, t, _ in rows], [d for _, _, d in rows], domains, share / max(1.0, share.sum()))
+    # Of rows that share an id the smallest text counts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(draws), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    rows = featured(rows, "domain", presence)
+    return trained([x for _, (x,) in rows], [domain for domain, _ in rows], domains, share / max(1.0, share.sum()))
 
 
 def replayed(posteriors: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +169,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     share /= share.sum()
     model = learned(docs, labelled, domains, per_domain)
     keep = keep or ["doc_id", "source"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    name = lambda c: f"`{c.replace('`', '``')}`"
+    fields = ", ".join(f"{name(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +180,7 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(n), pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(domains), dtype=np.int32), p.ravel()), batch.column("draw_").slice(lo, hi - lo)], [*keep, "n_tokens", "posteriors", "draw_"])
 
     draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit(41), "doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    small = docs.select(*keep, F.col("text").alias("text_"), draw.alias("draw_")).mapInArrow(member, f"{fields}, n_tokens bigint, posteriors array<double>, draw_ double")
+    small = docs.select(*map(name, keep), F.col("text").alias("text_"), draw.alias("draw_")).mapInArrow(member, f"{fields}, n_tokens bigint, posteriors array<double>, draw_ double")
     small = stored(small, "posteriors")
     steps = fitted(small, share)
     width = len(domains)

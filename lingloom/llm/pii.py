@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lingloom.llm.words import SLICE, slices
+from lingloom.llm.words import SLICE, lowered, mixed, slices, u64
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -98,7 +98,20 @@ BYTE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER_BYTE
 BYTE[48:58] = DIGIT_BYTE
 PUNCT_SHAPE = np.full(256, FIRST_PUNCT + len(PUNCT), np.int16)
 PUNCT_SHAPE[[ord(c) for c in PUNCT]] = np.arange(FIRST_PUNCT, FIRST_PUNCT + len(PUNCT))
-CUE_OF = {int.from_bytes(w.encode().ljust(8, b"\0")[:8], "little"): FIRST_CUE + k for k, line in reversed(list(enumerate(CUES))) for w in line if len(w) <= 8}
+LONGEST = 16  # bytes of a cue word
+
+
+def cue_key(low: np.ndarray | np.uint64, high: np.ndarray | np.uint64) -> np.ndarray:
+    """One number for a word of up to LONGEST bytes, of its first eight and its other bytes."""
+    return low + mixed(np.atleast_1d(np.asarray(high, np.uint64)) + u64(1))
+
+
+def cue_of(word: str) -> int:
+    raw = word.encode().ljust(LONGEST, b"\0")
+    return int(cue_key(u64(int.from_bytes(raw[:8], "little")), u64(int.from_bytes(raw[8:], "little")))[0])
+
+
+CUE_OF = {cue_of(w): FIRST_CUE + k for k, line in reversed(list(enumerate(CUES))) for w in line}
 CUE_KEYS = np.array(sorted(CUE_OF), np.uint64)
 CUE_SHAPES = np.array([CUE_OF[k] for k in sorted(CUE_OF)], np.int16)
 
@@ -127,13 +140,13 @@ def shaped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     shape[digit] = FIRST_DIGIT + np.searchsorted(LENGTHS, size[digit], "right") - 1
     other = kinds == OTHER_BYTE
     shape[other] = PUNCT_SHAPE[data[start[other]]]
-    short = np.flatnonzero((kinds == LETTER_BYTE) & (size <= 8))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(len(short), np.uint64)
-    for k in range(8):
-        byte = padded[start[short] + k]
-        byte = byte + ((byte >= 65) & (byte <= 90)).astype(np.uint8) * np.uint8(32)
-        key |= np.where(k < size[short], byte, 0).astype(np.uint64) << np.uint64(8 * k)
+    short = np.flatnonzero((kinds == LETTER_BYTE) & (size <= LONGEST))
+    padded = lowered(np.concatenate([data, np.zeros(LONGEST, np.uint8)]))
+    halves = [np.zeros(len(short), np.uint64) for _ in range(2)]
+    for k in range(LONGEST):
+        own = np.flatnonzero(k < size[short])
+        halves[k // 8][own] |= padded[start[short[own]] + k].astype(np.uint64) << u64(8 * (k % 8))
+    key = cue_key(*halves)
     at = np.minimum(np.searchsorted(CUE_KEYS, key), len(CUE_KEYS) - 1)
     cue = CUE_KEYS[at] == key
     shape[short[cue]] = CUE_SHAPES[at[cue]]
@@ -371,7 +384,9 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs(doc_id, text, ...).
 
-    Counts and base_sha256 are of the base spans; spans has those and the field's. Positions are code points, ends
+    Counts and base_sha256 are of the base spans; spans has those and the field's. A text of over BLOCK tokens is decoded in
+    blocks that overlap, each of which decides its inner tokens: the labels can differ from those of one pass over the
+    whole text where a choice hangs on tokens more than OVERLAP away. Positions are code points, ends
     exclusive. A null text counts as empty: no spans, the hash of the empty string. Repeated rows give repeated rows;
     a null doc_id is carried through; other columns are ignored; an empty table gives an empty result.
     """

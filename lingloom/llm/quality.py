@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.llm.language_id import fold, sample
+from lingloom.llm.language_id import featured, fold, sample
 from lingloom.llm.words import SLICE, lowered, mixed, powers, slices, u64, words
 
 BITS = 17
@@ -104,18 +104,20 @@ def descend(rows: list[np.ndarray], scale: np.ndarray, ratio: np.ndarray, y: np.
     return weight, bias
 
 
-def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int = 20, smooth: float = 1.0, seed: int = 3) -> Model:
-    """A model of labelled texts; a quarter of them (in a fixed shuffle) only fits the curve over the margins."""
+def presence(data: np.ndarray) -> tuple[np.ndarray]:
+    """The buckets of one text's features."""
+    return (features(data, np.array([0, len(data)]))[1],)
+
+
+def train(texts: list[np.ndarray], labels: list[int], cost: float = 1.0, epochs: int = 20, smooth: float = 1.0, seed: int = 3) -> Model:
+    """A model of labelled texts (their buckets); a quarter of them (in a fixed shuffle) only fits the curve over the margins."""
     if len(set(labels)) < 2:
         only = float(labels[0]) if labels else 1.0
         return Model(np.zeros(1 << BITS), 0.0, 0.0, 20.0 * (2 * only - 1))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     y = np.where(np.array(labels)[order] > 0, 1.0, -1.0)
-    found = []
-    for k in order:
-        raw = np.frombuffer(texts[k].encode(), np.uint8)
-        found.append(features(raw, np.array([0, len(raw)]))[1].astype(np.int32))
+    found = [texts[k] for k in order]
     cut = max(2, len(texts) - len(texts) // 4)
     if len(set(y[:cut])) < 2:
         cut = len(texts)
@@ -151,9 +153,10 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD)).groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"))
     draws = sample(marks.withColumn("text", F.lit("")), "quality", per_class, 31).select("doc_id", "quality")
     # At most 4 * per_class ids of 8 bytes and their labels: bounded whatever the tables hold.
-    rows = docs.select("doc_id", "text").join(F.broadcast(draws), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted((r["doc_id"], r["text"] or "", r["quality"]) for r in rows)
-    return train([t for _, t, _ in rows], [q for _, _, q in rows])
+    # Of rows that share an id the smallest text counts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(draws), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = featured(rows, "quality", presence)
+    return train([x for _, (x,) in rows], [label for label, _ in rows])
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = THRESHOLD) -> DataFrame:

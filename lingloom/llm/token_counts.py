@@ -10,7 +10,8 @@ The second reads the bytes of one piece and annotates each transition with the n
 of the prefix changes (its sum over the piece is the count). It is compiled on demand: a state is the set of starts
 that a token may still have, each with its place in the trie of tokens, the token that ends there and its count
 relative to the present one. On a byte, of all tokens that may end here exactly one is the last of the prefix: that
-whose pair with the token before it encodes to itself. All pieces of a slice run in lockstep through its table.
+whose pair with the token before it encodes to itself. All pieces of a slice run in lockstep through its table, from the
+start state; chunks of longer pieces by maps of their entry states that compose by a scan, as the splitter's do.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ SENTINEL = 0x110000
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 64
 SLICE = 2 << 20
-LONG = 48  # bytes of a piece that run in lockstep; the rest of a longer one runs alone
+LONG = 48  # bytes of a piece that run in lockstep with other pieces; the rest of a longer one is cut into such chunks
+SCAN = 1024  # chunks that run together
+ROUNDS = 6
 MOST_STATES = 100_000  # a slice starts with no more
 FEW = 4
 
@@ -121,11 +124,24 @@ def starts(kinds: np.ndarray) -> np.ndarray:
     return found
 
 
+def check(model: dict) -> None:
+    """Raises if the file asks for more than these transducers do."""
+    kind, before = model["model"], model.get("pre_tokenizer") or {}
+    known = {"add_prefix_space": False, "use_regex": True}
+    if kind.get("type") not in (None, "BPE") or model.get("normalizer") or any(kind.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("the model is no plain byte-level BPE without normaliser")
+    if before.get("type") != "ByteLevel" or any(before.get(k, v) != v for k, v in known.items()):
+        raise ValueError("texts are split as by ByteLevel(add_prefix_space=False) only")
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in model["added_tokens"]):
+        raise ValueError("added tokens are found as they stand only")
+
+
 class Counter:
     """The second transducer, compiled from the vocabulary and merges of a byte-level BPE."""
 
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))
+        check(model)
         self.special = [x["content"] for x in model["added_tokens"]]
         shown = {c: b for b, c in shown_bytes().items()}
         ids = {bytes(shown[c] for c in x): i for x, i in model["model"]["vocab"].items() if x not in self.special}
@@ -214,14 +230,73 @@ class Counter:
             if self.grows[after] and self.matters(after, before):
                 live.append((after, before, count))
         new = (*((node, before, count - change) for node, before, count in live), (0, last, 0))
-        number = self.number.get(new)
-        if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-            if number == len(self.to):
+        number = self.named(new)
+        self.to[state, byte], self.emits[state, byte] = number, change
+
+    def run(self, grid: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and sums of chunks [byte, chunk] from their entry states, in lockstep."""
+        state, total = entry.copy(), np.zeros(len(entry), np.int64)
+        for byte in grid:
+            nxt = self.to[state, byte]
+            if (nxt < 0).any():
+                for key in np.unique(state[nxt < 0].astype(np.int64) << 8 | byte[nxt < 0]):
+                    self.compile(int(key) >> 8, int(key) & 255)
+                nxt = self.to[state, byte]
+            total += self.emits[state, byte]
+            state = nxt
+        return state, total
+
+    def rest(self, data: np.ndarray, entry: tuple) -> int:
+        """Tokens that a piece emits after its first bytes, from the state reached there.
+
+        Chunks have maps from entry states to exit states and sums. Such a map is worked out where it is needed: first for
+        the start, then, as states soon forget what was long before, for the exits of the chunks before, all chunks at once.
+        The maps compose by a scan, which goes on until the next chunk has entered by each chunk's exit; what ROUNDS leave
+        unsettled runs a byte at a time.
+        """
+        sum_, rows = 0, len(data) // LONG
+        for lo in range(0, rows, SCAN):
+            if len(self.states) > MOST_STATES:
+                self.clear()
+            grid = np.ascontiguousarray(data[lo * LONG : min(lo + SCAN, rows) * LONG].reshape(-1, LONG).T)
+            number = grid.shape[1]
+            enter, due = np.zeros(number, np.int32), np.ones(number, bool)
+            enter[0] = self.named(entry)
+            leave, total = np.zeros(number, np.int32), np.zeros(number, np.int64)
+            for _ in range(ROUNDS):
+                leave[due], total[due] = self.run(grid[:, due], enter[due])
+                due = np.append(False, enter[1:] != leave[:-1])
+                if not due.any():
+                    break
+                enter[1:] = leave[:-1]
+            right = int(due.argmax()) if due.any() else number  # chunks before this one are settled
+            entry, alone = self.alone_from(self.states[leave[right - 1]], grid[:, right:].T.ravel())
+            sum_ += int(total[:right].sum()) + alone
+        return sum_ + self.alone_from(entry, data[rows * LONG :])[1]
+
+    def alone_from(self, entry: tuple, data: np.ndarray) -> tuple[tuple, int]:
+        """The state after these bytes, and the tokens emitted, a byte at a time."""
+        now, sum_ = self.named(entry), 0
+        for byte in data.tolist():
+            if self.to[now, byte] < 0:
+                if len(self.states) > 2 * MOST_STATES:
+                    kept = self.states[now]
+                    self.clear()
+                    now = self.named(kept)
+                self.compile(now, byte)
+            sum_ += int(self.emits[now, byte])
+            now = int(self.to[now, byte])
+        return self.states[now], sum_
+
+    def named(self, entry: tuple) -> int:
+        """The number of a state."""
+        if entry not in self.number:
+            self.number[entry] = len(self.states)
+            self.states.append(entry)
+            if len(self.states) > len(self.to):
                 self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
                 self.emits = np.concatenate([self.emits, np.zeros_like(self.emits)])
-        self.to[state, byte], self.emits[state, byte] = number, change
+        return self.number[entry]
 
     def counts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each piece data[begin:end]; none is empty."""
@@ -242,18 +317,7 @@ class Counter:
             total[:n] += self.emits[now, byte]
             state[:n] = nxt
         for k in range(int(np.searchsorted(-size, -LONG))):
-            now, sum_ = int(state[k]), 0
-            for byte in data[at[k] + LONG : at[k] + size[k]].tolist():
-                if self.to[now, byte] < 0:
-                    if len(self.states) > 2 * MOST_STATES:
-                        kept = self.states[now]
-                        self.clear()
-                        self.number[kept] = now = len(self.states)
-                        self.states.append(kept)
-                    self.compile(now, byte)
-                sum_ += int(self.emits[now, byte])
-                now = int(self.to[now, byte])
-            total[k] += sum_
+            total[k] += self.rest(data[at[k] + LONG : at[k] + size[k]], self.states[state[k]])
         out = np.empty_like(total)
         out[order] = total
         return out
