@@ -96,6 +96,12 @@ def class_code(names: list[str], value: Column) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, names)), value), F.lit(0)) - 1
 
 
+def class_code_strict(names: list[str], value: Column) -> Column:
+    """As class_code(); a value that is none of the names raises."""
+    code = class_code(names, value)
+    return F.when(value.isNotNull() & code.isNull(), F.raise_error(F.concat(F.lit("no such class: "), value)).cast("bigint")).otherwise(code)
+
+
 def joined_in_order(parts: Column) -> Column:
     """Texts of an array of (order, text) structs, in order, with blanks between."""
     return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), " ")

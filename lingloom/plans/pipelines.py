@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lingloom.functions.bleu import corpus_bleu
 from lingloom.functions.splits import resolve, route
-from lingloom.functions.text import char_error_rate, class_code, normalise, normalised_distance, strip, word_error_rate
+from lingloom.functions.text import char_error_rate, class_code_strict, normalise, normalised_distance, strip, word_error_rate
 from lingloom.operators.completeness import paragraph_counts, with_completeness
 from lingloom.operators.linking import links, voiced
 from lingloom.operators.nesting import nest, unnest, with_media
@@ -83,7 +83,7 @@ def link_topics(spoken: DataFrame, topics: DataFrame, k: int = 3, by_split: bool
     """
     found = links(topics, spoken.select("lang", "sentence", "id"), "text", "sentence", ["lang"], "id", k).withColumnsRenamed({"a": "text", "b": "sentence"})
     joined = topics.withColumnRenamed("split", "topic_split").join(found, ["lang", "text"]).join(spoken, ["lang", "sentence"])
-    joined = joined.withColumn("category_code", class_code(TOPICS, F.col("category")))
+    joined = joined.withColumn("category_code", class_code_strict(TOPICS, F.col("category")))
     if by_split:
         return joined.withColumnRenamed("topic_split", "split")
     return joined.withColumn("split", route(F.transform("recordings", lambda r: r["split"]))).where("split IS NOT NULL").drop("topic_split")
@@ -139,3 +139,15 @@ def id_against_text(spoken: DataFrame, reference: DataFrame, id_map: DataFrame)
     back = pairs.join(near, ["lang", "raw_transcription"], "left")
     same = F.col("raw_transcription") == F.col("sentence")
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("full"), F.count_if(same).alias("exact"), F.count_if(~same).alias("miss"), F.count_if(~same & (F.col("nearest") == F.col("sentence"))).alias("nearest_is_id"))
+
+
+def id_against_set(spoken: DataFrame, reference: DataFrame, id_map: DataFrame, k: float = 0.025) -> DataFrame:
+    """Per language: sentences, texts in both sets of the pairs by the id map, the other spoken texts, and how many of these
+    have a text within k edits. A k under one lets equal normalised texts through only."""
+    pairs = spoken.join(id_map.withColumnRenamed("id", "fleurs_id"), "fleurs_id").join(reference.withColumnRenamed("id", "idx"), ["lang", "idx"])
+    texts, known = pairs.select("lang", "raw_transcription").distinct(), pairs.select("lang", "sentence", "idx")
+    found = links(texts, known, "raw_transcription", "sentence", ["lang"], "idx", int(k))
+    counts = found.groupBy("lang").agg(F.count_if(F.col("match_type") == "exact").alias("exact"), F.count_if(F.col("match_type") == "fuzzy").alias("near"))
+    full, all_ = spoken.groupBy("lang").agg(F.countDistinct("fleurs_id").alias("full")), texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts_"))
+    out = full.join(all_, "lang", "left").join(counts, "lang", "left").fillna(0)
+    return out.select("lang", "full", "exact", (F.col("texts_") - F.col("exact")).alias("miss"), "near")

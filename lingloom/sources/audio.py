@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingloom.functions.text import duration_class, mostly_silent
+from lingloom.sources.languages import model_code
 from lingloom.sources.readers import stem
+from lingloom.sources.sinks import write_json_lines, write_silence
 
 RATE = 16000
 
@@ -41,12 +43,21 @@ def decoded(content: bytes, rate: int = RATE) -> tuple[np.ndarray, float]:
     return samples, frames / own if own else 0.0
 
 
+def header_seconds(content: bytes) -> float:
+    """The duration by the header; no sample is read."""
+    with wave.open(io.BytesIO(content)) as w:
+        return w.getnframes() / w.getframerate() if w.getframerate() else 0.0
+
+
 def durations(audio: DataFrame) -> DataFrame:
-    """filename, split, seconds, and the class that routes long files."""
+    """filename, split, seconds, and the class that routes long files.
+
+    Here and below whole files travel in Arrow batches: spark.sql.execution.arrow.maxRecordsPerBatch bounds how many.
+    """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"filename": batch["filename"], "split": batch["split"], "seconds": [decoded(c)[1] for c in batch["content"]]})
+            yield pd.DataFrame({"filename": batch["filename"], "split": batch["split"], "seconds": [header_seconds(c) for c in batch["content"]]})
 
     out = audio.select("filename", "split", "content").mapInPandas(measure, "filename string, split string, seconds double")
     return out.withColumn("duration_class", duration_class(F.col("seconds")))
@@ -104,3 +115,35 @@ def transcribe(audio: DataFrame, load: Callable[[], Callable[[list[np.ndarray]],
             yield pd.DataFrame({"filename": rows["filename"], "split": rows["split"], "text": texts})
 
     return audio.select("filename", "split", "content").mapInPandas(run, "filename string, split string, text string")
+
+
+def transcribe_language(audio: DataFrame, model: str, language: str, load: Callable[[str, str, bool], Callable[[list[np.ndarray]], list[str | None]]], translate: bool = False, batch: int = 8) -> DataFrame:
+    """filename, split and the model's column ({model}_asr, or {model}_asr_translation) for the files of a language.
+
+    load(code, task, long) gives a function from samples to texts, by the model's code of the language and the task
+    (transcribe or translate). Files of 30 seconds and more go one by one to a function for long files.
+    """
+    if translate and model == "mms":
+        raise ValueError("this model does not translate")
+    code, task = model_code(model, language), "translate" if translate else "transcribe"
+    kinds = durations(audio).select("filename", "split", "duration_class")
+    routed = audio.join(kinds, ["filename", "split"])
+    parts = [transcribe(routed.where(F.col("duration_class") == kind), lambda long=long: load(code, task, long), 1 if long else batch) for kind, long in (("short", False), ("long", True))]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("text", f"{model}_asr" + "_translation" * translate)
+
+
+def transcribe_splits(audio: DataFrame, root: str, model: str, language: str, load: Callable, translate: bool = False, batch: int = 8) -> None:
+    """Writes {model}/{task}/{language}/{split}.jsonl below root for every split of audio, as read_hypotheses() takes them."""
+    found = transcribe_language(audio, model, language, load, translate, batch)
+    for split in sorted(r[0] for r in audio.select("split").distinct().collect()):
+        out = f"{root}/{model}/{'translation' if translate else 'transcription'}/{language}/{split}.jsonl"
+        write_json_lines(found.where(F.col("split") == split).drop("split"), out)
+
+
+def classify_languages(audio: DataFrame, folder: str, **options) -> DataFrame:
+    """The silence log of audio(lang, split, filename, content) of any number of languages, written below folder and returned."""
+    found = classify_silence(audio.withColumn("filename", F.concat_ws("/", "lang", "filename")), **options)
+    name = F.split("filename", "/")
+    activity = found.select(name[0].alias("lang"), "split", name[1].alias("filename"), "is_silent")
+    write_silence(activity, folder)
+    return activity

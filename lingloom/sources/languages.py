@@ -1,7 +1,4 @@
-"""Languages of the speech corpus and their codes in the sentence corpus.
-
-Codes of models are a parameter: a CSV for `read_languages`.
-"""
+"""Languages of the speech corpus, their codes in the sentence corpus and in models, and the languages of the other sets."""
 
 from __future__ import annotations
 
@@ -25,20 +22,69 @@ sw_ke swh_Latn, ta_in tam_Taml, te_in tel_Telu, tg_tj tgk_Cyrl, th_th tha_Thai,
 umb_ao umb_Latn, ur_pk urd_Arab, uz_uz uzn_Latn, vi_vn vie_Latn, wo_sn wol_Latn, xh_za xho_Latn, yo_ng yor_Latn,
 yue_hant_hk zho_Hant, zu_za zul_Latn, ff_sn fuv_Latn, om_et gaz_Latn
 """
-# Languages of the speech corpus that the comprehension set lacks.
-WITHOUT_PASSAGES = "ast_Latn bel_Cyrl bos_Latn cym_Latn gle_Latn glg_Latn kam_Latn ltz_Latn oci_Latn umb_Latn"
+# Sentence codes of the comprehension set.
+PASSAGES = """
+acm_Arab afr_Latn als_Latn amh_Ethi apc_Arab arb_Arab arb_Latn ars_Arab ary_arab arz_Arab asm_Beng azj_Latn bam_Latn
+ben_Beng ben_Latn bod_Tibt bul_Cyrl cat_Latn ceb_Latn ces_Latn ckb_Arab dan_Latn deu_Latn ell_Grek eng_Latn est_Latn
+eus_Latn fin_Latn fra_Latn fuv_Latn gaz_Latn grn_Latn guj_Gujr hat_Latn hau_Latn heb_Hebr hin_Deva hin_Latn hrv_Latn
+hun_Latn hye_Armn ibo_Latn ilo_Latn ind_Latn isl_Latn ita_Latn jav_Latn jpn_Jpan kac_Latn kan_Knda kat_Geor kaz_Cyrl
+kea_Latn khk_Cyrl khm_Khmr kin_Latn kir_Cyrl kor_Hang lao_Laoo lin_Latn lit_Latn lug_Latn luo_Latn lvs_Latn mal_Mlym
+mar_Deva mkd_Cyrl mlt_Latn mri_Latn mya_Mymr nld_Latn nob_Latn npi_Deva npi_Latn nso_Latn nya_Latn ory_Orya pan_Guru
+pbt_Arab pes_Arab plt_Latn pol_Latn por_Latn ron_Latn rus_Cyrl shn_Mymr sin_Latn sin_Sinh slk_Latn slv_Latn sna_Latn
+snd_Arab som_Latn sot_Latn spa_Latn srp_Cyrl ssw_Latn sun_Latn swe_Latn swh_Latn tam_Taml tel_Telu tgk_Cyrl tgl_Latn
+tha_Thai tir_Ethi tsn_Latn tso_Latn tur_Latn ukr_Cyrl urd_Arab urd_Latn uzn_Latn vie_Latn war_Latn wol_Latn xho_Latn
+yor_Latn zho_Hans zho_Hant zsm_Latn zul_Latn
+"""
+# Codes of models that differ from the rule in model_code().
+WHISPER = """
+ast_es es, ceb_ph tl, ckb_iq ar, cmn_hans_cn zh, ff_sn fr, fil_ph tl, ga_ie cy, ig_ng yo, jv_id jw, kam_ke sw, kea_cv pt,
+ky_kg kk, lg_ug sw, luo_ke sw, nb_no no, nso_za sw, ny_mw sw, om_et so, or_in bn, umb_ao pt, wo_sn fr, xh_za sw, zu_za sw
+"""
+MMS = """
+ar_eg ara, az_az azj-script_latin, cmn_hans_cn cmn-script_simplified, ff_sn ful, fil_ph fil, ka_ge kat-script_georgian,
+lv_lv lav, mn_mn mon, ms_my msa-script_latin, ne_np nep, om_et orm, ps_af pus, sr_rs srp-script_cyrillic, sw_ke swa,
+ur_pk urd-script_arabic, uz_uz uzb-script_latin, yue_hant_hk yue
+"""
+SEAMLESS = """
+ar_eg arz, ast_es spa, cmn_hans_cn cmn, ha_ng fuv, kam_ke swh, kea_cv por, lb_lu deu, ln_cd lug, mi_nz jav, ms_my zlm,
+nso_za zul, oc_fr cat, umb_ao swh, wo_sn fuv, xh_za zul, yue_hant_hk yue
+"""
 # Names of download folders that differ from the speech code.
 RENAMED = {"rup_bg": "bg_bg", "ku_arab_iq": "ckb_iq", "oci_fr": "oc_fr", "sd_arab_in": "sd_in"}
 
 
+def pairs(table: str) -> dict[str, str]:
+    return dict(pair.split() for pair in table.split(","))
+
+
+def model_code(model: str, language: str) -> str:
+    """The code by which a model knows a language of the speech corpus; an unknown language or model raises.
+
+    By rule: the part before the first underscore for whisper, the first three letters of the sentence code for the others.
+    """
+    sentence = pairs(CODES).get(language)
+    if sentence is None:
+        raise ValueError(f"no such language in the speech corpus: {language}")
+    if model == "whisper":
+        return pairs(WHISPER).get(language, language.split("_")[0])
+    if model in ("mms", "seamlessm4t"):
+        return pairs(MMS if model == "mms" else SEAMLESS).get(language, sentence[:3])
+    raise ValueError(f"no codes for model {model}")
+
+
 def languages(spark: SparkSession) -> DataFrame:
-    """fleurs_code, flores_code, in_belebele: 102 rows."""
-    absent = WITHOUT_PASSAGES.split()
-    rows = [(a, b, b not in absent) for a, b in (pair.split() for pair in CODES.split(","))]
-    return spark.createDataFrame(rows, "fleurs_code string, flores_code string, in_belebele boolean")
+    """fleurs_code, flores_code, whisper_code, mms_code, seamless_code, in_belebele: 102 rows. Which languages the topic set
+    has is a parameter: a table for read_languages()."""
+    known = set(PASSAGES.split())
+    rows = [(a, b, *(model_code(m, a) for m in ("whisper", "mms", "seamlessm4t")), b in known) for a, b in pairs(CODES).items()]
+    return spark.createDataFrame(rows, "fleurs_code string, flores_code string, whisper_code string, mms_code string, seamless_code string, in_belebele boolean")
 
 
 def with_passages(frame: DataFrame, key: str = "lang") -> DataFrame:
     """Rows of languages that the comprehension set has."""
-    known = languages(frame.sparkSession).where("in_belebele").selectExpr(f"flores_code AS `{key}`")
-    return frame.join(known, key, "left_semi").select(*frame.columns)
+    return frame.where(frame[key].isin(PASSAGES.split()))
+
+
+def speech_code(folder: str) -> str:
+    """The speech code of a download folder."""
+    return RENAMED.get(folder, folder)

@@ -40,8 +40,12 @@ def read_hypotheses(spark: SparkSession, root: str) -> DataFrame:
     """lang, model, task, split, filename, text of all {model}/{task}/{lang}/{split}.jsonl below root, in long form."""
     fields = [f"{m}_asr{t}" for m in MODELS for t in ("", "_translation")]
     rows = spark.read.schema("filename string, " + ", ".join(f"{f} string" for f in fields)).json(f"{root}/*/*/*/*.jsonl")
-    part = lambda k: F.element_at(F.split("_metadata.file_path", "/"), -k)
-    return rows.select(part(2).alias("lang"), part(4).alias("model"), part(3).alias("task"), stem().alias("split"), "filename", strip(F.coalesce(*fields)).alias("text"))
+    number = sum(F.col(f).isNotNull().cast("int") for f in fields)
+    two = (number <= 1) & F.col("filename").isNotNull()  # an empty result leaves no text
+    rows = rows.where(F.when(two, True).otherwise(F.raise_error(F.lit("a line of hypotheses has other than a file name and one text")).cast("boolean")))
+    # {split}.jsonl is a file, or a folder of files.
+    part = lambda k: F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)/([^/]+)\.jsonl(/|$)", k)
+    return rows.select(part(3).alias("lang"), part(1).alias("model"), part(2).alias("task"), part(4).alias("split"), "filename", strip(F.coalesce(*fields)).alias("text"))
 
 
 def read_union(spark: SparkSession, *paths: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lingloom.sources.readers import remaining
+
 
 def write_by(frame: DataFrame, path: str, *keys: str) -> None:
     """Parquet in folders by keys; only the folders that frame has rows for are replaced."""
@@ -32,9 +35,42 @@ def write_silence(activity: DataFrame, folder: str) -> None:
     write_report(silence_counts(activity, "lang", "split"), f"{folder}/counts", sep="\t")
 
 
-def published(frame: DataFrame, path: str) -> None:
-    """Rows without helper columns, by language and split."""
-    write_by(frame.drop("full_paragraph"), path, "lang", "split")
+#: Columns that are published as whole numbers of 32 bits.
+WHOLE = ("id", "has_image", "has_hyperlink", "fleurs_id")
+STATUS = "lang string, split string, n long, error string"
+
+
+def published(frame: DataFrame, path: str, keep_split: bool = False) -> DataFrame:
+    """Publishes frame(lang, split, ...) by language and split, but for those already there, and returns the status(lang,
+    split, n, error) of this run: what was written, or the error of a language and split that failed.
+
+    full_paragraph goes; whole numbers are cast to 32 bits, where too large a number is an error; topics are codes
+    already (class_code_strict). keep_split: the column split stays in the files. The status is also appended to
+    {path}_status, from which done() knows what is there. There are as many jobs as languages and splits.
+    """
+    spark = frame.sparkSession
+    rows = frame.drop("full_paragraph")
+    rows = rows.select(*(F.col(c).cast("int").alias(c) if c in WHOLE else F.col(c) for c in rows.columns))
+    work = remaining(rows.select("lang", "split").distinct(), done(spark, path), ["lang", "split"])
+    status = []
+    for lang, split in sorted(map(tuple, work.collect())):
+        own = rows.where((F.col("lang") == lang) & (F.col("split") == split)).drop(*([] if keep_split else ["split"]), "lang")
+        try:
+            own.write.mode("overwrite").parquet(f"{path}/lang={lang}/split={split}")
+            status.append((lang, split, spark.read.parquet(f"{path}/lang={lang}/split={split}").count(), None))
+        except Exception as e:  # a language that fails does not hold up the others; its error is in the status
+            status.append((lang, split, None, str(e)[:1000]))
+    out = spark.createDataFrame(status, STATUS)
+    out.coalesce(1).write.mode("append").json(f"{path}_status")
+    return out
+
+
+def done(spark: SparkSession, path: str) -> DataFrame:
+    """lang, split, n of what published() has written."""
+    try:
+        return spark.read.schema(STATUS).json(f"{path}_status").where("error IS NULL").select("lang", "split", "n")
+    except AnalysisException:  # nothing has been published yet
+        return spark.createDataFrame([], "lang string, split string, n long")
 
 
 def missing_files(rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -127,3 +127,23 @@ def test_id_against_text(spark, corpus):
     spoken = recordings.select("lang", "fleurs_id", "raw_transcription").distinct()
     id_map = spark.createDataFrame([(k, k) for k in range(3)], "idx int, id int")
     assert {tuple(r) for r in pipelines.id_against_text(spoken, reference, id_map).collect()} == {("eng", 3, 2, 1, 1), ("deu", 3, 2, 1, 1)}
+    assert {tuple(r) for r in pipelines.id_against_set(spoken, reference, id_map).collect()} == {("eng", 3, 2, 1, 1), ("deu", 3, 2, 1, 1)}
+
+
+def test_strict_passages_raise_and_audio_is_attached(spark, corpus):
+    recordings, reference, _ = corpus
+    aligned = pipelines.align(recordings, reference)
+    items = spark.createDataFrame([("eng", "url1", "the first thing is here a second thing came", "q1"), ("eng", "url2", "something else", "q3")], "lang string, link string, passage string, question string")
+    good, _ = pipelines.link_passages(items, aligned, media="data")
+    assert [a.path for a in good.collect()[0].sentence_data[0].audio] == ["data/dev/eng00.wav", "data/train/eng01.wav"]
+    with pytest.raises(Exception, match="differs"):
+        pipelines.link_passages(items, aligned, strict=True)[0].collect()
+
+
+def test_unknown_class_raises(spark):
+    from lingloom.functions.text import class_code_strict
+
+    frame = spark.createDataFrame([("a",), (None,), ("z",)], "x string")
+    assert [r[0] for r in frame.where("x IS NULL OR x = 'a'").select(class_code_strict(["a", "b"], F.col("x"))).collect()] == [0, None]
+    with pytest.raises(Exception, match="no such class"):
+        frame.select(class_code_strict(["a", "b"], F.col("x"))).collect()

@@ -7,7 +7,7 @@ import wave
 import numpy as np
 import pytest
 
-from lingloom.sources import audio, readers, sinks
+from lingloom.sources import audio, languages, readers, sinks
 from lingloom.streaming import incremental
 
 
@@ -108,8 +108,60 @@ def test_incremental_takes_new_files_only(spark, tmp_path):
 
 
 def test_language_table(spark):
-    from lingloom.sources.languages import languages, with_passages
-
-    table = languages(spark)
+    table = languages.languages(spark)
     assert table.count() == 102 == table.select("fleurs_code").distinct().count() == table.select("flores_code").distinct().count() and table.where("in_belebele").count() == 92
-    assert [r.lang for r in with_passages(spark.createDataFrame([("eng_Latn",), ("umb_Latn",)], "lang string")).collect()] == ["eng_Latn"]
+    assert len(languages.PASSAGES.split()) == 122 == len(set(languages.PASSAGES.split()))
+    assert [r.lang for r in languages.with_passages(spark.createDataFrame([("eng_Latn",), ("umb_Latn",), ("acm_Arab",)], "lang string")).collect()] == ["eng_Latn", "acm_Arab"]
+    codes = [languages.model_code(m, x) for m, x in (("whisper", "en_us"), ("whisper", "jv_id"), ("mms", "az_az"), ("mms", "de_de"), ("seamlessm4t", "ha_ng"), ("seamlessm4t", "fil_ph"))]
+    assert codes == ["en", "jw", "azj-script_latin", "deu", "fuv", "tgl"] and languages.speech_code("oci_fr") == "oc_fr"
+    for model, language in (("whisper", "xx_yy"), ("other", "en_us")):
+        with pytest.raises(ValueError):
+            languages.model_code(model, language)
+
+
+def test_models_by_language(spark, sounds, tmp_path):
+    load = lambda code, task, long: lambda batch: [f"{code} {task} {'long' if long else 'short'} {len(batch) if long else ''}".strip() for _ in batch]
+    got = {r.filename: r.whisper_asr_translation for r in audio.transcribe_language(sounds, "whisper", "jv_id", load, translate=True).collect()}
+    assert got["tone.wav"] == "jw translate short" and got["long.wav"] == "jw translate long 1"
+    audio.transcribe_splits(sounds, str(tmp_path), "seamlessm4t", "de_de", load)
+    read = {(r.lang, r.model, r.task, r.split, r.filename): r.text for r in readers.read_hypotheses(spark, str(tmp_path)).collect()}
+    assert len(read) == 5 and read["de_de", "seamlessm4t", "transcription", "dev", "tone.wav"] == "deu transcribe short"
+    with pytest.raises(ValueError, match="translate"):
+        audio.transcribe_language(sounds, "mms", "de_de", load, translate=True)
+    log = audio.classify_languages(sounds.selectExpr("'de_de' AS lang", "*"), f"{tmp_path}/silence")
+    assert {(r.lang, r.filename) for r in log.where("is_silent").collect()} == {("de_de", "silence.wav"), ("de_de", "blip.wav"), ("de_de", "long.wav")}
+
+
+def test_published_skips_what_is_done_and_logs_errors(spark, tmp_path):
+    rows = spark.createDataFrame([("en", "dev", 1, "a", True), ("en", "test", 1 << 40, "b", True), ("de", "dev", 2, "c", True)], "lang string, split string, id long, sentence string, full_paragraph boolean")
+    out = f"{tmp_path}/out"
+    got = {(r.lang, r.split): (r.n, r.error is None) for r in sinks.published(rows, out).collect()}
+    assert got == {("en", "dev"): (1, True), ("en", "test"): (None, False), ("de", "dev"): (1, True)}
+    again = sinks.published(rows.where("id < 10").withColumn("sentence", rows.sentence).union(rows.limit(0)), out)
+    assert again.count() == 0 and {tuple(r) for r in sinks.done(spark, out).collect()} == {("en", "dev", 1), ("de", "dev", 1)}
+    read = spark.read.parquet(f"{out}/lang=en/split=dev")
+    assert read.dtypes == [("id", "int"), ("sentence", "string")]
+
+
+def test_hypotheses_have_a_name_and_one_text(spark, tmp_path):
+    folder = tmp_path / "mms/transcription/en_us"
+    folder.mkdir(parents=True)
+    (folder / "dev.jsonl").write_text(json.dumps({"filename": "a.wav", "mms_asr": "x", "whisper_asr": "y"}) + "\n")
+    with pytest.raises(Exception, match="one text"):
+        readers.read_hypotheses(spark, str(tmp_path)).collect()
+
+
+def test_batches_take_new_files_only(spark, tmp_path):
+    seen = []
+    run = lambda: incremental.run_batches(spark, f"{tmp_path}/in/*", "id long", lambda df, n: seen.append(sorted(r.id for r in df.collect())), f"{tmp_path}/state")
+    spark.range(3).write.parquet(f"{tmp_path}/in/a")
+    run()
+    spark.range(7, 9).write.parquet(f"{tmp_path}/in/b")
+    run()
+    assert [x for x in seen if x] == [[0, 1, 2], [7, 8]]
+
+
+def test_union_of_tables(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/dev")
+    spark.range(5, 6).write.parquet(f"{tmp_path}/devtest")
+    assert sorted(r.id for r in readers.read_union(spark, f"{tmp_path}/dev", f"{tmp_path}/devtest").collect()) == [0, 1, 5]
