@@ -248,3 +248,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             left = stored(left, "decontaminated")
             given.release()
     return left
+
+
+def sql_words(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"list_filter(string_split_regex(regexp_replace({low}, '[!-/:-@\[-`{{-~]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+# Equal words of a text and an item meet; of every place at which one may lie against the other, the stretches are counted.
+SQL = f"""
+WITH d AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT doc_id, {sql_words('text')} AS ws FROM documents)),
+i AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT DISTINCT item_id, {sql_words('text')} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+j AS (SELECT doc_id, item_id, n, d.p - i.p AS start, list(i.p) AS eq FROM d JOIN i ON d.w = i.w GROUP BY ALL HAVING count(*) >= {SHARE} * least(n, {SPAN})),
+k AS (SELECT *, list_transform(range(0, greatest(n - {SPAN}, 0) + 1), lambda k: len(list_filter(eq, lambda x: x >= k AND x < k + {SPAN}))) AS c FROM j),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(eq) DESC, start) AS r FROM k WHERE list_max(c) >= {SHARE} * least(n, {SPAN}))
+SELECT doc_id, item_id, greatest(start + list_position(c, list_max(c)) - 1, 0) AS word, least(n, {SPAN})::bigint AS stretch, list_max(c)::bigint AS equal FROM b WHERE r = 1
+"""

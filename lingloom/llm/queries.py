@@ -69,5 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.SQL,
+    "op5_decontamination": decontaminate.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }

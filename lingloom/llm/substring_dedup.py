@@ -379,3 +379,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = 2, bits:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "late").mapInArrow(clean, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts)
+
+
+SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM w WHERE len(ws) >= {WINDOW}),
+h AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(array_to_string(ws[p:p + {WINDOW - 1}], ' ')) ORDER BY doc_id, p) AS k FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS p FROM h WHERE k > 1),
+a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+t AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN g USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+"""
