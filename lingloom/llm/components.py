@@ -1,11 +1,15 @@
-"""Connected components of a table of links, by alternating large and small stars; nothing is gathered on the driver."""
+"""Connected components of a table of links, by alternating large and small stars; nothing is gathered on the driver.
+
+The smallest node of a large component has very many links: its minimum is aggregated before the shuffle, and the join
+that hands it out is split by Spark's adaptive skew join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.llm.scratch import stored
+from lingloom.llm.scratch import dropped, stored
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -32,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if total[0] == 0 or total == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         mark = total
-        now = stored(small_star(large_star(now)), "edges")
+        before, now = now, stored(small_star(large_star(now)), "edges")
+        dropped(before)

@@ -26,6 +26,9 @@ from lingloom.llm.words import SLICE, slices, words
 TARGETS = {"clean": 0.88, "poor": 0.07, "toxic": 0.05}
 
 
+MOST = 60  # steps, each of which is a pass over tokens and posteriors
+
+
 def label_domain() -> Column:
     return F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") > 0, "clean").when((F.col("quality") <= 0) & (F.col("toxic") <= 0), "poor")
 
@@ -117,7 +120,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def fitted(small: DataFrame, share: np.ndarray, most: int = 60, tolerance: float = 1e-5) -> list[np.ndarray]:
+def fitted(small: DataFrame, share: np.ndarray, most: int = MOST, tolerance: float = 1e-5) -> list[np.ndarray]:
     """The steps to rates whose expected domain tokens are nearest to share * all tokens; small(n_tokens, posteriors)."""
     width = len(share)
 
@@ -161,7 +164,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     rate and one more by a hash of its doc_id (of its text too if the id is null) in the share of the rest. Null and
     empty texts have no tokens and the posteriors of a text without features. Labels of unknown domains or without
     documents are ignored; a document labelled twice counts by its largest name. With no labelled text all posteriors
-    are equal. Targets that no rates can reach are met as nearly as least squares allows. Repeated rows give repeated
+    are equal. Targets that no rates can reach are met as nearly as least squares allows; where posteriors hardly differ
+    between documents, the MOST steps end before that. Repeated rows give repeated
     rows; an empty table gives an empty result. keep: columns to carry (doc_id and source by default).
     """
     domains = sorted(targets)
