@@ -458,7 +458,7 @@ def averaged(docs: DataFrame, known: Broadcast, weights: Weights, splits: int, l
     dealt = own.repartition(high - low, "split").sortWithinPartitions("split", "place").select("split", "text")
     dense, sums = [[0, 0] for _ in shapes], np.zeros(3)
     nodes, near = weights.nodes.copy(), weights.near.copy()
-    for r in dealt.mapInArrow(train, schema).repartition(64, "k", "lane").mapInArrow(add, schema).toLocalIterator():
+    for r in dealt.mapInArrow(train, schema).repartition("k", "lane").mapInArrow(add, schema).toLocalIterator():
         if r["k"] < 0:
             sums += np.frombuffer(r["weights"], np.int64)
         elif r["k"] < len(shapes):
@@ -488,10 +488,11 @@ def trained(docs: DataFrame, vocab: Vocabulary, known: Broadcast, number: int) -
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every row of docs(doc_id, text, ...).
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood, least_log_probability for every row of docs(doc_id, text, ...).
 
     Tokens are words in lower case (A-Z). log_likelihood is the sum over them of the log-probability of the word given
-    the two words before and after it. Null texts and texts without words have 0 tokens, the sum 0 and a null mean; a
+    the two words before and after it; least_log_probability is that of the least likely word. Null texts and texts
+    without words have 0 tokens, the sum 0 and a null mean and least; a
     text of one word is scored without context. Repeated rows give repeated rows and count as often in training; a null
     doc_id is carried through; other columns are ignored; an empty table gives an empty result.
     """
@@ -507,7 +508,7 @@ def score(docs: DataFrame) -> DataFrame:
         vocab = known.value
         model = Model(vocab, shared.value)
         for batch in batches:
-            number, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            number, total, least = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 h, first = hashes_of(data, offsets)
                 found = vocab.find(h)
@@ -515,9 +516,13 @@ def score(docs: DataFrame) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(own)])
                 number.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])
-            number, total = np.concatenate(number), np.concatenate(total)
+                some = np.diff(first) > 0
+                least.append(np.zeros(len(some)))
+                least[-1][some] = np.minimum.reduceat(own, first[:-1][some]) if some.any() else 0
+            number, total, least = np.concatenate(number), np.concatenate(total), np.concatenate(least)
             mean = pa.array(total / np.maximum(number, 1), mask=number == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            columns = [batch.column("doc_id"), pa.array(number), pa.array(total), mean, pa.array(least, mask=number == 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood", "least_log_probability"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {id_type}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {id_type}, n_tokens bigint, log_likelihood double, mean_log_likelihood double, least_log_probability double")

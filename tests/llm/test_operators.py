@@ -433,6 +433,8 @@ def test_pseudo_likelihood(spark):
     ordered, mixed = (np.mean([got[i].mean_log_likelihood for i in ids]) for ids in ([i for i, _ in rows[:40]], [i for i, _ in shuffled]))
     assert ordered > mixed + 0.3
     assert (got[5000].n_tokens, got[5000].log_likelihood, got[5000].mean_log_likelihood) == (0, 0.0, None) and got[5002].n_tokens == 1
+    assert got[5000].least_log_probability is None and got[5002].least_log_probability == pytest.approx(got[5002].log_likelihood)
+    assert all(r.least_log_probability <= r.mean_log_likelihood + 1e-9 for r in got.values() if r.n_tokens)
     assert pseudo_likelihood.score(frame(spark, [])).collect() == []
 
 
