@@ -620,6 +620,14 @@ def opened(homes: DataFrame, found: DataFrame, tasks: int, given: Shared) -> Dat
     return seated.mapInArrow(visit, "u long, v long")
 
 
+def looked_up(frame: DataFrame, values: DataFrame, key: str, tasks: int) -> DataFrame:
+    """frame(cls, ...) left joined with values by key. Rows of a key are dealt over runs, and each run looks the key up once,
+    so a key of very many rows does not meet in one task."""
+    dealt = frame.withColumn("run_", F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.lit(tasks)))
+    runs = dealt.select(key, "run_").distinct().join(values, key, "left")
+    return dealt.join(runs, [key, "run_"]).drop("run_")
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
 
@@ -642,7 +650,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         now = stored(led(now.where("lead = cls").select("cls", "n", "tokens"), turn, tasks, given), "led")
         rounds.append(now)
         moved = now.where("lead <> cls").select(F.col("cls").alias("comp"), "lead")
-        label = label.join(moved, "comp", "left").select("cls", F.coalesce("lead", "comp").alias("comp"))
+        label = looked_up(label, moved, "comp", tasks).select("cls", F.coalesce("lead", "comp").alias("comp"))
     label = stored(label, "groups")
     dropped(*rounds)
     members = first.select("cls", "n", "tokens").join(label, "cls")
@@ -654,14 +662,15 @@ def link_components(docs: DataFrame) -> DataFrame:
     joined = components(opened(homes, found, tasks, given))
     dropped(homes, found)
     given.release()  # all that used them is written
-    final = label.join(joined, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("label", "comp").alias("comp"))
+    final = looked_up(label, joined.withColumnRenamed("node", "comp"), "comp", tasks).select("cls", F.coalesce("label", "comp").alias("comp"))
     # Rows of a class are spread over runs, so that a class of very many copies never meets in one task.
     run = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(tasks)).alias("run")
     some = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls", run)
     leaf = some.groupBy("cls", "run").agg(F.min("doc_id").alias("least"))
     least = leaf.groupBy("cls").agg(F.min("least").alias("least")).join(final, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     of_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    down = leaf.select("cls", "run").join(least.select("cls", "comp").join(of_comp, "comp").select("cls", "component_id"), "cls")
+    named = looked_up(least.select("cls", "comp"), of_comp, "comp", tasks).select("cls", "component_id")
+    down = leaf.select("cls", "run").join(named, "cls")
     linked = some.join(down, ["cls", "run"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
