@@ -82,7 +82,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # Shapes. A token is a run of letters (or of bytes of other scripts), a run of digits, or one other byte.
 
 #: Words that announce or hold personal data; the words of a line share a shape.
-CUES = (("at",), ("dot", "punto", "point", "punkt"), ("com", "org", "net", "edu", "io", "de", "fr", "es", "uk", "info"), ("phone", "tel", "telephone", "mobile", "cell", "call", "fax", "whatsapp", "telefon", "ring"), ("email", "mail", "contact", "write", "reach", "address"), ("card", "visa", "mastercard", "account", "amex"), ("ip", "server", "host", "login", "address"), ("version", "page", "chapter", "section", "release", "figure", "year", "isbn", "id", "number"))
+CUES = (
+    ("at",),
+    ("dot", "punto", "point", "punkt"),
+    ("com", "org", "net", "edu", "io", "de", "fr", "es", "uk", "info"),
+    ("phone", "tel", "telephone", "mobile", "cell", "call", "fax", "whatsapp", "telefon", "ring"),
+    ("email", "mail", "contact", "write", "reach", "address"),
+    ("card", "visa", "mastercard", "account", "amex"),
+    ("ip", "server", "host", "login", "address"),
+    ("version", "page", "chapter", "section", "release", "figure", "year", "isbn", "id", "number"),
+)
 PUNCT = "@.-()+:/_%#[]{}<>"
 LENGTHS = np.array([1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 14, 20])
 FIRST_DIGIT = 4
@@ -233,13 +242,17 @@ def labelled(seed: int = 7, count: int = 450) -> list[tuple[str, list[tuple[int,
     top = lambda: rng.choice(CUES[2])
 
     def email() -> str:
-        local, host = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}"]), rng.choice([word(3, 8), f"{word(3, 6)}{digits(1)}"])
-        at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" AT ", " DOT "), (" at ", "."), ("@", ".")])
+        local = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}"])
+        host = rng.choice([word(3, 8), f"{word(3, 6)}{digits(1)}"])
+        signs = [(" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" AT ", " DOT "), (" at ", "."), ("@", ".")]
+        at, dot = rng.choice(signs)
         return (local.replace(".", dot) if " dot " in dot and rng.random() < 0.5 else local) + at + host + dot + (rng.choice([f"{word(3, 7)}{dot}", ""])) + top()
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+1 ({a}) {b}-{c}", f"00{digits(2)} {a} {b}{c}"])
+        forms = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}"]
+        forms += [f"+{digits(2)} {a} {b}{c}", f"+1 ({a}) {b}-{c}", f"00{digits(2)} {a} {b}{c}"]
+        return rng.choice(forms)
 
     def ip() -> str:
         return rng.choice([".", ".", " . ", " dot ", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -249,14 +262,46 @@ def labelled(seed: int = 7, count: int = 450) -> list[tuple[str, list[tuple[int,
         return rng.choice([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}"])
 
     def clean() -> str:
-        return rng.choice([f"version {digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.", f"{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)} %", f"page {digits(3)}", f"{digits(3)},{digits(3)}", f"${digits(3)}.{digits(2)}", f'"{word(1, 2)}{digits(3)}{word(1, 1)}{digits(2)}{word(2, 3)}{digits(4)}"', f"{word()} at {word()}.", f"{word()} at {word()} dot {word()}", f"at {digits(2)}:{digits(2)}", f"{word()} at the {word()}", f"{digits(7)}", f"{digits(12)}", f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{word()}: {digits(3)} {digits(3)}", f"{word()}, {word()} at {word()}. {word().capitalize()}", f"({word()}) [{word()}]", f"dot {word()} dot {top()}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"id {digits(9)}", f"{word()}###", f"{word()} | {word()}", f"{word()}@{word()}", f"{digits(5)} {word()} {digits(3)}"])
+        return rng.choice(
+            [
+                f"version {digits(1)}.{digits(1)}",
+                f"{digits(1)}.{digits(1)}.",
+                f"{digits(4)}",
+                f"{digits(2)}.{digits(2)}.{digits(4)}",
+                f"{digits(4)}-{digits(2)}-{digits(2)}",
+                f"{digits(2)} %",
+                f"page {digits(3)}",
+                f"{digits(3)},{digits(3)}",
+                f"${digits(3)}.{digits(2)}",
+                f'"{word(1, 2)}{digits(3)}{word(1, 1)}{digits(2)}{word(2, 3)}{digits(4)}"',
+                f"{word()} at {word()}.",
+                f"{word()} at {word()} dot {word()}",
+                f"at {digits(2)}:{digits(2)}",
+                f"{word()} at the {word()}",
+                f"{digits(7)}",
+                f"{digits(12)}",
+                f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+                f"{word()}: {digits(3)} {digits(3)}",
+                f"{word()}, {word()} at {word()}. {word().capitalize()}",
+                f"({word()}) [{word()}]",
+                f"dot {word()} dot {top()}",
+                f"{digits(2)}/{digits(2)}/{digits(4)}",
+                f"id {digits(9)}",
+                f"{word()}###",
+                f"{word()} | {word()}",
+                f"{word()}@{word()}",
+                f"{digits(5)} {word()} {digits(3)}",
+            ]
+        )
 
     made = {"email": email, "phone": phone, "ip": ip, "card": card}
     out = []
     for _ in range(count):
         text, spans = "", []
         for _ in range(rng.randint(1, 4)):
-            text += " ".join(w if rng.random() < 0.7 else w.capitalize() if rng.random() < 0.6 else w.upper() for w in (rng.choice(["at", "the", "de", "a", *CUES[7], word()] if rng.random() < 0.2 else [word()]) for _ in range(rng.randint(1, 7)))) + rng.choice([" ", " ", ", ", ". ", "\n", ": "])
+            plain = (rng.choice(["at", "the", "de", "a", *CUES[7], word()] if rng.random() < 0.2 else [word()]) for _ in range(rng.randint(1, 7)))
+            cased = (w if rng.random() < 0.7 else w.capitalize() if rng.random() < 0.6 else w.upper() for w in plain)
+            text += " ".join(cased) + rng.choice([" ", " ", ", ", ". ", "\n", ": "])
             if rng.random() < 0.45:
                 text += clean()
             else:
