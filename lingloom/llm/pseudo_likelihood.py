@@ -5,13 +5,13 @@ than once is its own. Words that occur once are one entry, which each has an equ
 
 The output layer is a hierarchical softmax. Its first step is a softmax over 128 classes: the most frequent words are a
 class each, the others fall into the rest by their hash. The words of a class are the leaves of a binary tree, split by
-their counts. Nodes above BRANCH occurrences and more have weights, and start from the counts of their sides; below, words
+their counts. Nodes above enough occurrences (thresholds()) have weights, and start from the counts of their sides; below, words
 have the share of their counts, which so few occurrences would not change. The probabilities of all words add up to one.
-The hidden layer sees the classes of the two words before and after, by place, and a vector of each word of LEARN
-occurrences and more.
+The hidden layer sees the classes of the two words before and after, by place, and a vector of each word of enough
+occurrences. As enough grows with the root of the number of words, so do the numbers of nodes and vectors.
 
 All is gathered from all documents. Words (by 64-bit hashes) are counted exactly in a shuffle. Documents are dealt to
-splits by a hash, a number of splits that follows the number of words. A split masks a fifth of its words, in an order
+splits by a hash, a number of splits that follows the number of words. A split masks 15 % of its words, in an order
 drawn from its number, and learns to predict them, from common weights; the weights of the splits of a round are averaged,
 those of a node or word by the words that met it, and the next round starts from there. The first start has the
 probabilities of counts alone. Averages are sums of whole numbers, so neither the partitions of the input nor the order
@@ -35,8 +35,7 @@ from lingloom.llm.words import SLICE, lowered, slices, u64, words
 
 CLASSES = 128
 FREQUENT = 64
-LEARN = 256  # occurrences of a word from which on it has a vector
-BRANCH = 1024  # occurrences of the words below a node from which on it has weights
+LEAST = 64  # occurrences of the words below a node that has weights, at the least
 SHARDS = 1024  # of hashes
 ROWS = 1 << 13  # nodes or words of which weights travel together
 CHUNK = 8 * 1024  # words whose paths are found together
@@ -44,7 +43,7 @@ HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
 BATCH = 1024
 NONE = CLASSES  # beyond the text
-MASKED = 0.2
+MASKED = 0.15
 WORDS = 1 << 22  # words of a split, about
 SHARES = (0.125, 0.5, 1.0)  # of the splits, by the end of each round
 RATE = 0.03
@@ -159,8 +158,15 @@ class Vocabulary:
             node = self.below[node, right.astype(np.int8)]
 
 
+def thresholds(size: int) -> tuple[int, int]:
+    """In a corpus of so many words: the occurrences from which on a word has a vector, and a node has weights."""
+    branch = max(LEAST, int(size**0.5 / 12))
+    return branch // 4, branch
+
+
 def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
     n = len(hashes)
+    learn_from, branch_from = thresholds(int(number.sum()) + once)
     of_word = np.append(FREQUENT + ((hashes >> u64(32)) * u64(CLASSES - FREQUENT) >> u64(32)).astype(np.int16), np.int16(FREQUENT)).astype(np.int16)
     frequent = np.lexsort((hashes, -number))[:FREQUENT]
     of_word[frequent] = np.arange(len(frequent))
@@ -173,7 +179,7 @@ def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
     lo, hi = bounds[:-1], bounds[1:]
     levels, middle, prior, ends, number_of = [], [], [], [], 0
     while len(lo):
-        on = np.flatnonzero((hi - lo > 1) & (total[hi] - total[lo] >= BRANCH))
+        on = np.flatnonzero((hi - lo > 1) & (total[hi] - total[lo] >= branch_from))
         named = np.full(len(lo), -1, np.int32)
         named[on] = number_of + np.arange(len(on))
         levels.append(named)
@@ -192,7 +198,7 @@ def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
     share = np.empty(n + 1)
     share[order] = np.log(np.maximum(count[order], 0.5)) - np.repeat(np.log(np.maximum(total[hi] - total[lo], 0.5)), hi - lo)
     share[n] -= np.log(max(once, 1))
-    learned = np.flatnonzero(number >= LEARN)
+    learned = np.flatnonzero(number >= learn_from)
     row = np.full(n + 1, len(learned), np.int32)
     row[learned] = np.arange(len(learned))
     of_class = np.bincount(of_word, count, CLASSES)

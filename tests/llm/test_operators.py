@@ -544,7 +544,7 @@ def test_pseudo_likelihood_counts_every_word(spark, corpus):
 
 @pytest.mark.parametrize("branch", [1, 256, 1 << 30])
 def test_pseudo_likelihood_of_all_words_is_a_distribution(monkeypatch, branch):
-    monkeypatch.setattr(pseudo_likelihood, "BRANCH", branch)
+    monkeypatch.setattr(pseudo_likelihood, "thresholds", lambda size: (64, branch))
     rng = np.random.default_rng(3)
     hashes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
     number = rng.integers(2, 1000, len(hashes))
@@ -565,8 +565,7 @@ def test_pseudo_likelihood_of_all_words_is_a_distribution(monkeypatch, branch):
 
 def test_pseudo_likelihood_tells_rare_words_of_one_class_apart(spark, monkeypatch):
     """Two words of equal counts and one class, each with neighbours of its own: an exchange of them is less likely."""
-    monkeypatch.setattr(pseudo_likelihood, "LEARN", 64)
-    monkeypatch.setattr(pseudo_likelihood, "BRANCH", 64)
+    monkeypatch.setattr(pseudo_likelihood, "thresholds", lambda size: (64, 64))
     rng = random.Random(10)
     taken = [f"w{k}" for k in range(3000)]
     own, _ = pseudo_likelihood.hashes_of(*texts_of(taken))
