@@ -53,6 +53,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def is_octet(digits: str) -> bool:
+    """Whether a number of any length is at most 255: leading zeros go first, since int() refuses very long numbers."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def ips(text: str) -> Iterator[tuple[int, int]]:
     """Four numbers at a time of each dotted chain."""
     for chain in NUMBERS.finditer(text):
@@ -61,7 +67,7 @@ def ips(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+            if all(map(is_octet, four)):
                 yield at, at + size
             at += size + 1
 
@@ -394,7 +400,7 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     parts = re.findall(r"[0-9]+", found)
-    return len(parts) == 4 and all(int(x) <= 255 for x in parts)
+    return len(parts) == 4 and all(map(is_octet, parts))
 
 
 def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
