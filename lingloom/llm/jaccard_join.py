@@ -97,7 +97,9 @@ class Cells:
         return kind, np.iinfo(kind).max, np.iinfo(kind).max - 1
 
     def packed(self, cell: np.ndarray, text: np.ndarray, texts: int) -> Iterator[tuple[int, bytes]]:
-        """(range, payload) of cells in order, each once; text -1: several have it."""
+        """(range, payload) of cells in order, each once; text -1: several have it. No cells give nothing."""
+        if not len(cell):
+            return
         kind, several, skip = self.marks(texts)
         which = cell >> self.width
         head = np.diff(which, prepend=-1) > 0
