@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for other files than tables; sweep() deletes what lies there."""
+    path = f"{folder(spark)}/lingloom-{uuid.uuid4().hex}/{name}"
+    mark = spark.range(0)
+    _written[id(mark)] = (mark, path)
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that stored() gave; nothing that is still to be computed may need them."""
     for table in tables:
