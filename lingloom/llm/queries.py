@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, pseudo_likelihood, quality, substring_dedup, token_counts
+from lingloom.llm import (
+    decontaminate,
+    exact_dedup,
+    fill_middle,
+    filter_audit,
+    jaccard_join,
+    language_id,
+    mixing,
+    pii,
+    pseudo_likelihood,
+    quality,
+    substring_dedup,
+    token_counts,
+    token_records,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +70,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_records.record_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.example_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,10 +95,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_token_records": op11_token_records,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_fill_middle": fill_middle.SQL,
 }
