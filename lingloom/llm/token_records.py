@@ -19,11 +19,13 @@ is read whole (binaryFile) by one task. The index has a row for each record: its
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingloom.llm.scratch import Shared, place
-from lingloom.llm.words import slices, words
+from lingloom.llm.words import SPACE, Words, lowered, slices, words
 
 #: Bytes of text whose ids go to one file, about.
 FILE_BYTES = 64 << 20
-#: Bytes of text that a task encodes at a time, and words that it remembers the ids of.
+#: Bytes of text that a task encodes at a time, and pieces that it remembers the ids of.
 SLICE = 4 << 20
-REMEMBERED = 1 << 18
-#: Longer words are encoded each time.
-LONG_WORD = 200
+REMEMBERED = 1 << 17
+#: Words of letters that are encoded in one text, and what the last token of a word ends with.
+TOGETHER = 4096
+WORD_END = "</w>"
+#: A fixed value: what the splitter of such a model keeps.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LENGTH, CHECKSUM, PAYLOAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 HEAD, TAIL = LENGTH.size + CHECKSUM.size, CHECKSUM.size
 NO_ID, WIDE = 1, 2
@@ -92,11 +97,22 @@ def payloads(content: bytes, name: str) -> Iterator[tuple[int, memoryview]]:
         at += HEAD + len(payload) + TAIL + 1
 
 
+#: Bytes by kind: ASCII letters, other ASCII signs, and those that may act on their neighbours (the apostrophe of contractions,
+#: all beyond ASCII); white space has none.
+LETTER, SIGN, BOUND = 1, 2, 3
+KIND = np.full(256, SIGN, np.uint8)
+KIND[128:], KIND[ord("'")] = BOUND, BOUND
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[SPACE] = 0
+
+
 class Encoder:
-    """Ids of texts, by encoding each different word with the tokenizer library once.
+    """Ids of texts, by encoding each different piece of a word with the tokenizer library once.
 
-    That gives the ids of the whole text if the model never joins what white space parts. Of the models here, those do whose
-    normaliser makes any run of white space one blank and whose splitter drops it; `parts_words` tells by the file.
+    That gives the ids of the whole text if the model is one of parts_words(): white space parts tokens and has none, case does
+    not matter, and neither a token of the splitter nor a composed character spans an ASCII letter and another ASCII sign that
+    is no apostrophe. So pieces are words, cut there and in small letters; a word with the beginning of a special token in it
+    stays as it is.
     """
 
     def __init__(self, model: str):
@@ -104,56 +120,96 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids_of(self, found: list[bytes]) -> list[list[int]]:
-        """Ids of each of some different words."""
-        new = [w for w in found if w not in self.known]
-        fresh = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)), strict=True))
-        out = [self.known[w] if w in self.known else fresh[w] for w in found]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known |= {w: x for w, x in fresh.items() if len(w) <= LONG_WORD}
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.marks = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = (np.zeros(0, np.int32) for _ in range(3))
+
+    def forget(self, number: int) -> None:
+        """Drops all pieces but the first ones; those that come often come early."""
+        if len(self.known) > number:
+            self.known = dict(islice(self.known.items(), number))
+            self.begin, self.size = self.begin[:number], self.size[:number]
+            self.ids = self.ids[: int(self.size.sum())]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encodes pieces: those of letters only many at a time, as each is one word to the model, whose last id ends it."""
+        words_, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        ids, size = [], []
+        for lo in range(0, len(words_), TOGETHER):
+            some = b" ".join(words_[lo : lo + TOGETHER]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([some], add_special_tokens=False)[0].ids, np.int32)
+            ids.append(got)
+            size.append(np.diff(np.flatnonzero(self.final[got]), prepend=-1).astype(np.int32))
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(single), np.int32))
+        size.append(np.fromiter(map(len, single), np.int32))
+        sizes = np.concatenate(size)
+        if len(sizes) != len(new):
+            raise ValueError("a word of letters has other than one last token")
+        self.begin = np.append(self.begin, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32))
+        self.size, self.ids = np.append(self.size, sizes), np.concatenate([self.ids, *ids])
+        for w in chain(words_, others):
+            self.known[w] = len(self.known)
+
+    def pieces(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in small letters, and where each piece, or the white space between two, begins; one more at the end."""
+        small, kind = lowered(data), KIND[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] < BOUND) & (kind[:-1] < BOUND)
+        for mark in self.marks:
+            at = np.flatnonzero((data[:-1] == mark[0]) & (data[1:] == mark[1]))
+            for k in np.unique(np.searchsorted(w.starts, at, "right") - 1):
+                small[w.starts[k] : w.ends[k]] = data[w.starts[k] : w.ends[k]]
+                cut[w.starts[k] : w.ends[k]] = False
+        cut[w.starts], cut[w.ends] = True, True
+        cut[: w.starts[0]], cut[w.ends[-1] + 1 :] = False, False
+        return small, np.flatnonzero(cut)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts data[offsets[k]:offsets[k + 1]], and where those of each text begin (and one more)."""
         w = words(data, offsets)
         if not len(w.starts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        # Between the starts of two words there is nothing else but white space, which has no ids.
-        bounds = np.append(w.starts, w.ends[-1]).astype(np.int64)
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        small, bounds = self.pieces(data, w)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(small)])
         coded = column.dictionary_encode()
-        which = coded.indices.to_numpy()
-        each = self.ids_of([x.rstrip(b" \t\n\v\f\r") for x in coded.dictionary.to_pylist()])
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
-        begin = np.cumsum(size) - size
-        sizes = size[which]
+        found = [b"" if SPACE[x[0]] else x for x in coded.dictionary.to_pylist()]
+        self.learn([x for x in dict.fromkeys(found) if x not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))[coded.indices.to_numpy()]
+        sizes = self.size[which]
         ends = np.cumsum(sizes)
-        ids = flat[np.repeat(begin[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        return ids, np.append(0, ends)[w.first]
+        ids = self.ids[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        if len(self.known) > 2 * REMEMBERED:
+            self.forget(REMEMBERED)
+        first = np.append(np.searchsorted(bounds, w.starts), len(bounds) - 1)[w.first]
+        return ids, np.append(0, ends)[first]
 
 
-def parts_words(model: str) -> bool:
-    """Whether a tokenizer file says that white space has no ids and parts what stands on both sides of it.
+@lru_cache(1)
+def encoder_of(model: str) -> Encoder:
+    """The encoder of a worker, which knows the pieces of the tasks that it ran before."""
+    return Encoder(model)
 
-    For that the file makes runs of white space blanks before it splits, and keeps only matches of a pattern which names white
-    space nowhere but in a class that leaves it out; and it adds nothing around a text.
-    """
-    import json
 
+def parts_words(model: str) -> bool:
+    """Whether a tokenizer file is one that Encoder can take: by its own words, runs of white space become blanks and letters
+    small before the text is split; of it only runs of letters with an end of word, contractions, single digits and runs of
+    other signs are kept; and nothing is added around a text."""
     spec = json.loads(model)
     normalisers = (spec.get("normalizer") or {}).get("normalizers", [])
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    pattern = first.get("pattern", {}).get("Regex", "")
-    blanks = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in normalisers)
-    safe = {"NFC", "Replace", "Lowercase"} >= {x.get("type") for x in normalisers}
-    kept = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
-    within = "\\s" not in pattern.replace("[^\\s", "[^") and " " not in pattern and "." not in pattern
-    plain = not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or set(x["content"]) & set(" \t\n\v\f\r") for x in spec.get("added_tokens", []))
-    return bool(blanks and safe and kept and within and plain and spec.get("post_processor") is None)
+    return (
+        [x.get("type") for x in normalisers] == ["NFC", "Replace", "Lowercase"]
+        and (normalisers[1].get("pattern"), normalisers[1].get("content")) == ({"Regex": "\\s+"}, " ")
+        and (first.get("type"), first.get("invert"), first.get("behavior")) == ("Split", True, "Removed")
+        and first.get("pattern") == {"Regex": SPLITTER}
+        and spec["model"].get("end_of_word_suffix") == WORD_END
+        and spec.get("post_processor") is None
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or len(x["content"].split()) != 1 for x in spec.get("added_tokens", []))
+    )
 
 
 def write_records(docs: DataFrame, path: str, model_file: str, end_id: int | None = None) -> None:
@@ -161,20 +217,20 @@ def write_records(docs: DataFrame, path: str, model_file: str, end_id: int | Non
 
     end_id, if given, follows the ids of each document. A null text counts as empty. Rows of one doc_id stand in the order of
     a hash of their texts, rows without an id before all others; repeated rows are records of their own. Other columns are
-    ignored; an empty table gives no records. The model must part words at white space (parts_words), else this raises.
+    ignored; an empty table gives no records. The model must be one of parts_words(), else this raises.
     """
     spark, shared = docs.sparkSession, Shared(docs.sparkSession)
     with open(model_file, encoding="utf-8") as f:
         text = f.read()
     if not parts_words(text):
-        raise ValueError(f"{model_file}: the model joins words over white space, or adds tokens around a text")
+        raise ValueError(f"{model_file}: white space or case counts in this model, or it splits in another way")
     from tokenizers import Tokenizer
 
     wide = max(Tokenizer.from_str(text).get_vocab_size(), (end_id or 0) + 1) > 1 << 16
     model = shared.give(text)  # a file of a few megabytes, whatever the corpus
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(model.value), np.array([] if end_id is None else [end_id], np.int64)
+        encoder, tail = encoder_of(model.value), np.array([] if end_id is None else [end_id], np.int64)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
