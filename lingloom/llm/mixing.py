@@ -166,7 +166,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     documents are ignored; a document labelled twice counts by its largest name. With no labelled text all posteriors
     are equal. Targets that no rates can reach are met as nearly as least squares allows; where posteriors hardly differ
     between documents, the MOST steps end before that. Repeated rows give repeated
-    rows; an empty table gives an empty result. keep: columns to carry (doc_id and source by default).
+    rows; an empty table gives an empty result. keep: columns to carry (doc_id and source by default); one that has the name
+    of a column of the result is called {name}_kept.
     """
     domains = sorted(targets)
     share = np.array([targets[d] for d in domains], float)
@@ -174,17 +175,18 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     model = learned(docs, labelled, domains, per_domain)
     keep = keep or ["doc_id", "source"]
     name = lambda c: f"`{c.replace('`', '``')}`"
-    fields = ", ".join(f"{name(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    carried = [f"keep_{k}" for k in range(len(keep))]
+    fields = ", ".join(f"{c} {docs.schema[given].dataType.simpleString()}" for c, given in zip(carried, keep, strict=True))
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column("text_"), SLICE):
                 p = model.posteriors(data, offsets)
                 n = words(data, offsets).counts
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(n), pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(domains), dtype=np.int32), p.ravel()), batch.column("draw_").slice(lo, hi - lo)], [*keep, "n_tokens", "posteriors", "draw_"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in carried), pa.array(n), pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(domains), dtype=np.int32), p.ravel()), batch.column("draw_").slice(lo, hi - lo)], [*carried, "n_tokens", "posteriors", "draw_"])
 
     draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit(41), "doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    small = docs.select(*map(name, keep), F.col("text").alias("text_"), draw.alias("draw_")).mapInArrow(member, f"{fields}, n_tokens bigint, posteriors array<double>, draw_ double")
+    small = docs.select(*(F.col(name(given)).alias(c) for c, given in zip(carried, keep, strict=True)), F.col("text").alias("text_"), draw.alias("draw_")).mapInArrow(member, f"{fields}, n_tokens bigint, posteriors array<double>, draw_ double")
     small = stored(small, "posteriors")
     steps = fitted(small, share)
     width = len(domains)
@@ -193,6 +195,9 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
         for batch in batches:
             r, _ = replayed(matrix(batch.column("posteriors"), width), steps)
             more = np.floor(r) + (batch.column("draw_").to_numpy() < r - np.floor(r))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "n_tokens", "posteriors"]), pa.array(r), pa.array(more.astype(np.int64))], [*keep, "n_tokens", "posteriors", "rate", "copies"])
+            names = [*carried, "n_tokens", "posteriors"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(r), pa.array(more.astype(np.int64))], [*names, "rate", "copies"])
 
-    return small.mapInArrow(rate, f"{fields}, n_tokens bigint, posteriors array<double>, rate double, copies bigint")
+    result = ["n_tokens", "posteriors", "rate", "copies"]
+    found = small.mapInArrow(rate, f"{fields}, n_tokens bigint, posteriors array<double>, rate double, copies bigint")
+    return found.select(*(F.col(c).alias(f"{given}_kept" if given in result else given) for c, given in zip(carried, keep, strict=True)), *result)
