@@ -11,8 +11,8 @@ The hidden layer sees the classes of the two words before and after, by place, a
 occurrences. As enough grows with the root of the number of words, so do the numbers of nodes and vectors.
 
 All is gathered from all documents. Words (by 64-bit hashes) are counted exactly in a shuffle. Documents are dealt to
-splits by a hash, a number of splits that follows the number of words. A split masks 15 % of its words, in an order
-drawn from its number, and learns to predict them, from common weights; the weights of the splits of a round are averaged,
+splits by a hash, a number of splits that follows the number of words. A split masks each of its words once, in an order
+drawn from its number, and learns to predict it, from common weights; the weights of the splits of a round are averaged,
 those of a node or word by the words that met it, and the next round starts from there. The first start has the
 probabilities of counts alone. Averages are sums of whole numbers, so neither the partitions of the input nor the order
 of sums shows in the weights: scores differ by rounding in single precision only. A round that predicts words it has not
@@ -43,7 +43,6 @@ HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
 BATCH = 1024
 NONE = CLASSES  # beyond the text
-MASKED = 0.15
 WORDS = 1 << 22  # words of a split, about
 SHARES = (0.125, 0.5, 1.0)  # of the splits, by the end of each round
 RATE = 0.03
@@ -316,11 +315,10 @@ def seen(vectors: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
-def context(values: np.ndarray, first: np.ndarray, none: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Values around each word (or those at some places) [word, place]; none beyond its text."""
+def context(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """Values around each word [word, place]; none beyond its text."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(len(values)) if at is None else at
-    lo, hi = first[row[at]], first[row[at] + 1]
+    at, lo, hi = np.arange(len(values)), first[row], first[row + 1]
     out = np.full((len(at), len(AROUND)), none, values.dtype)
     for k, step in enumerate(AROUND):
         ok = (at + step >= lo) & (at + step < hi)
@@ -328,6 +326,19 @@ def context(values: np.ndarray, first: np.ndarray, none: int, at: np.ndarray | N
     return out
 
 
+def apart(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """Values with enough of none between two texts that no word has a neighbour of another text."""
+    gap = max(AROUND)
+    out = np.full(len(values) + gap * len(first), none, values.dtype)
+    out[places(first)] = values
+    return out
+
+
+def places(first: np.ndarray) -> np.ndarray:
+    """Where the words stand in what apart() gives."""
+    return np.arange(first[-1]) + max(AROUND) * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+
+
 @dataclass
 class Weights:
     """All that is learned: the network's weights, and the vectors of nodes and of words."""
@@ -366,25 +377,26 @@ class Model:
 
 
 def learn(vocab: Vocabulary, weights: Weights, found: np.ndarray, first: np.ndarray, split: int) -> tuple[Weights, Rows, Rows, np.ndarray]:
-    """The weights after the masked words of a split; the rows of nodes and words; and, of some words before they are
-    learned: how many, and the sums of their log-probabilities by the weights so far and by counts."""
+    """The weights after all words of a split; the rows of nodes and words; and, of some words before they are learned: how
+    many, and the sums of their log-probabilities by the weights so far and by counts."""
     rng = np.random.default_rng([19, split])
-    at = np.flatnonzero(rng.random(len(found)) < MASKED)
-    rng.shuffle(at)
-    classes, rows = vocab.of_word[found], vocab.row[found]
-    target, words_ = classes[at], found[at]
-    around, near = context(classes, first, NONE, at), context(rows, first, vocab.rows - 1, at)
+    order = rng.permutation(len(found))
+    classes, rows = (apart(x, first, none) for x, none in ((vocab.of_word[found], NONE), (vocab.row[found], vocab.rows - 1)))
+    at, words_ = places(first)[order], found[order]
+    near_of = lambda values, chunk: np.stack([values[at[chunk] + step] for step in AROUND], 1)
     some = slice(0, CHUNK)
     counted = Model(vocab, started(vocab))
-    sums = np.array([len(words_[some]), *(m.scores(words_[some], around[some], near[some]).sum() for m in (Model(vocab, weights), counted))])
+    sums = np.array([len(words_[some]), *(m.scores(words_[some], near_of(classes, some), near_of(rows, some)).sum() for m in (Model(vocab, weights), counted))])
     net = Network([w.copy() for w in weights.dense])
     steps, nodes, vectors = Steps([w.shape for w in net.weights]), Rows(weights.nodes), Rows(weights.near)
     for begin in range(0, len(at), CHUNK):
         size = min(CHUNK, len(at) - begin)
+        chunk = slice(begin, begin + size)
+        target, around, near = classes[at[chunk]], near_of(classes, chunk), near_of(rows, chunk)
         hidden = np.empty((size, HIDDEN), np.float32)
         for lo in range(0, size, BATCH):
-            part = slice(begin + lo, begin + min(lo + BATCH, size))
-            gradients, hidden[lo : lo + BATCH], back = net.gradients(around[part], target[part], seen(vectors.vectors, near[part]))
+            part = slice(lo, min(lo + BATCH, size))
+            gradients, hidden[part], back = net.gradients(around[part], target[part], seen(vectors.vectors, near[part]))
             steps.move(net.weights, gradients, part.stop - part.start)
             around_, turned = near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))])
             own = np.flatnonzero(around_ < vocab.rows - 1)  # words without a vector of their own stay at zero
