@@ -14,7 +14,7 @@ import pytest
 from pyspark.errors import PythonException
 
 import plain
-from lingloom.llm import fill_middle, filter_audit, token_records
+from lingloom.llm import fill_middle, filter_audit, mixing, token_records
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,23 @@ def whole_ids(text):
     return library().encode(text or "", add_special_tokens=False).ids
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    """Signs, contractions, capitals, marks and special tokens beside each other in every way."""
+    rng = random.Random(7)
+    bits = ["a", "B", "'", "'s", "'LL", "don't", "é", "e\u0301", "\u0301", ".", "12", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "-", "_", "İ", "K", "ß", "\x1c", "\x00", "\x7f", "\u0085", "\u00a0", "日", "²", "ⅷ", " ", "\n", "I'D", "x" * 90]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    with open(MODEL) as f:
+        encoder = token_records.Encoder(f.read())
+    for lo in range(0, len(texts), 500):
+        some = [t.encode() for t in texts[lo : lo + 500]]
+        data, offsets = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+        ids, first = encoder.encode(data, offsets)
+        if lo == 1000:
+            encoder.forget(100)
+        for k, t in enumerate(texts[lo : lo + 500]):
+            assert ids[first[k] : first[k + 1]].tolist() == whole_ids(t), t
+
+
 def test_token_records_are_the_library_s(spark, texts, monkeypatch):
     monkeypatch.setattr(token_records, "SLICE", 2000)
     rows = [(7 * k % 1009 - 100, t) for k, t in enumerate(texts)]
@@ -265,3 +282,16 @@ def test_fill_middle_cases(spark):
     all_cut = fill_middle.fill_in_middle(frame(spark, [(k, f"one two {k}") for k in range(50)]), percent=100, suffix_first=0).collect()
     assert {r.form for r in all_cut} == {"psm"}
     assert all(r.prefix + r.middle + r.suffix == r.text for r in all_cut)
+
+
+# Columns of the mix.
+
+
+def test_mixing_carries_columns_of_any_name(spark):
+    rows = [(k, f"word{k % 5} common text {k}", "a" if k % 2 else "b") for k in range(30)]
+    docs = frame(spark, rows).selectExpr("*", "n AS n_tokens", "mask AS draw_", "file AS copies", "words AS `odd name`")
+    labelled = spark.createDataFrame([(k, "clean" if k % 2 else "poor") for k in range(30)], "doc_id long, domain string")
+    keep = ["doc_id", "n_tokens", "draw_", "copies", "odd name"]
+    got = mixing.mixed_rates(docs, labelled, {"clean": 0.5, "poor": 0.5}, keep=keep)
+    assert got.columns == ["doc_id", "n_tokens_kept", "draw_", "copies_kept", "odd name", "n_tokens", "posteriors", "rate", "copies"]
+    assert {(r.n_tokens_kept, r.draw_, r.copies_kept, r["odd name"], r.n_tokens) for r in got.collect()} == {(1, 7, "f", "w", 4)}
