@@ -37,6 +37,34 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(text, "[^ -~]", "?")
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters both texts begin with, by halving steps: each compares two beginnings as a whole."""
+    most = F.least(F.length(a), F.length(b))
+    powers = F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)).cast("double"))).cast("int"), F.lit(0), F.lit(-1))
+
+    def longer(known: Column, power: Column) -> Column:
+        tried = (known + F.pow(F.lit(2), power)).cast("int")
+        return F.when((tried <= most) & (F.substring(a, F.lit(1), tried) == F.substring(b, F.lit(1), tried)), tried).otherwise(known)
+
+    return F.aggregate(powers, F.lit(0), longer)
+
+
+def near_distance(a: Column, b: Column, k: int) -> Column:
+    """Edit distance if it is at most k, else -1. What both texts begin and end with does not count, so of long texts that are
+    near each other little is left to be measured: the built-in distance takes the square of what it is given."""
+
+    def without_prefix(p: Column) -> Column:
+        n = common_prefix(p["a"], p["b"])
+        rest = lambda x: F.substring(x, n + 1, F.length(x))
+        return F.struct(F.reverse(rest(p["a"])).alias("a"), F.reverse(rest(p["b"])).alias("b"))
+
+    def measured(p: Column) -> Column:
+        return let(without_prefix(p), lambda q: F.levenshtein(q["a"], q["b"], k))
+
+    ends = let(F.struct(a.alias("a"), b.alias("b")), without_prefix)
+    return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(-1)).otherwise(let(ends, measured))
+
+
 def normalised_distance(a: Column, b: Column) -> Column:
     """Edit distance over the longer length; null for two empty texts."""
     return F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)).cast("double"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingloom.functions.text import normalise
 from lingloom.operators.similarity import nearest
+from lingloom.sources.tables import Steps
 
 
 def voiced(recordings: DataFrame, activity: DataFrame) -> DataFrame:
@@ -26,18 +29,20 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     return left.join(right.select(*keys, F.col(b).alias(a)).distinct(), [*keys, a], "left_anti").select(*left.columns)
 
 
-def links(left: DataFrame, right: DataFrame, a: str, b: str, keys: list[str], order: str, k: int = 3) -> DataFrame:
+def links(left: DataFrame, right: DataFrame, a: str, b: str, keys: list[str], order: str, k: int = 3, steps: Steps | None = None) -> DataFrame:
     """keys, a, b, match_type (exact or fuzzy), distance: for each different text of left.a its text of right.b.
 
     Only texts without an exact match go on to the fuzzy join, which compares normalised texts. Where several right texts
-    have one normalised form, the last by order stands for it.
+    have one normalised form, the last by order stands for it. Left and right are read once, into tables of the steps.
     """
-    wanted = left.select(*keys, F.col(a).alias("a")).where("a IS NOT NULL").distinct()
+    steps, name = steps or Steps(left.sparkSession), uuid.uuid4().hex[:8]
+    wanted = steps.keep(left.select(*keys, F.col(a).alias("a")).where("a IS NOT NULL").distinct(), f"wanted-{name}")
     have = right.select(*keys, F.col(b).alias("b"), F.col(order).alias("ord")).where("b IS NOT NULL").groupBy(*keys, "b").agg(F.min("ord").alias("ord"))
+    have = steps.keep(have, f"have-{name}")
     exact = wanted.join(have.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_semi").select(*keys, "a", F.col("a").alias("b"), F.lit("exact").alias("match_type"), F.lit(0).alias("distance"))
     rest = wanted.join(have.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti").withColumn("text", normalise(F.col("a")))
     named = have.withColumn("text", normalise(F.col("b"))).groupBy(*keys, "text").agg(F.max(F.struct("ord", "b")).alias("last")).select(*keys, "text", F.col("last.b").alias("original"), F.col("last.ord").alias("ord"))
-    near = nearest(rest.select(*keys, "text"), named.select(*keys, "text", "ord"), k, keys)
+    near = nearest(rest.select(*keys, "text"), named.select(*keys, "text", "ord"), k, keys, steps=steps)
     fuzzy = (
         rest.join(near.withColumnsRenamed({"a": "text", "b": "near"}), [*keys, "text"])
         .join(named.select(*keys, F.col("text").alias("near"), "original"), [*keys, "near"])

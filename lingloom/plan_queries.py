@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lingloom.functions import text
 from lingloom.operators import nesting
 from lingloom.plans import pipelines
-from lingloom.queries import TURNS, query, sql_bleu, sql_fold, sql_normal, sql_strip, turns
+from lingloom.queries import TURNS, query, sql_bleu, sql_fold, sql_normal, sql_strip, sql_words, turns
 from lingloom.sources import sinks
 
 REQUIRED = [(m, t) for m in ("whisper", "seamlessm4t") for t in ("transcription", "translation")]
@@ -128,7 +128,8 @@ p AS (SELECT lang, count(*) AS total_paragraphs, count(*) FILTER (whole) AS reta
 SELECT lang, sentences, exact_matches, texts - exact_matches AS difference, recovered, texts - exact_matches - recovered AS still_missing, total_paragraphs, retained_paragraphs, missing_paragraphs
 FROM b JOIN k USING (lang) JOIN p USING (lang)""")
 def q_align_statistics(spark, sf_dir):
-    return pipelines.align_statistics(recordings(spark, sf_dir), reference(spark, sf_dir), aligned(spark, sf_dir), activity(spark, sf_dir))
+    _, found = pipelines.align_report(recordings(spark, sf_dir), reference(spark, sf_dir), activity(spark, sf_dir))
+    return found
 
 
 CER = lambda h: f"levenshtein({sql_strip('raw')}, {sql_strip(h)}) / nullif(length({sql_strip('raw')}), 0)::double"
@@ -162,6 +163,41 @@ def q_asr_summary(spark, sf_dir):
     return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if "_cer_" in c))
 
 
+# Word errors of each different pair of texts, a row of the table of distances at a time, as in q_wer.
+HYPOTHESES = ("CASE WHEN j = 0 THEN raw || ' x' ELSE ' ' || raw END", "replace(raw, 'a', 'e')")
+WORD_ERRORS = f"""{SCORED}, hw AS (SELECT DISTINCT raw, {HYPOTHESES[0]} AS h FROM fl UNION SELECT DISTINCT raw, {HYPOTHESES[1]} FROM fl),
+kw AS (SELECT row_number() OVER () AS pair, raw, h, {sql_words('raw')} AS rw, {sql_words('h')} AS w FROM hw),
+dw AS (SELECT pair, 0 AS j, range(0, len(rw) + 1) AS row FROM kw UNION ALL
+  SELECT pair, j + 1, list_transform(range(0, len(u)), lambda i: i + list_min(u[1:i + 1])) FROM (
+    SELECT pair, j, list_transform(range(0, len(rw) + 1), lambda i: CASE WHEN i = 0 THEN j + 1 ELSE least(row[i + 1] + 1, row[i] + CASE WHEN rw[i] = w[j + 1] THEN 0 ELSE 1 END) END - i) AS u
+    FROM dw JOIN kw USING (pair) WHERE j < len(w))),
+ew AS (SELECT raw, h, row[len(rw) + 1] / nullif(len(rw), 0)::double AS e FROM dw JOIN kw USING (pair) WHERE j = len(w)),
+sw AS (SELECT fl.lang, fl.url, fl.sentence, list(split ORDER BY filename, split) AS splits, avg(a.e) AS w, avg(b.e) AS m FROM fl
+  JOIN ew a ON a.raw = fl.raw AND a.h = {HYPOTHESES[0].replace('raw', 'fl.raw')} JOIN ew b ON b.raw = fl.raw AND b.h = {HYPOTHESES[1].replace('raw', 'fl.raw')} GROUP BY 1, 2, 3),
+xw AS (SELECT sw.* FROM sw SEMI JOIN sc ON sc.lang = sw.lang AND sc.url = sw.url AND sc.sentence = sw.sentence)"""
+WORD_MEASURES = MEASURES.replace("_asr_cer_", "_asr_wer_")
+
+
+@query(f"WITH RECURSIVE {WORD_ERRORS}, x AS (SELECT *, {RESOLVED} AS split FROM xw) SELECT lang, {WORD_MEASURES} FROM x GROUP BY 1")
+def q_asr_summary_wer(spark, sf_dir):
+    out = pipelines.asr_summary(scored(spark, sf_dir))
+    return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if "_wer_" in c))
+
+
+SPOKEN = f"{TURNS}, p AS (SELECT role AS lang, conv_id * 1000 + turn AS id, {sql_fold('text')} AS sentence, {sql_fold('spoken')} AS spoken FROM t)"
+
+
+@query(f"""WITH {SPOKEN}, {sql_links('v', 'SELECT lang, spoken AS a FROM p', 'SELECT lang, sentence AS b, id AS ord FROM p')},
+n AS (SELECT lang, count(DISTINCT id) AS full_, count(DISTINCT spoken) AS texts FROM p GROUP BY 1),
+m AS (SELECT lang, count(*) FILTER (match_type = 'exact') AS exact, count(*) FILTER (match_type = 'fuzzy') AS near FROM vl GROUP BY 1)
+SELECT lang, full_, coalesce(exact, 0) AS exact, texts - coalesce(exact, 0) AS miss, coalesce(near, 0) AS near FROM n LEFT JOIN m USING (lang)""")
+def q_id_vs_set(spark, sf_dir):
+    t = turns(spark, sf_dir).select(F.col("role").alias("lang"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.fold(F.col("text")).alias("sentence"), text.fold(F.col("spoken")).alias("raw_transcription"))
+    spoken = t.select("lang", F.col("id").alias("fleurs_id"), "raw_transcription")
+    found = pipelines.id_against_set(spoken, t.select("lang", "id", "sentence"), t.select(F.col("id").alias("idx"), "id"), k=3)
+    return found.withColumnRenamed("full", "full_")
+
+
 PAIRS = f"""{SCORED}, x AS (SELECT id, best, {RESOLVED} AS split FROM sc WHERE lang = 'bbb'), y AS (SELECT x.id, x.best AS spoken, sc.sentence AS text, split FROM x JOIN sc ON sc.id = x.id AND sc.lang = 'aaa'),
 z AS (SELECT split AS role, id, spoken, text FROM y UNION ALL SELECT 'all', id, spoken, text FROM y)"""
 BLEU = "round(100 * CASE WHEN any_value(hyp_len) >= any_value(ref_len) THEN 1 ELSE exp(1 - any_value(ref_len) / any_value(hyp_len)::double) END * exp(sum(ln(m / t::double)) / 4), 5)"
@@ -223,7 +259,7 @@ def q_passage_link(spark, sf_dir):
 
 @query(f"WITH {PASSAGES} SELECT lang, link, round(distance, 6) AS distance FROM pd WHERE NOT distance < 0.05")
 def q_passages_aside(spark, sf_dir):
-    _, bad = pipelines.link_passages(items(spark, sf_dir), aligned(spark, sf_dir))
+    _, bad = pipelines.link_passages(items(spark, sf_dir), aligned(spark, sf_dir), measure=True)
     return bad.select("lang", "link", F.round("distance", 6).alias("distance"))
 
 

@@ -1,17 +1,23 @@
-"""The corpus pipelines as plans over tables keyed by lang; nothing runs before the result is written."""
+"""The corpus pipelines as plans over tables keyed by lang.
+
+What a plan reads twice is worked out once: it goes to a table of the plan's steps (sources/tables.py), which the caller may
+name, to clear it when the result is written, and to use the same table in several plans.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingloom.functions.bleu import corpus_bleu
+from lingloom.functions import bleu
+from lingloom.functions.bounded import distance_within
 from lingloom.functions.splits import resolve, route
 from lingloom.functions.text import char_error_rate, class_code_strict, normalise, normalised_distance, strip, word_error_rate
 from lingloom.operators.completeness import paragraph_counts, with_completeness
 from lingloom.operators.linking import links, voiced
 from lingloom.operators.nesting import nest, unnest, with_media
 from lingloom.operators.reports import array_mean, best_hypothesis, pivot_summary
+from lingloom.sources.tables import Steps
 
 RECORDING = ["filename", "gender", "num_samples", "speaker_id", "split"]
 #: The topics in the order of their codes (fixed values).
@@ -29,18 +35,36 @@ def nested_sentences(recordings: DataFrame, activity: DataFrame | None = None) -
     return nest(kept, ["lang", "fleurs_id"], ["filename", "split"], RECORDING, "recordings", ["raw_transcription", "transcription"])
 
 
-def align(recordings: DataFrame, reference: DataFrame, activity: DataFrame | None = None, k: int = 3) -> DataFrame:
+def align(recordings: DataFrame, reference: DataFrame, activity: DataFrame | None = None, k: int = 3, steps: Steps | None = None) -> DataFrame:
     """Reference sentences (lang, id, sentence, url, ...) with their spoken sentence, the kind of link, and full_paragraph."""
-    spoken = nested_sentences(recordings, activity)
-    found = links(spoken, reference.select("lang", "sentence", "id"), "raw_transcription", "sentence", ["lang"], "id", k)
+    steps = steps or Steps(recordings.sparkSession)
+    return align_spoken(steps.keep(nested_sentences(recordings, activity), "spoken"), reference, k, steps)
+
+
+def align_spoken(spoken: DataFrame, reference: DataFrame, k: int = 3, steps: Steps | None = None) -> DataFrame:
+    """As align(), from the table of nested_sentences()."""
+    found = links(spoken, reference.select("lang", "sentence", "id"), "raw_transcription", "sentence", ["lang"], "id", k, steps)
     found = found.withColumnsRenamed({"a": "raw_transcription", "b": "sentence"})
     linked = reference.join(found, ["lang", "sentence"]).join(spoken, ["lang", "raw_transcription"])
     return with_completeness(linked, reference, ["lang", "url"])
 
 
-def align_statistics(recordings: DataFrame, reference: DataFrame, aligned: DataFrame, activity: DataFrame | None = None) -> DataFrame:
+def align_report(recordings: DataFrame, reference: DataFrame, activity: DataFrame | None = None, k: int = 3, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """align() and its statistics, from one table of spoken sentences and one of aligned ones."""
+    steps = steps or Steps(recordings.sparkSession)
+    spoken = steps.keep(nested_sentences(recordings, activity), "spoken")
+    aligned = steps.keep(align_spoken(spoken, reference, k, steps), "aligned")
+    return aligned, spoken_statistics(spoken, aligned)
+
+
+def align_statistics(recordings: DataFrame, reference: DataFrame, aligned: DataFrame, activity: DataFrame | None = None, steps: Steps | None = None) -> DataFrame:
+    """The statistics of an aligned table, which is read twice: a stored one, best. align_report() gives both."""
+    steps = steps or Steps(recordings.sparkSession)
+    return spoken_statistics(steps.keep(nested_sentences(recordings, activity), "spoken"), aligned)
+
+
+def spoken_statistics(spoken: DataFrame, aligned: DataFrame) -> DataFrame:
     """One row a language: sentences, exact matches, those missing before and after recovery, recovered, paragraphs."""
-    spoken = nested_sentences(recordings, activity)
     total = spoken.groupBy("lang").agg(F.count(F.lit(1)).alias("sentences"), F.countDistinct("raw_transcription").alias("texts"))
     kinds = aligned.groupBy("lang").agg(
         F.countDistinct(F.when(F.col("match_type") == "exact", F.col("raw_transcription"))).alias("exact_matches"),
@@ -89,10 +113,12 @@ def link_topics(spoken: DataFrame, topics: DataFrame, k: int = 3, by_split: bool
     return joined.withColumn("split", route(F.transform("recordings", lambda r: r["split"]))).where("split IS NOT NULL").drop("topic_split")
 
 
-def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, media: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, media: str | None = None, strict: bool = False, measure: bool = False) -> tuple[DataFrame, DataFrame]:
     """Questions (lang, link, passage, ...) of complete paragraphs with sentence_data, its sentences in order of id; and the
     (lang, link, passage, distance) set aside, whose passage is not near enough to the sentences joined.
 
+    Distances are measured up to the limit only; those set aside have a null one, unless measure asks for theirs in full,
+    which takes the square of their length.
     media: the folder of the sound files; each sentence then has audio, the paths and rates of its recordings.
     strict: a passage that is not near enough raises when the questions are read.
     """
@@ -102,7 +128,10 @@ def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, medi
     text = normalise(F.array_join(F.transform("sentence_data", lambda s: s["sentence"]), " "))
     data = data.withColumn("sentence_data", F.transform("sentence_data", lambda s, i: s.withField("sentence_idx", i))).withColumn("text_", text)
     passages = items.select("lang", "link", "passage").distinct().join(data, ["lang", "link"])
-    passages = passages.withColumn("distance", normalised_distance(normalise(F.col("passage")), F.col("text_")))
+    passages = passages.withColumn("passage_", normalise(F.col("passage")))
+    longer = F.greatest(F.length("passage_"), F.length("text_")).cast("double")
+    edits = distance_within(F.col("passage_"), F.col("text_"), limit)
+    passages = passages.withColumn("distance", F.try_divide(edits.cast("double"), longer))
     near = F.col("distance") < limit
     if media is not None:
         passages = passages.withColumn("sentence_data", with_media(F.col("sentence_data"), F.lit(media)))
@@ -110,7 +139,9 @@ def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, medi
         far = F.raise_error(F.concat(F.lit("a passage differs from its sentences: "), F.col("lang"), F.lit(" "), F.col("link").cast("string")))
         passages = passages.withColumn("distance", F.when(near, F.col("distance")).otherwise(far.cast("double")))
     good = items.join(passages.where(near).select("lang", "link", "passage", "sentence_data"), ["lang", "link", "passage"])
-    return good, passages.where(~near | F.col("distance").isNull()).select("lang", "link", "passage", "distance")
+    aside = passages.where(~near | F.col("distance").isNull())
+    distance = F.coalesce("distance", normalised_distance(F.col("passage_"), F.col("text_"))) if measure else F.col("distance")
+    return good, aside.select("lang", "link", "passage", distance.alias("distance"))
 
 
 def asr_summary(scored: DataFrame, models: tuple[str, ...] = ("whisper", "seamlessm4t")) -> DataFrame:
@@ -120,15 +151,22 @@ def asr_summary(scored: DataFrame, models: tuple[str, ...] = ("whisper", "seamle
     return pivot_summary(rows, "lang", "split", measures)
 
 
-def bleu_report(scored: DataFrame, pivot_lang: str, model: str, select: str = "min_cer") -> DataFrame:
-    """lang, split (null for all), bleu of translations against the pivot language's sentence of equal id."""
+def bleu_report(scored: DataFrame, pivot_lang: str, model: str, select: str = "min_cer", steps: Steps | None = None) -> DataFrame:
+    """lang, split (null for all), bleu of translations against the pivot language's sentence of equal id.
+
+    Both sides are read from one table of what the report needs of scored.
+    """
+    fields = (f"{model}_asr_translation", f"{model}_asr_cer", "split")
+    narrow = F.transform("recordings", lambda r: F.struct(*(r[c].alias(c) for c in fields)))
+    scored = (steps or Steps(scored.sparkSession)).keep(scored.select("lang", "id", "sentence", narrow.alias("recordings")), "scored")
     of = lambda name: F.col("recordings")[name]
     best = best_hypothesis(of(f"{model}_asr_translation"), of(f"{model}_asr_cer"), select)
     rows = scored.where(F.col("lang") != pivot_lang).select("lang", "id", best.alias("hypothesis"), resolve(of("split")).alias("split"))
     reference = scored.where(F.col("lang") == pivot_lang).select("id", F.col("sentence").alias("reference"))
-    pairs = rows.join(reference, "id")
-    both = pairs.unionByName(pairs.withColumn("split", F.lit(None).cast("string")))
-    return corpus_bleu(both, "hypothesis", "reference", ["lang", "split"])
+    sums = bleu.statistics(rows.join(reference, "id"), "hypothesis", "reference", ["lang", "split"])
+    counts = [c for c in sums.columns if c not in ("lang", "split")]
+    both = sums.withColumn("split", F.explode(F.array("split", F.lit(None))))  # a few rows a language: its splits, and all of them
+    return both.groupBy("lang", "split").agg(*(F.sum(c).alias(c) for c in counts)).select("lang", "split", bleu.score().alias("bleu"))
 
 
 def id_against_text(spoken: DataFrame, reference: DataFrame, id_map: DataFrame) -> DataFrame:

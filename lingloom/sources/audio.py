@@ -1,22 +1,31 @@
-"""Sound files: durations, samples, silence, and a plug for models. Python runs here only, in Arrow batches."""
+"""Sound files: durations, samples, silence, and a plug for models. Python runs here only, in Arrow batches.
+
+A table of audio has filename, split and either content (read_audio) or path (headers.read_headers); tasks open paths
+themselves, so contents are never shuffled.
+"""
 
 from __future__ import annotations
 
 import io
-import wave
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingloom.functions.text import duration_class, mostly_silent
+from lingloom.sources import headers, wav
 from lingloom.sources.languages import model_code
 from lingloom.sources.readers import stem
-from lingloom.sources.sinks import write_json_lines, write_silence
+from lingloom.sources.sinks import write_silence
 
 RATE = 16000
+#: Samples of a batch for a model at most, with all files as long as the longest; and of those that wait in a task to be sorted.
+BATCH_SAMPLES, WAITING_SAMPLES = RATE * 30 * 8, RATE * 30 * 64
+Model = Callable[[list[np.ndarray]], list[str | None]]
 
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
@@ -28,32 +37,24 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(content: bytes, rate: int = RATE) -> tuple[np.ndarray, float]:
-    """Mono samples from -1 to 1 at the rate (by linear interpolation), and the duration in seconds by the header."""
-    with wave.open(io.BytesIO(content)) as w:
-        frames, own, width, channels = w.getnframes(), w.getframerate(), w.getsampwidth(), w.getnchannels()
-        raw = w.readframes(frames)
-    if width == 1:
-        samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    else:
-        samples = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << 8 * width - 1)
-    samples = samples.reshape(-1, channels).mean(1) if len(samples) else samples
-    if own != rate and len(samples):
-        at = np.arange(int(len(samples) * rate / own)) * (own / rate)
-        samples = np.interp(at, np.arange(len(samples)), samples).astype(np.float32)
-    return samples, frames / own if own else 0.0
+    """Mono samples from -1 to 1 at the rate, and the duration in seconds by the header."""
+    found = wav.layout(io.BytesIO(content), len(content))
+    return wav.resampled(wav.samples(content, found), found.rate, rate), found.seconds
 
 
 def header_seconds(content: bytes) -> float:
     """The duration by the header; no sample is read."""
-    with wave.open(io.BytesIO(content)) as w:
-        return w.getnframes() / w.getframerate() if w.getframerate() else 0.0
+    return wav.layout(io.BytesIO(content), len(content)).seconds
 
 
 def durations(audio: DataFrame) -> DataFrame:
     """filename, split, seconds, and the class that routes long files.
 
-    Here and below whole files travel in Arrow batches: spark.sql.execution.arrow.maxRecordsPerBatch bounds how many.
+    A table with seconds already (read_headers) is not opened again. Whole files travel in Arrow batches:
+    spark.sql.execution.arrow.maxRecordsPerBatch bounds how many.
     """
+    if "seconds" in audio.columns:
+        return audio.select("filename", "split", "seconds").withColumn("duration_class", duration_class(F.col("seconds")))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,81 +64,205 @@ def durations(audio: DataFrame) -> DataFrame:
     return out.withColumn("duration_class", duration_class(F.col("seconds")))
 
 
-def energy_detector(samples: np.ndarray, rate: int = RATE) -> list[tuple[float, float]]:
-    """Stretches of 30 ms frames whose level is over -40 dB: a stand-in for a trained voice detector."""
-    size = max(1, rate * 30 // 1000)
-    n = len(samples) // size
-    if not n:
-        return []
-    level = 20 * np.log10(np.sqrt((samples[: n * size].reshape(n, size) ** 2).mean(1)) + 1e-9)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (level > -40).astype(int), [0]])))
-    return [(a * size / rate, b * size / rate) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def content_of(kind: str, value: str | bytes) -> bytes:
+    """The bytes of a file, by its content or its path."""
+    if kind == "content":
+        return value
+    store, path = headers.opened(value)
+    with store.open_input_file(path) as f:
+        return f.read()
+
+
+def carrier(audio: DataFrame) -> str:
+    return "content" if "content" in audio.columns else "path"
+
+
+class Voice(NamedTuple):
+    """How voice_detector() tells speech: decibels over the noise floor where it begins and where it may go on, seconds of
+    the shortest speech and the shortest pause, decibels below which nothing is heard, and the flatness of a spectrum (noise has
+    some 0.1 to 0.6) under which a sound has a tone. Level and spectrum are those from 200 to 4,000 Hz."""
+
+    begin: float = 9.0
+    go_on: float = 5.0
+    least_speech: float = 0.1
+    least_pause: float = 0.2
+    unheard: float = -60.0
+    tonal: float = 0.08
+
+
+WINDOW, HOP, BLOCK = 0.025, 0.01, 0.5
+#: Frames that are worked out at a time, and those over which the flatness is averaged.
+FRAMES, EVEN = 4096, 5
+
+
+def frame_features(samples: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level in decibels and spectral flatness of each window; frames go in blocks, so memory does not follow their number."""
+    size, hop = int(WINDOW * rate), int(HOP * rate)
+    padded = np.concatenate([np.zeros(size // 2, np.float32), samples, np.zeros(size, np.float32)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop][: -(-len(samples) // hop)]
+    shape, frequency = np.hanning(size).astype(np.float32), np.fft.rfftfreq(size, 1 / rate)
+    band = (frequency >= 200) & (frequency <= 4000)
+    level, flat = [], []
+    for lo in range(0, len(view), FRAMES):
+        power = np.abs(np.fft.rfft(view[lo : lo + FRAMES] * shape, axis=1)[:, band]) ** 2 + 1e-12
+        level.append(10 * np.log10(power.sum(1) * 2 / (size * (shape**2).sum())))
+        flat.append(np.exp(np.log(power).mean(1)) / power.mean(1))
+    around = np.pad(np.concatenate(flat), EVEN // 2, mode="edge")
+    return np.concatenate(level), np.lib.stride_tricks.sliding_window_view(around, EVEN).mean(1)
+
+
+def noise_floor(level: np.ndarray, unheard: float) -> np.ndarray:
+    """The level of the quiet around each frame: the least of the low fifths of the half seconds within a second and a half."""
+    size = int(BLOCK / HOP)
+    blocks = [np.percentile(level[lo : lo + size], 20) for lo in range(0, len(level), size)]
+    wide = np.pad(blocks, 3, constant_values=np.inf)
+    least = np.lib.stride_tricks.sliding_window_view(wide, 7).min(1)
+    return np.maximum(np.repeat(least, size)[: len(level)], unheard)
 
 
-def classify_silence(audio: DataFrame, detector: Callable[[np.ndarray, int], list[tuple[float, float]]] = energy_detector, silence: float = 0.95, level: float = -25.0) -> DataFrame:
+def stretches(mask: np.ndarray) -> np.ndarray:
+    """(begin, end) of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return edges.reshape(-1, 2)
+
+
+def voice_detector(samples: np.ndarray, rate: int = RATE, voice: Voice = Voice()) -> list[tuple[float, float]]:
+    """(begin, end) in seconds of the speech in some samples.
+
+    Speech begins where the level is well over the noise floor around it, and goes on while it is somewhat over it; a sound
+    with a tone is speech at any floor, so steady noise is not, and a voice without pauses is. Pauses that are too short are
+    bridged, then speech that is too short is dropped.
+    """
+    if not len(samples):
+        return []
+    level, flat = frame_features(samples, rate)
+    floor = noise_floor(level, voice.unheard)
+    tone = (flat < voice.tonal) & (level > voice.unheard + voice.begin)
+    strong, weak = (level > floor + voice.begin) | tone, (level > floor + voice.go_on) | tone
+    begun = np.concatenate([[0], np.cumsum(strong)])
+    runs = [(a, b) for a, b in stretches(weak) if begun[b] > begun[a]]
+    joined: list[list[int]] = []
+    for a, b in runs:
+        if joined and (a - joined[-1][1]) * HOP < voice.least_pause:
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    end = len(samples) / rate
+    return [(float(a * HOP), min(float(b * HOP), end)) for a, b in joined if (b - a) * HOP >= voice.least_speech]
+
+
+def classify_silence(audio: DataFrame, detector: Callable[[np.ndarray, int], list[tuple[float, float]]] = voice_detector, silence: float = 0.95, level: float = -25.0) -> DataFrame:
     """filename, split, speech, seconds, is_silent: whether speech, after bringing the loudness to the level, is too little."""
+    kind = carrier(audio)
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for content in batch["content"]:
-                samples, seconds = decoded(content)
+            for value in batch[kind]:
+                samples, seconds = decoded(content_of(kind, value))
                 rms = float(np.sqrt((samples**2).mean())) if len(samples) else 0.0
                 loud = samples * 10 ** ((level - 20 * np.log10(rms + 1e-9)) / 20)
                 rows.append((sum(b - a for a, b in detector(loud, RATE)) if rms > 1e-6 else 0.0, seconds))
             yield pd.DataFrame({"filename": batch["filename"], "split": batch["split"], "speech": [r[0] for r in rows], "seconds": [r[1] for r in rows]})
 
-    out = audio.select("filename", "split", "content").mapInPandas(detect, "filename string, split string, speech double, seconds double")
+    out = audio.select("filename", "split", kind).mapInPandas(detect, "filename string, split string, speech double, seconds double")
     return out.withColumn("is_silent", F.coalesce(mostly_silent(F.col("speech"), F.col("seconds"), silence), F.lit(True)))
 
 
-def transcribe(audio: DataFrame, load: Callable[[], Callable[[list[np.ndarray]], list[str | None]]], batch: int = 8) -> DataFrame:
-    """filename, split, text by a model. load() runs once in each task and returns a function from samples to texts.
-
-    Each file keeps its name through the batch; where the model fails on a batch, its files are tried alone, and a file
-    that fails alone has a null text.
+def texts_of(model: Model, files: list[np.ndarray]) -> list[str | None]:
+    """The model's texts; where it fails on several files, each is tried alone, and one that fails alone has none."""
+    try:
+        found = model(files)
+        if len(found) != len(files):
+            raise ValueError(f"{len(found)} texts of {len(files)} files")
+        return list(found)
+    except Exception:
+        return [None] if len(files) == 1 else [x for one in files for x in texts_of(model, [one])]
+
+
+def batches_of(sizes: list[int], most: int) -> Iterator[list[int]]:
+    """Positions, by size: at most that many in a batch, and BATCH_SAMPLES with all as long as the longest, or one alone."""
+    now: list[int] = []
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
+        if now and (len(now) == most or (len(now) + 1) * sizes[k] > BATCH_SAMPLES):
+            yield now
+            now = []
+        now.append(k)
+    if now:
+        yield now
+
+
+def transcribe(audio: DataFrame, load: Callable[[bool], Model], batch: int = 8, limit: float = 30.0) -> DataFrame:
+    """filename, split, text by a model, in one pass over the files.
+
+    load(long) runs once in a task for each kind of files that it meets; files of limit seconds and more are long and go to
+    their model alone. A task keeps files waiting up to WAITING_SAMPLES, and batches those of like length. Each file keeps its
+    name through its batch; where the model fails on a batch, its files are tried alone, and a file that fails alone, or
+    cannot be read, has a null text.
     """
+    kind = carrier(audio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[bool, Model] = {}
+        waiting: list[tuple[str, str, np.ndarray]] = []
+
+        def told(rows: list[tuple[str, str]], texts: list[str | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([r[0] for r in rows], [r[1] for r in rows], texts)], ["filename", "split", "text"])
+
+        def model(long: bool) -> Model:
+            if long not in models:
+                models[long] = load(long)
+            return models[long]
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for own in batches_of([len(x) for _, _, x in waiting], batch):
+                yield told([waiting[k][:2] for k in own], texts_of(model(False), [waiting[k][2] for k in own]))
+            waiting.clear()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
         for rows in batches:
-            texts: list[str | None] = []
-            for lo in range(0, len(rows), batch):
-                samples = [decoded(c)[0] for c in rows["content"][lo : lo + batch]]
+            for filename, split, value in zip(*(rows.column(c) for c in ("filename", "split", kind)), strict=True):
+                name = (filename.as_py(), split.as_py())
                 try:
-                    texts += model(samples)
-                except Exception:
-                    for one in samples:
-                        try:
-                            texts += model([one])
-                        except Exception:
-                            texts.append(None)
-            yield pd.DataFrame({"filename": rows["filename"], "split": rows["split"], "text": texts})
+                    samples, seconds = decoded(content_of(kind, value.as_py()))
+                except (ValueError, OSError):
+                    yield told([name], [None])
+                    continue
+                if seconds >= limit:
+                    yield told([name], texts_of(model(True), [samples]))
+                    continue
+                waiting.append((*name, samples))
+                if sum(len(x) for _, _, x in waiting) >= WAITING_SAMPLES:
+                    yield from settle()
+        yield from settle()
+
+    return audio.select("filename", "split", kind).mapInArrow(run, "filename string, split string, text string")
+
 
-    return audio.select("filename", "split", "content").mapInPandas(run, "filename string, split string, text string")
+def by_duration(found: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A table of headers dealt to tasks by duration, so that batches hold files of like length; only names are shuffled."""
+    return found.repartitionByRange(tasks or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seconds", "path")
 
 
-def transcribe_language(audio: DataFrame, model: str, language: str, load: Callable[[str, str, bool], Callable[[list[np.ndarray]], list[str | None]]], translate: bool = False, batch: int = 8) -> DataFrame:
+def transcribe_language(audio: DataFrame, model: str, language: str, load: Callable[[str, str, bool], Model], translate: bool = False, batch: int = 8) -> DataFrame:
     """filename, split and the model's column ({model}_asr, or {model}_asr_translation) for the files of a language.
 
     load(code, task, long) gives a function from samples to texts, by the model's code of the language and the task
-    (transcribe or translate). Files of 30 seconds and more go one by one to a function for long files.
+    (transcribe or translate). Files of 30 seconds and more go one by one to a function for long files. Every file is read
+    and run once.
     """
     if translate and model == "mms":
         raise ValueError("this model does not translate")
     code, task = model_code(model, language), "translate" if translate else "transcribe"
-    kinds = durations(audio).select("filename", "split", "duration_class")
-    routed = audio.join(kinds, ["filename", "split"])
-    parts = [transcribe(routed.where(F.col("duration_class") == kind), lambda long=long: load(code, task, long), 1 if long else batch) for kind, long in (("short", False), ("long", True))]
-    return parts[0].unionByName(parts[1]).withColumnRenamed("text", f"{model}_asr" + "_translation" * translate)
+    dealt = by_duration(audio) if carrier(audio) == "path" and "seconds" in audio.columns else audio
+    found = transcribe(dealt, lambda long: load(code, task, long), batch)
+    return found.withColumnRenamed("text", f"{model}_asr" + "_translation" * translate)
 
 
 def transcribe_splits(audio: DataFrame, root: str, model: str, language: str, load: Callable, translate: bool = False, batch: int = 8) -> None:
-    """Writes {model}/{task}/{language}/{split}.jsonl below root for every split of audio, as read_hypotheses() takes them."""
+    """Writes {model}/{task}/{language}/split={split} below root for every split of audio, as read_hypotheses() takes them:
+    one job, which runs the model once a file and deals its lines out to the folders of their splits."""
     found = transcribe_language(audio, model, language, load, translate, batch)
-    for split in sorted(r[0] for r in audio.select("split").distinct().collect()):
-        out = f"{root}/{model}/{'translation' if translate else 'transcription'}/{language}/{split}.jsonl"
-        write_json_lines(found.where(F.col("split") == split).drop("split"), out)
+    found.write.mode("overwrite").partitionBy("split").json(f"{root}/{model}/{'translation' if translate else 'transcription'}/{language}")
 
 
 def classify_languages(audio: DataFrame, folder: str, **options) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Speech code and sentence code of each language.
 CODES = """
@@ -73,11 +74,10 @@ def model_code(model: str, language: str) -> str:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    """fleurs_code, flores_code, whisper_code, mms_code, seamless_code, in_belebele: 102 rows. Which languages the topic set
-    has is a parameter: a table for read_languages()."""
+    """fleurs_code, flores_code, whisper_code, mms_code, seamless_code, in_belebele, in_sib (all): 102 rows."""
     known = set(PASSAGES.split())
-    rows = [(a, b, *(model_code(m, a) for m in ("whisper", "mms", "seamlessm4t")), b in known) for a, b in pairs(CODES).items()]
-    return spark.createDataFrame(rows, "fleurs_code string, flores_code string, whisper_code string, mms_code string, seamless_code string, in_belebele boolean")
+    rows = [(a, b, *(model_code(m, a) for m in ("whisper", "mms", "seamlessm4t")), b in known, True) for a, b in pairs(CODES).items()]
+    return spark.createDataFrame(rows, "fleurs_code string, flores_code string, whisper_code string, mms_code string, seamless_code string, in_belebele boolean, in_sib boolean")
 
 
 def with_passages(frame: DataFrame, key: str = "lang") -> DataFrame:
@@ -85,6 +85,12 @@ def with_passages(frame: DataFrame, key: str = "lang") -> DataFrame:
     return frame.where(frame[key].isin(PASSAGES.split()))
 
 
+def with_topics(frame: DataFrame, topics: DataFrame, key: str = "lang") -> DataFrame:
+    """Rows of languages that the topic set has: those with items in topics(lang, ...), in any of its splits. The set has some
+    two hundred languages, all of the speech corpus among them; which, its own table says."""
+    return frame.join(topics.select(F.col("lang").alias(key)).distinct(), key, "left_semi").select(*frame.columns)
+
+
 def speech_code(folder: str) -> str:
     """The speech code of a download folder."""
     return RENAMED.get(folder, folder)

@@ -37,15 +37,19 @@ def read_voice_activity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hypotheses(spark: SparkSession, root: str) -> DataFrame:
-    """lang, model, task, split, filename, text of all {model}/{task}/{lang}/{split}.jsonl below root, in long form."""
+    """lang, model, task, split, filename, text of all {model}/{task}/{lang}/{split}.jsonl below root, in long form.
+
+    {split}.jsonl is a file or a folder of files; a folder may also be named split={split}, as transcribe_splits() writes it.
+    """
     fields = [f"{m}_asr{t}" for m in MODELS for t in ("", "_translation")]
-    rows = spark.read.schema("filename string, " + ", ".join(f"{f} string" for f in fields)).json(f"{root}/*/*/*/*.jsonl")
+    rows = spark.read.schema("filename string, " + ", ".join(f"{f} string" for f in fields)).json(f"{root}/*/*/*/{{*.jsonl,split=*}}")
     number = sum(F.col(f).isNotNull().cast("int") for f in fields)
     two = (number <= 1) & F.col("filename").isNotNull()  # an empty result leaves no text
     rows = rows.where(F.when(two, True).otherwise(F.raise_error(F.lit("a line of hypotheses has other than a file name and one text")).cast("boolean")))
-    # {split}.jsonl is a file, or a folder of files.
-    part = lambda k: F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)/([^/]+)\.jsonl(/|$)", k)
-    return rows.select(part(3).alias("lang"), part(1).alias("model"), part(2).alias("task"), part(4).alias("split"), "filename", strip(F.coalesce(*fields)).alias("text"))
+    place = r"([^/]+)/([^/]+)/([^/]+)/(?:split=([^/]+)/[^/]+|([^/]+)\.jsonl(?:/[^/]+)?)$"
+    part = lambda k: F.regexp_extract("_metadata.file_path", place, k)
+    split = F.coalesce(F.nullif(part(4), F.lit("")), part(5))
+    return rows.select(part(3).alias("lang"), part(1).alias("model"), part(2).alias("task"), split.alias("split"), "filename", strip(F.coalesce(*fields)).alias("text"))
 
 
 def read_union(spark: SparkSession, *paths: str) -> DataFrame:
@@ -63,8 +67,19 @@ def spread(frame: DataFrame) -> DataFrame:
 
 
 def read_completed(spark: SparkSession, path: str) -> DataFrame:
-    """The log of finished work: lang, split, number."""
-    return spark.read.schema("lang string, split string, n long").csv(path, sep="\t")
+    """A log of finished work: lang, split, and the number where the line has one. Lines have two tab-separated fields at least,
+    whatever follows; others raise. White space around a line, and empty lines, do not count."""
+    f = F.split(strip(F.col("value")), "\t")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "").select(F.when(F.size(f) >= 2, f).otherwise(F.raise_error(F.concat(F.lit("a log line has no two fields: "), F.col("value")))).alias("f"))
+    return lines.select(F.col("f")[0].alias("lang"), F.col("f")[1].alias("split"), F.get("f", F.lit(2)).try_cast("bigint").alias("n"))
+
+
+def read_by_stem(spark: SparkSession, folder: str, key: str = "lang") -> DataFrame:
+    """The Parquet files right below a folder, one for each value of the key, which is the name of the file.
+
+    Files may lack columns that others have; those are null.
+    """
+    return spark.read.option("mergeSchema", "true").option("pathGlobFilter", "*.parquet").parquet(folder).withColumn(key, stem())
 
 
 def remaining(work: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:

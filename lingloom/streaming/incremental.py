@@ -17,3 +17,17 @@ def run_available(spark: SparkSession, source: str, schema: str, transform: Call
 def run_batches(spark: SparkSession, source: str, schema: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands each new batch to write(batch, number), for plans that no single stream can express."""
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_repeatable(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *keys: str) -> None:
+    """Applies transform, which may join and aggregate, to each batch of new Parquet files, and writes its rows below
+    {out}/batch={number}, in folders by keys.
+
+    A batch that failed, even after its write, runs again under its number and replaces all that it wrote: each row is there
+    once. out belongs to the checkpoint, which numbers the batches.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        transform(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys).parquet(f"{out}/batch={number}")
+
+    run_batches(spark, source, schema, write, checkpoint)

@@ -75,3 +75,22 @@ def test_bleu_by_hand(spark):
 
 def test_13a_tokens(spark):
     assert value(spark, bleu.tokens_13a(F.col("x")), x="Hi, it's 1,000.5 (ok)-yes &amp; 5-6.") == ["Hi", ",", "it's", "1,000.5", "(", "ok", ")", "-yes", "&", "5", "-", "6", "."]
+
+
+def test_near_distance_is_the_distance_up_to_k(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(600):
+        a = "".join(rng.choice("abé🙂") for _ in range(rng.choice([0, 1, 5, 12, 40])))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
+        rows.append((a, "".join(b)))
+    rows += [("", ""), ("same", "same"), ("a" * 3000, "a" * 1500 + "b" + "a" * 1500), ("ab" * 40, "ba" * 40)]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    for k in (0, 2, 3):
+        bad = frame.withColumn("d", F.levenshtein("a", "b")).withColumn("want", F.when(F.col("d") <= k, F.col("d")).otherwise(-1))
+        assert bad.where(~F.col("want").eqNullSafe(text.near_distance(F.col("a"), F.col("b"), k))).collect() == []
+    one = spark.createDataFrame([("abcd", "abxd"), ("", "x"), ("ab", "abc"), ("abc", "abc")], "a string, b string")
+    assert [r[0] for r in one.select(text.common_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 2, 3]

@@ -78,7 +78,7 @@ def test_models_keep_names(spark, sounds):
 
         return model
 
-    assert {r.filename: r.text for r in audio.transcribe(sounds, load, 2).collect()} == {"tone.wav": "16000", "silence.wav": "16000", "blip.wav": "32480", "slow.wav": "16000", "long.wav": None}
+    assert {r.filename: r.text for r in audio.transcribe(sounds, lambda long: load(), 2).collect()} == {"tone.wav": "16000", "silence.wav": "16000", "blip.wav": "32480", "slow.wav": "16000", "long.wav": None}
 
 
 def test_no_sound_raises(spark, tmp_path):
@@ -165,3 +165,28 @@ def test_union_of_tables(spark, tmp_path):
     spark.range(2).write.parquet(f"{tmp_path}/dev")
     spark.range(5, 6).write.parquet(f"{tmp_path}/devtest")
     assert sorted(r.id for r in readers.read_union(spark, f"{tmp_path}/dev", f"{tmp_path}/devtest").collect()) == [0, 1, 5]
+
+
+def test_logs_with_more_or_fewer_fields(spark, tmp_path):
+    (tmp_path / "log.tsv").write_text("  en\tdev\t12\textra\nde\ttest\n\nfr\tdev\tmany\n")
+    got = {tuple(r) for r in readers.read_completed(spark, f"{tmp_path}/log.tsv").collect()}
+    assert got == {("en", "dev", 12), ("de", "test", None), ("fr", "dev", None)}
+    (tmp_path / "bad.tsv").write_text("only\n")
+    with pytest.raises(Exception, match="no two fields"):
+        readers.read_completed(spark, f"{tmp_path}/bad.tsv").collect()
+
+
+def test_tables_named_by_their_key(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"id": [1, 2], "x": ["a", "b"]}).to_parquet(f"{tmp_path}/en_us.parquet")
+    pd.DataFrame({"id": [3]}).to_parquet(f"{tmp_path}/de_de.parquet")
+    (tmp_path / "readme.txt").write_text("none")
+    assert {(r.lang, r.id, r.x) for r in readers.read_by_stem(spark, str(tmp_path)).collect()} == {("en_us", 1, "a"), ("en_us", 2, "b"), ("de_de", 3, None)}
+
+
+def test_topic_languages_are_those_of_the_topic_table(spark):
+    topics = spark.createDataFrame([("eng_Latn", "train"), ("eng_Latn", "test"), ("nqo_Nkoo", "test")], "lang string, split string")
+    rows = spark.createDataFrame([("eng_Latn", 1), ("xxx_Latn", 2), ("nqo_Nkoo", 3)], "lang string, id int")
+    assert {tuple(r) for r in languages.with_topics(rows, topics).collect()} == {("eng_Latn", 1), ("nqo_Nkoo", 3)}
+    assert languages.languages(spark).where("in_sib").count() == 102
