@@ -163,17 +163,16 @@ def q_asr_summary(spark, sf_dir):
     return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if "_cer_" in c))
 
 
-# Word errors of each different pair of texts, a row of the table of distances at a time, as in q_wer.
-HYPOTHESES = ("CASE WHEN j = 0 THEN raw || ' x' ELSE ' ' || raw END", "replace(raw, 'a', 'e')")
-WORD_ERRORS = f"""{SCORED}, hw AS (SELECT DISTINCT raw, {HYPOTHESES[0]} AS h FROM fl UNION SELECT DISTINCT raw, {HYPOTHESES[1]} FROM fl),
-kw AS (SELECT row_number() OVER () AS pair, raw, h, {sql_words('raw')} AS rw, {sql_words('h')} AS w FROM hw),
-dw AS (SELECT pair, 0 AS j, range(0, len(rw) + 1) AS row FROM kw UNION ALL
-  SELECT pair, j + 1, list_transform(range(0, len(u)), lambda i: i + list_min(u[1:i + 1])) FROM (
-    SELECT pair, j, list_transform(range(0, len(rw) + 1), lambda i: CASE WHEN i = 0 THEN j + 1 ELSE least(row[i + 1] + 1, row[i] + CASE WHEN rw[i] = w[j + 1] THEN 0 ELSE 1 END) END - i) AS u
-    FROM dw JOIN kw USING (pair) WHERE j < len(w))),
-ew AS (SELECT raw, h, row[len(rw) + 1] / nullif(len(rw), 0)::double AS e FROM dw JOIN kw USING (pair) WHERE j = len(w)),
-sw AS (SELECT fl.lang, fl.url, fl.sentence, list(split ORDER BY filename, split) AS splits, avg(a.e) AS w, avg(b.e) AS m FROM fl
-  JOIN ew a ON a.raw = fl.raw AND a.h = {HYPOTHESES[0].replace('raw', 'fl.raw')} JOIN ew b ON b.raw = fl.raw AND b.h = {HYPOTHESES[1].replace('raw', 'fl.raw')} GROUP BY 1, 2, 3),
+# Word errors: one word more at the end is one edit; else by a row of the table of distances at a time, as in q_wer.
+CHANGED = "replace(raw, 'a', 'e')"
+WORD_ERRORS = f"""{SCORED}, kw AS (SELECT raw, {sql_words('raw')} AS rw, {sql_words(CHANGED)} AS w FROM (SELECT DISTINCT raw FROM fl)),
+dw AS (SELECT raw, 0 AS j, range(0, len(rw) + 1) AS row FROM kw UNION ALL
+  SELECT raw, j + 1, list_transform(range(0, len(u)), lambda i: i + list_min(u[1:i + 1])) FROM (
+    SELECT raw, j, list_transform(range(0, len(rw) + 1), lambda i: CASE WHEN i = 0 THEN j + 1 ELSE least(row[i + 1] + 1, row[i] + CASE WHEN rw[i] = w[j + 1] THEN 0 ELSE 1 END) END - i) AS u
+    FROM dw JOIN kw USING (raw) WHERE j < len(w))),
+ew AS (SELECT raw, 1 / nullif(len(rw), 0)::double AS more, row[len(rw) + 1] / nullif(len(rw), 0)::double AS changed FROM dw JOIN kw USING (raw) WHERE j = len(w)),
+sw AS (SELECT lang, url, sentence, list(split ORDER BY filename, split) AS splits, avg(CASE WHEN j = 0 THEN more WHEN more IS NULL THEN NULL ELSE 0 END) AS w, avg(changed) AS m
+  FROM fl JOIN ew USING (raw) GROUP BY 1, 2, 3),
 xw AS (SELECT sw.* FROM sw SEMI JOIN sc ON sc.lang = sw.lang AND sc.url = sw.url AND sc.sentence = sw.sentence)"""
 WORD_MEASURES = MEASURES.replace("_asr_cer_", "_asr_wer_")
 
