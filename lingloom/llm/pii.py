@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lingloom.llm.words import SLICE, lowered, mixed, slices, u64
+from lingloom.llm.words import lowered, mixed, slices, u64
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -168,21 +168,11 @@ def shaped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, shape + spaced * np.int16(EDGE), row
 
 
-BLOCK, OVERLAP = 112, 8
-
-
-def sequences(shape: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of tokens of one text: the index of their first token, their length, and how many of the first overlap.
-
-    A longer text is cut into blocks that overlap by 2 * OVERLAP tokens; each block decides all but the outer ones.
-    """
-    bounds = np.flatnonzero(np.diff(row, prepend=-1, append=-2 if len(row) else -1))
-    size = np.diff(bounds)
-    step = BLOCK - 2 * OVERLAP
-    blocks = np.maximum(1, -(-(size - 2 * OVERLAP) // step))
-    which = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = np.repeat(bounds[:-1], blocks) + which * step
-    return begin, np.minimum(BLOCK, np.repeat(bounds[1:], blocks) - begin), np.where(which > 0, OVERLAP, 0)
+#: Bytes of text of which the labels are found together, and steps after which scores are brought back to 0 at the most.
+TOGETHER = 8 << 20
+LEVEL = 32
+#: Sequences up to which a step takes all pairs of labels at once.
+FEW = 64
 
 
 class Field:
@@ -200,37 +190,75 @@ class Field:
         return out
 
     def decode(self, shapes: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The best labels [sequence, position], by Viterbi over all sequences at once; size falls from row to row."""
-        emit = self.scores(shapes)
-        count, width, labels = emit.shape
-        best = emit[:, 0] + np.where(np.arange(labels) % 2 == 0, np.where(np.arange(labels) > 0, np.float32(-1e4), 0), 0).astype(np.float32)
-        back = np.zeros((width, count, labels), np.int8)
-        for t in range(1, width):
-            n = int(np.searchsorted(-size, -t))  # those longer than t
-            if not n:
-                break
-            now = np.empty((n, labels), np.float32)
-            into = self.move
-            for y in (0, *range(1, labels, 2)):
-                cand = best[:n] + into[:, y]
-                back[t, :n, y] = cand.argmax(1)
-                now[:, y] = cand.max(1)
-            # Only the two labels of its own kind may come before an inner label.
-            for y in range(2, labels, 2):
-                a, b = best[:n, y - 1] + into[y - 1, y], best[:n, y] + into[y, y]
-                back[t, :n, y] = np.where(b > a, y, y - 1)
-                now[:, y] = np.maximum(a, b)
-            best[:n] = now + emit[:n, t]
-        out = np.zeros((count, width), np.int8)
+        """The best labels [sequence, position] of padded shapes; size falls from row to row."""
+        number, rank, step = by_step(size)
+        out = np.zeros((len(size), shapes.shape[1] - 4), np.int8)
+        out[rank, step] = self.best(self.scores(shapes)[rank, step], number)
+        return out
+
+    def labels(self, shape: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The best label of each token of the texts shape[bounds[k]:bounds[k + 1]], each text by one pass over all of it."""
+        size = np.diff(bounds)
+        order = np.argsort(-size, kind="stable")
+        number, rank, step = by_step(size[order])
+        text = order[rank]
+        at, low, high = bounds[text] + step, bounds[text], bounds[text + 1]
+        emit = np.zeros((len(at), self.emit.shape[2]), np.float32)
+        for k in range(5):
+            near = at + k - 2
+            inside = (near >= low) & (near < high)
+            emit += self.emit[k][np.where(inside, shape[np.clip(near, 0, len(shape) - 1)], SHAPES - 1)]
+        out = np.zeros(len(shape), np.int8)
+        out[at] = self.best(emit, number)
+        return out
+
+    def best(self, emit: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The best labels by Viterbi over all sequences at once. emit has the tokens of the first step of all sequences, then
+        those of the second, and so on; number: how many sequences have each step, the longest ones first."""
+        if not len(number):
+            return np.zeros(0, np.int8)
+        labels, into = emit.shape[1], self.move
+        off = np.concatenate([[0], np.cumsum(number)])
+        best = emit[: off[1]] + np.where((np.arange(labels) % 2 == 0) & (np.arange(labels) > 0), np.float32(-1e4), np.float32(0))
+        back, out = np.zeros((len(emit), labels), np.int8), np.zeros(len(emit), np.int8)
+        for t in range(1, len(number)):
+            n = number[t]
+            come = back[off[t] : off[t + 1]]
+            if n <= FEW:  # fewer operations, of more numbers
+                cand = best[:n, :, None] + into
+                come[:] = cand.argmax(1)
+                now = cand.max(1)
+            else:
+                now = np.empty((n, labels), np.float32)
+                for y in (0, *range(1, labels, 2)):
+                    cand = best[:n] + into[:, y]
+                    come[:, y] = cand.argmax(1)
+                    now[:, y] = cand.max(1)
+                # Only the two labels of its own kind may come before an inner label.
+                for y in range(2, labels, 2):
+                    a, b = best[:n, y - 1] + into[y - 1, y], best[:n, y] + into[y, y]
+                    come[:, y] = np.where(b > a, y, y - 1)
+                    now[:, y] = np.maximum(a, b)
+            now += emit[off[t] : off[t + 1]]
+            if t % LEVEL == 0:  # else the sums of long texts would lose their last digits
+                now -= now.max(1, keepdims=True)
+            best[:n] = now
         label = best.argmax(1).astype(np.int8)
-        for t in range(width - 1, -1, -1):
-            n = int(np.searchsorted(-size, -t))
-            out[:n, t] = label[:n]
+        for t in range(len(number) - 1, -1, -1):
+            n = number[t]
+            out[off[t] : off[t + 1]] = label[:n]
             if t:
-                label[:n] = back[t, np.arange(n), label[:n]]
+                label[:n] = back[off[t] + np.arange(n), label[:n]]
         return out
 
 
+def by_step(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sequences of falling size: how many have each step; and of the tokens, step by step, the sequence and the step."""
+    number = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0))
+    step = np.repeat(np.arange(len(number)), number)
+    return number, np.arange(len(step)) - np.repeat(np.cumsum(number) - number, number), step
+
+
 def padded(shape: np.ndarray, begin: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Shapes [sequence, width + 4] with the edge shape outside; before and after bound what a sequence may see."""
     width = int(size.max())
@@ -408,18 +436,7 @@ def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> Iterator
     start, end, shape, row = shaped(data, offsets)
     if not len(start):
         return
-    begin, size, skip = sequences(shape, row)
-    bounds = np.searchsorted(row, np.arange(len(offsets)))
-    text_of = row[begin]
-    label = np.zeros(len(start), np.int8)
-    for lo in range(0, len(begin), 512):
-        order = lo + np.argsort(-size[lo : lo + 512], kind="stable")
-        b, s, k = begin[order], size[order], skip[order]
-        got = field.decode(padded(shape, b, s, bounds[text_of[order]], bounds[text_of[order] + 1]), s)
-        # Each block writes the tokens it decides and no others: those after its overlap, and its last ones only at the end of its text.
-        decided = s - np.where(b + s < bounds[text_of[order] + 1], OVERLAP, 0)
-        for row_k in np.flatnonzero((got > 0).any(1)):
-            label[b[row_k] + k[row_k] : b[row_k] + decided[row_k]] = got[row_k, k[row_k] : decided[row_k]]
+    label = field.labels(shape, np.searchsorted(row, np.arange(len(offsets))))
     heads = np.flatnonzero(label % 2 == 1)
     for h in heads:
         t = h + 1
@@ -435,10 +452,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs(doc_id, text, ...).
 
-    Counts and base_sha256 are of the base spans; spans has those and the field's. A text of over BLOCK tokens is decoded in
-    blocks that overlap, each of which decides its inner tokens: the labels can differ from those of one pass over the
-    whole text where a choice hangs on tokens more than OVERLAP away. Positions are code points, ends
-    exclusive. A null text counts as empty: no spans, the hash of the empty string. Repeated rows give repeated rows;
+    Counts and base_sha256 are of the base spans; spans has those and the field's. The field's labels are the best
+    ones of the whole text, however long. Positions are code points, ends exclusive. A null text counts as empty: no spans, the hash of the empty string. Repeated rows give repeated rows;
     a null doc_id is carried through; other columns are ignored; an empty table gives an empty result.
     """
     field = field or default_field()
@@ -446,7 +461,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
+            for lo, hi, data, offsets in slices(batch.column("text"), TOGETHER):
                 texts = [x.as_py() or "" for x in batch.column("text").slice(lo, hi - lo)]
                 more: dict[int, list[tuple[int, int, str]]] = {}
                 for row, a, b, kind in field_spans(field, data, offsets):

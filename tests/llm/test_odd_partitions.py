@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,27 @@ def test_pii_plausible_takes_numbers_of_any_length():
 
 def test_partitions_are_apart(spark):
     assert partitions(spark, [(1, "a")], [(2, "b")]).select(F.spark_partition_id().alias("p")).distinct().count() == 2
+
+
+def test_pii_labels_of_long_texts_are_those_of_one_pass():
+    """Texts of all lengths together, against a plain Viterbi of each alone; many steps, many and few texts a step."""
+    rng, labels = np.random.default_rng(8), len(pii.LABELS)
+    banned = np.zeros((labels, labels))
+    for b in range(2, labels, 2):
+        banned[[a for a in range(labels) if a not in (b - 1, b)], b] = -1e4
+    field = pii.Field(rng.normal(0, 1, (5, pii.SHAPES, labels)), rng.normal(0, 1, (labels, labels)) + banned)
+    size = np.array([0, 700, 3, 1, *rng.integers(1, 40, 90), 0, 250, 2])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    shape = rng.integers(0, pii.SHAPES - 1, bounds[-1])
+    got = field.labels(shape, bounds)
+    move, inner = field.move.astype(float), (np.arange(labels) > 0) & (np.arange(labels) % 2 == 0)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        seen = np.concatenate([[pii.SHAPES - 1] * 2, shape[a:b], [pii.SHAPES - 1] * 2])
+        emit = sum(field.emit[k].astype(float)[seen[k : k + b - a]] for k in range(5)) if b > a else np.zeros((0, labels))
+        total = 0.0
+        for t in range(b - a):
+            total += emit[t, got[a + t]] + (move[got[a + t - 1], got[a + t]] if t else -1e4 * inner[got[a]])
+        best = emit[0] - 1e4 * inner if b > a else np.zeros(1)
+        for t in range(1, b - a):
+            best = (best[:, None] + move).max(0) + emit[t]
+        assert abs(best.max() - total) < 1e-2
