@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lingloom.functions.bounded import distance, error_rate
+
 #: ASCII punctuation that Unicode does not class as punctuation, and Unicode's punctuation.
 PUNCTUATION = r"[\p{P}$+<=>^`|~]"
-#: Everything that Unicode or Python takes for white space, as Java's classes name it.
+#: Everything that Unicode or Python takes for white space, as Java's classes name it; str.strip and str.split take the same.
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
-MOST_WORDS = 0x10000 - 0x800 - 0x100
-
-
 def remove_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, PUNCTUATION, "")
 
@@ -67,12 +66,12 @@ def near_distance(a: Column, b: Column, k: int) -> Column:
 
 def normalised_distance(a: Column, b: Column) -> Column:
     """Edit distance over the longer length; null for two empty texts."""
-    return F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)).cast("double"))
+    return F.try_divide(distance(a, b).cast("double"), F.greatest(F.length(a), F.length(b)).cast("double"))
 
 
 def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits over the characters of the reference, both stripped; can exceed 1; null for an empty reference."""
-    return F.try_divide(F.levenshtein(strip(reference), strip(hypothesis)).cast("double"), F.length(strip(reference)).cast("double"))
+    return error_rate(reference, hypothesis, str.strip)
 
 
 def tokens(text: Column) -> Column:
@@ -86,32 +85,13 @@ def let(value: Column, use) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words.
-
-    Each different word of the pair becomes one character of its own, so the built-in distance of strings counts words.
-    Characters are dealt from U+0100 on, past the range of surrogates: up to some 63,000 different words a pair; more raise.
-    """
-
-    def coded(words: Column, known: Column) -> Column:
-        def char(w: Column) -> Column:
-            at = F.array_position(known, w) + 255
-            at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
-            return F.decode(F.unhex(F.lpad(F.hex(at.cast("bigint")), 4, "0")), "UTF-16BE")
-
-        return F.array_join(F.transform(words, char), "")
-
-    def measured(x: Column) -> Column:
-        edits = F.levenshtein(coded(x["a"], x["known"]), coded(x["b"], x["known"]))
-        return F.when(F.size(x["known"]) > MOST_WORDS, F.raise_error(F.lit("too many different words in a pair"))).otherwise(edits)
-
-    pair = F.struct(a.alias("a"), b.alias("b"))
-    return let(pair, lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("known")), measured))
+    """Edit distance of two arrays of words."""
+    return distance(a, b)
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word edits over the words of the reference; null for a reference without words."""
-    pair = F.struct(tokens(reference).alias("a"), tokens(hypothesis).alias("b"))
-    return let(pair, lambda p: F.try_divide(token_distance(p["a"], p["b"]).cast("double"), F.size(p["a"]).cast("double")))
+    return error_rate(reference, hypothesis, str.split)
 
 
 def speaker_number(text: Column) -> Column:
