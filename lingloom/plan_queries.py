@@ -78,8 +78,9 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.align(recordings(spark, sf_dir), reference(spark, sf_dir), activity(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.score(aligned(spark, sf_dir), hypotheses(spark, sf_dir), REQUIRED)
+def scored(spark: SparkSession, sf_dir: str, *errors: str) -> DataFrame:
+    """Sentences scored by the error rates that the query reads."""
+    return pipelines.score(aligned(spark, sf_dir), hypotheses(spark, sf_dir), REQUIRED, errors or ("cer", "wer"))
 
 
 def listed(field: str, name: str = "recordings"):
@@ -151,7 +152,7 @@ def mean_of(field: str):
 @query(f"WITH {SCORED} SELECT lang, url, md5(sentence) AS sentence_md5, n, files, round(w, 6) AS whisper_cer, round(m, 6) AS seamlessm4t_cer FROM sc")
 def q_score(spark, sf_dir):
     cer = [mean_of(f"{m}_asr_cer").alias(f"{m}_cer") for m in ("whisper", "seamlessm4t")]
-    return scored(spark, sf_dir).select("lang", "url", F.md5("sentence").alias("sentence_md5"), F.size("recordings").cast("long").alias("n"), listed("filename").alias("files"), *cer)
+    return scored(spark, sf_dir, "cer").select("lang", "url", F.md5("sentence").alias("sentence_md5"), F.size("recordings").cast("long").alias("n"), listed("filename").alias("files"), *cer)
 
 
 MEASURES = ", ".join(f"round(avg({m}) FILTER (split = '{s}'), 6) AS {s}_{name}_asr_cer_mean, round(stddev_samp({m}) FILTER (split = '{s}'), 6) AS {s}_{name}_asr_cer_std" for s in ("train", "dev", "test") for m, name in (("w", "whisper"), ("m", "seamlessm4t")))

@@ -23,6 +23,8 @@ RECORDING = ["filename", "gender", "num_samples", "speaker_id", "split"]
 #: The topics in the order of their codes (fixed values).
 TOPICS = ["science/technology", "travel", "politics", "sports", "health", "entertainment", "geography"]
 
+RATES = {"cer": char_error_rate, "wer": word_error_rate}
+
 
 def nested_sentences(recordings: DataFrame, activity: DataFrame | None = None) -> DataFrame:
     """lang, fleurs_id, raw_transcription, transcription, recordings: one row a sentence, recordings in order of file and split."""
@@ -76,11 +78,11 @@ def spoken_statistics(spoken: DataFrame, aligned: DataFrame) -> DataFrame:
     return out.select("lang", "sentences", "exact_matches", difference.alias("difference"), "recovered", (difference - F.col("recovered")).alias("still_missing"), "total_paragraphs", "retained_paragraphs", "missing_paragraphs")
 
 
-def score(aligned: DataFrame, hypotheses: DataFrame, required: list[tuple[str, str]]) -> DataFrame:
+def score(aligned: DataFrame, hypotheses: DataFrame, required: list[tuple[str, str]], errors: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
     """aligned with recordings scored by hypotheses(lang, model, task, filename, text).
 
     A recording stays if it has a hypothesis of every required (model, task); a sentence if a recording does; a paragraph
-    if all its sentences do. Error rates are of transcriptions.
+    if all its sentences do. Error rates are of transcriptions: of characters (cer), words (wer), or both.
     """
     flat = unnest(aligned, "recordings").withColumn("reference", strip(F.col("raw_transcription")))
     wide = hypotheses.where(F.struct("model", "task").isin([F.struct(F.lit(m).alias("model"), F.lit(t).alias("task")) for m, t in required]))
@@ -93,8 +95,9 @@ def score(aligned: DataFrame, hypotheses: DataFrame, required: list[tuple[str, s
         joined = joined.withColumn(name, strip(F.col(name)))
         fields.append(name)
         if not name.endswith("_translation"):
-            joined = joined.withColumn(f"{name}_cer", char_error_rate(F.col("reference"), F.col(name))).withColumn(f"{name}_wer", word_error_rate(F.col("reference"), F.col(name)))
-            fields += [f"{name}_cer", f"{name}_wer"]
+            for e in errors:
+                joined = joined.withColumn(f"{name}_{e}", RATES[e](F.col("reference"), F.col(name)))
+                fields.append(f"{name}_{e}")
     keep = [c for c in aligned.columns if c not in ("recordings", "lang", "sentence", "url", "full_paragraph")]
     scored = nest(joined, ["lang", "url", "sentence"], ["filename", "split"], fields, "recordings", keep)
     return with_completeness(scored, aligned, ["lang", "url"]).where("full_paragraph")
@@ -144,9 +147,9 @@ def link_passages(items: DataFrame, linked: DataFrame, limit: float = 0.05, medi
     return good, aside.select("lang", "link", "passage", distance.alias("distance"))
 
 
-def asr_summary(scored: DataFrame, models: tuple[str, ...] = ("whisper", "seamlessm4t")) -> DataFrame:
+def asr_summary(scored: DataFrame, models: tuple[str, ...] = ("whisper", "seamlessm4t"), errors: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
     """lang and {split}_{model}_asr_{cer,wer}_{mean,std} over the means of each sentence's recordings."""
-    measures = [f"{m}_asr_{e}" for m in models for e in ("cer", "wer")]
+    measures = [f"{m}_asr_{e}" for m in models for e in errors]
     rows = scored.select("lang", resolve(F.transform("recordings", lambda r: r["split"])).alias("split"), *(array_mean(F.col("recordings")[c]).alias(c) for c in measures))
     return pivot_summary(rows, "lang", "split", measures)
 

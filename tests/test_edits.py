@@ -5,7 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from lingloom import plan_queries
 from lingloom.functions import bounded, text
+from lingloom.sources import tables
 
 
 def plain(a, b):
@@ -65,3 +67,11 @@ def test_white_space_is_that_of_columns(spark):
     rows = [(c, f"{chr(c)}a{chr(c)}b{chr(c)}") for c in codes]
     for r in spark.createDataFrame(rows, "c int, t string").select("c", "t", text.strip(F.col("t")).alias("s"), text.tokens(F.col("t")).alias("w")).collect():
         assert r.s == r.t.strip() and r.w == r.t.split(), hex(r.c)
+
+
+def test_only_the_error_rates_that_are_read_are_worked_out(spark):
+    for errors in (("cer",), ("wer",), ()):
+        fields = plan_queries.scored(spark, "/root/testdata/sf0.001", *errors).schema["recordings"].dataType.elementType.names
+        want = errors or ("cer", "wer")
+        assert [n for n in fields if n.endswith(("_cer", "_wer"))] == [f"{m}_asr_{e}" for m in ("whisper", "seamlessm4t") for e in want]
+    tables.clear_all()
