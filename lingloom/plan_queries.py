@@ -160,7 +160,7 @@ MEASURES = ", ".join(f"round(avg({m}) FILTER (split = '{s}'), 6) AS {s}_{name}_a
 
 @query(f"WITH {SCORED}, x AS (SELECT *, {RESOLVED} AS split FROM sc) SELECT lang, {MEASURES} FROM x GROUP BY 1")
 def q_asr_summary(spark, sf_dir):
-    out = pipelines.asr_summary(scored(spark, sf_dir))
+    out = pipelines.asr_summary(scored(spark, sf_dir, "cer"), errors=("cer",))
     return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if "_cer_" in c))
 
 
