@@ -180,7 +180,7 @@ WORD_MEASURES = MEASURES.replace("_asr_cer_", "_asr_wer_")
 
 @query(f"WITH RECURSIVE {WORD_ERRORS}, x AS (SELECT *, {RESOLVED} AS split FROM xw) SELECT lang, {WORD_MEASURES} FROM x GROUP BY 1")
 def q_asr_summary_wer(spark, sf_dir):
-    out = pipelines.asr_summary(scored(spark, sf_dir))
+    out = pipelines.asr_summary(scored(spark, sf_dir, "wer"), errors=("wer",))
     return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if "_wer_" in c))
 
 
