@@ -205,7 +205,7 @@ BLEU = "round(100 * CASE WHEN any_value(hyp_len) >= any_value(ref_len) THEN 1 EL
 
 @query(sql_bleu(f"SELECT 'bbb' AS lang, role AS split, {BLEU} AS bleu FROM s_ JOIN l_ USING (role) GROUP BY role", PAIRS, "SELECT role, id, spoken, text FROM z"))
 def q_bleu_report(spark, sf_dir):
-    return pipelines.bleu_report(scored(spark, sf_dir), "aaa", "whisper").select("lang", F.coalesce("split", F.lit("all")).alias("split"), F.round("bleu", 5).alias("bleu"))
+    return pipelines.bleu_report(scored(spark, sf_dir, "cer"), "aaa", "whisper").select("lang", F.coalesce("split", F.lit("all")).alias("split"), F.round("bleu", 5).alias("bleu"))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
