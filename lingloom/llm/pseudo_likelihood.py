@@ -11,8 +11,8 @@ The hidden layer sees the classes of the two words before and after, by place, a
 occurrences. As enough grows with the root of the number of words, so do the numbers of nodes and vectors.
 
 All is gathered from all documents. Words (by 64-bit hashes) are counted exactly in a shuffle. Documents are dealt to
-splits by a hash, a number of splits that follows the number of words. A split masks each of its words once, in an order
-drawn from its number, and learns to predict it, from common weights; the weights of the splits of a round are averaged,
+splits by a hash, a number of splits that follows the number of words. A split masks each of its words once, in short runs
+whose order is drawn from its number, and learns to predict it, from common weights; the weights of the splits of a round are averaged,
 those of a node or word by the words that met it, and the next round starts from there. The first start has the
 probabilities of counts alone. Averages are sums of whole numbers, so neither the partitions of the input nor the order
 of sums shows in the weights: scores differ by rounding in single precision only. A round that predicts words it has not
@@ -41,12 +41,15 @@ ROWS = 1 << 13  # nodes or words of which weights travel together
 CHUNK = 8 * 1024  # words whose paths are found together
 HIDDEN = 16
 AROUND = (-2, -1, 1, 2)
+GAP = max(AROUND)
+RUN = 16  # places of a text that are learned together: their neighbours are read once
 BATCH = 1024
 NONE = CLASSES  # beyond the text
 WORDS = 1 << 22  # words of a split, about
 SHARES = (0.125, 0.5, 1.0)  # of the splits, by the end of each round
 RATE = 0.03
 ROW_RATE = 0.1
+ONES = np.ones(HIDDEN, np.float32)  # a product with these sums each row
 FIXED = float(1 << 20)  # steps of one in sums of whole numbers
 
 
@@ -56,6 +59,31 @@ def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return w.hashes(), w.first
 
 
+def begins(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, and how often it is there."""
+    hashes = np.sort(hashes)
+    first = begins(hashes)
+    return hashes[first], np.diff(first, append=len(hashes))
+
+
+def added(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x from each of first up to the next. Two columns are added as one complex number: half the steps."""
+    return np.add.reduceat(x.view(np.result_type(x.dtype, np.complex64)), first).view(x.dtype)
+
+
+def ordered(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (32 bits) in order, and their places; sorted as one number, which is several times faster than by an index."""
+    key = np.sort(values.astype(np.int64) << 32 | places)
+    return key >> 32, key & 0xFFFFFFFF
+
+
 def summed(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash once, in order, and the sum of its numbers."""
     order = np.argsort(hashes)
@@ -84,7 +112,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 h, _ = hashes_of(data, offsets)
-                held.append(summed(h, np.ones(len(h), np.int64)))
+                held.append(counted(h))
                 size += len(held[-1][0])
                 if size > 1 << 21:
                     held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
@@ -131,30 +159,37 @@ class Vocabulary:
     prior: np.ndarray
     top: np.ndarray
     of_class: np.ndarray
+    start: np.ndarray | None = None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        n, order = len(self.hashes), np.argsort(hashes)
-        own = hashes[order]
-        at = np.searchsorted(self.hashes, own)  # in order, a search stays near the one before
-        if n:
-            at[self.hashes[np.minimum(at, n - 1)] != own] = n
-        out = np.empty(len(hashes), np.int32)
-        out[order] = at
-        return out
-
-    def paths(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which word, node, whether right) for all nodes above the leaves of these words."""
-        leaf, node = self.leaf[found], self.top[self.of_word[found]]
-        which = np.arange(len(found), dtype=np.int32)
-        out = [(which[:0], node[:0], np.zeros(0, bool))]
-        while True:
+        n = len(self.hashes)
+        if self.start is None:  # where the hashes of the same first bits begin: one each, about
+            self.shift = u64(64 - max(n.bit_length(), 1))
+            self.start = np.append(0, np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << n.bit_length()))).astype(np.int32)
+            self.ended = np.append(self.hashes, u64(-1))
+        at = self.start.take((hashes >> self.shift).astype(np.int64))
+        on, own = np.arange(len(at)), at
+        while len(on):
+            less = np.flatnonzero(self.ended.take(own) < hashes.take(on))
+            on, own = on.take(less), own.take(less) + np.int32(1)
+            at[on] = own
+        at[self.ended.take(at) != hashes] = n
+        return at
+
+    def levels(self, found: np.ndarray, hidden: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which words, their nodes, whether they go right, their rows of hidden) for each level of the trees from the top.
+        Words come in the order of their leaves, so the nodes of a level are in order too."""
+        top = self.top.take(self.of_word.take(found))
+        some = np.flatnonzero(top >= 0)
+        leaf, which = ordered(self.leaf.take(found.take(some)), some)
+        node, own, below = top.take(which), hidden.take(which, 0), self.below.ravel()
+        while len(which):
+            right = leaf >= self.middle.take(node)
+            yield which, node, right, own
+            node = below.take(2 * node + right)
             on = np.flatnonzero(node >= 0)
-            if not len(on):
-                return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-            which, node, leaf = which[on], node[on], leaf[on]
-            right = leaf >= self.middle[node]
-            out.append((which, node, right))
-            node = self.below[node, right.astype(np.int8)]
+            if len(on) < len(node):
+                which, node, leaf, own = which.take(on), node.take(on), leaf.take(on), own.take(on, 0)
 
 
 def thresholds(size: int) -> tuple[int, int]:
@@ -204,6 +239,11 @@ def vocabulary(hashes: np.ndarray, number: np.ndarray, once: int) -> Vocabulary:
     return Vocabulary(hashes, of_word, leaf, share.astype(np.float32), row, len(learned) + 1, np.concatenate(middle).astype(np.int32), below, np.concatenate(prior).astype(np.float32), levels[0], of_class)
 
 
+def with_one(h: np.ndarray) -> np.ndarray:
+    """A column of ones beside the hidden layer, for the bias."""
+    return np.hstack([h, np.ones((len(h), 1), h.dtype)])
+
+
 class Network:
     """Weights: embed [place, class, hidden], inner bias, layer [hidden, class], bias."""
 
@@ -226,8 +266,8 @@ class Network:
     def exponentials(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the scores of all classes, less a bound of theirs where they could grow too large, in the one buffer; and their sums."""
         layer, bias = self.weights[2:]
-        z = np.matmul(h, layer, out=self.buffer[: len(h)])
-        z += bias - z.dtype.type(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
+        bias = bias - bias.dtype.type(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
+        z = np.matmul(with_one(h), np.vstack([layer, bias]), out=self.buffer[: len(h)])
         np.exp(z, out=z)
         return z, z @ np.ones(CLASSES, z.dtype)
 
@@ -241,17 +281,19 @@ class Network:
         embed, inner, layer, bias = self.weights
         h = self.hidden(around, more)
         z, total = self.exponentials(h)
-        z /= total[:, None]
-        z[np.arange(len(z)), target] -= 1
-        back = (z @ layer.T) * (1 - h * h)
+        z.ravel()[np.arange(0, z.size, CLASSES) + target] -= total  # the gradient times the total, which is taken out where there are fewer columns
+        part = (1 / total)[:, None]
+        back = (z @ layer.T) * part * (1 - h * h)
+        by_layer = (z.T @ (with_one(h) * part)).T
+        # The rows of a class at a place are summed by sorting: far faster than adding one at a time.
+        keys = (around + np.arange(len(AROUND), dtype=np.int16) * np.int16(CLASSES + 1)).T.ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = begins(keys)
         by_embed = np.zeros_like(embed)
-        for k in range(len(AROUND)):
-            # The rows of a class in the batch are summed by sorting: far faster than adding one at a time.
-            order = np.argsort(around[:, k], kind="stable")
-            own = around[order, k]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            by_embed[k][own[first]] = np.add.reduceat(back.take(order, 0), first)
-        return [by_embed, back.sum(0), h.T @ z, np.ones(len(z), z.dtype) @ z], h, back
+        of = np.tile(np.arange(len(back)), len(AROUND)).take(order)
+        by_embed.reshape(-1, HIDDEN)[keys[first]] = added(back.take(of, 0), first)
+        return [by_embed, np.ones(len(back), back.dtype) @ back, by_layer[:-1], by_layer[-1]], h, back
 
 
 class Steps:
@@ -274,19 +316,14 @@ class Rows:
         self.vectors = vectors.astype(np.float32)
         self.met, self.square = np.zeros(len(vectors), np.int32), np.full(len(vectors), 1e-2, np.float32)
 
-    def move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """One step against the gradients of these rows, shorter the more a row has moved."""
-        if not len(rows):
-            return
-        order = np.argsort(rows, kind="stable")
-        own = rows[order]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        number = np.diff(first, append=len(own))
-        own, g = own[first], np.add.reduceat(gradient.take(order, 0), first)
-        g /= np.sqrt(number, dtype=np.float32)[:, None]
-        self.square[own] += np.einsum("ij,ij->i", g, g)
-        self.vectors[own] -= g * (ROW_RATE / np.sqrt(self.square[own]))[:, None]
-        self.met[own] += number.astype(np.int32)
+    def move(self, rows: np.ndarray, g: np.ndarray, number: np.ndarray) -> None:
+        """One step of each of these rows against its gradient summed over so many words, shorter the more a row has moved."""
+        square = self.square.take(rows) + (g * g) @ ONES / number.astype(np.float32)
+        self.square[rows] = square
+        g *= (np.float32(ROW_RATE) / np.sqrt(square * number.astype(np.float32)))[:, None]
+        whole = np.dtype((np.void, g.itemsize * HIDDEN))  # a row is set as one value
+        self.vectors.view(whole).ravel()[rows] = np.subtract(self.vectors.take(rows, 0), g, out=g).view(whole).ravel()
+        self.met[rows] = self.met.take(rows) + number
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
         """Rows that were met, in shards: their places, times met, and vectors times that."""
@@ -315,6 +352,44 @@ def seen(vectors: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """[place, hidden] to [hidden // 4, (place, hidden % 4)]: places lie together, and turning is by whole rows."""
+    return x.view(np.complex128).T.copy().view(np.float32)
+
+
+def straight(x: np.ndarray) -> np.ndarray:
+    """What turned() was given."""
+    return x.view(np.complex128).T.copy().view(np.float32)
+
+
+def along(vectors: np.ndarray, rows: np.ndarray, runs: int = 1) -> np.ndarray:
+    """seen() of the places of runs of one length, but for GAP at both ends; a vector is read once for all words around.
+    Places are in order, those of all runs together."""
+    v, size = turned(vectors.take(rows, 0)), 4 * (len(rows) - 2 * GAP * runs)
+    out = v[:, :size].copy()
+    for k, step in enumerate(AROUND[1:], 1):
+        here = v[:, 4 * runs * (GAP + step) :][:, :size]
+        out[k:] += here[:-k]
+        out[:k] += here[-k:]
+    return straight(out)
+
+
+def across(back: np.ndarray, runs: int = 1) -> np.ndarray:
+    """Gradients by the vectors of all places of runs, from those by what along() gives."""
+    b, size = turned(back), 4 * len(back)
+    out = np.zeros((len(b), size + 8 * GAP * runs), np.float32)
+    for k, step in enumerate(AROUND):
+        here = out[:, 4 * runs * (GAP + step) :][:, :size]
+        here[: len(b) - k] += b[k:]
+        here[len(b) - k :] += b[:k]
+    return straight(out)
+
+
+def beside(values: np.ndarray, runs: int = 1) -> list[np.ndarray]:
+    """For each of AROUND, the values there of the places of runs but for GAP at both ends."""
+    return [values[runs * (GAP + step) : len(values) - runs * (GAP - step)] for step in AROUND]
+
+
 def context(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
     """Values around each word [word, place]; none beyond its text."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -328,15 +403,14 @@ def context(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
 
 def apart(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
     """Values with enough of none between two texts that no word has a neighbour of another text."""
-    gap = max(AROUND)
-    out = np.full(len(values) + gap * len(first), none, values.dtype)
+    out = np.full(len(values) + GAP * len(first), none, values.dtype)
     out[places(first)] = values
     return out
 
 
 def places(first: np.ndarray) -> np.ndarray:
     """Where the words stand in what apart() gives."""
-    return np.arange(first[-1]) + max(AROUND) * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    return np.arange(first[-1]) + GAP * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
 
 
 @dataclass
@@ -359,53 +433,84 @@ class Model:
         self.vocab, self.net = vocab, Network(weights.dense)
         self.nodes, self.near = weights.nodes.astype(np.float32), weights.near.astype(np.float32)
 
-    def scores(self, found: np.ndarray, around: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Of words (by their places in the vocabulary) with the classes and rows of the words around them."""
+    def of_hidden(self, found: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         vocab = self.vocab
-        out = vocab.rest[found].astype(np.float64)
-        for begin in range(0, len(out), CHUNK):
-            chunk = slice(begin, begin + CHUNK)
-            hidden = self.net.hidden(around[chunk], seen(self.near, near[chunk]))
-            target = vocab.of_word[found[chunk]]
-            for lo in range(0, len(hidden), BATCH):
-                out[begin + lo : begin + min(lo + BATCH, len(hidden))] += self.net.of_hidden(hidden[lo : lo + BATCH], target[lo : lo + BATCH])
-            which, node, right = vocab.paths(found[chunk])
-            z = vocab.prior[node] + np.einsum("ij,ij->i", hidden.take(which, 0), self.nodes.take(node, 0))
+        out, target = vocab.rest[found].astype(np.float64), vocab.of_word[found]
+        for lo in range(0, len(out), BATCH):
+            out[lo : lo + BATCH] += self.net.of_hidden(hidden[lo : lo + BATCH], target[lo : lo + BATCH])
+        lost = np.zeros(len(out), np.float32)
+        for which, node, right, own in vocab.levels(found, hidden):
+            z = vocab.prior.take(node) + (own * self.nodes.take(node, 0)) @ ONES
             np.negative(z, out=z, where=right)
-            out[chunk] -= np.bincount(which, np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), len(hidden))
-        return out
+            lost[which] += np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+        return out - lost
+
+    def scores(self, found: np.ndarray, around: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Of words (by their places in the vocabulary) with the classes and rows of the words around them."""
+        chunks = [slice(lo, lo + CHUNK) for lo in range(0, len(found), CHUNK)]
+        return np.concatenate([np.zeros(0), *(self.of_hidden(found[c], self.net.hidden(around[c], seen(self.near, near[c]))) for c in chunks)])
+
+    def of_texts(self, found: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of all words of texts, in their order."""
+        vocab, at, out = self.vocab, places(first), [np.zeros(0)]
+        classes, rows = apart(vocab.of_word[found], first, NONE), apart(vocab.row[found], first, vocab.rows - 1)
+        for lo in range(0, len(found), CHUNK):
+            own = at[lo : lo + CHUNK]
+            run = slice(own[0] - GAP, own[-1] + GAP + 1)
+            own = own - own[0]
+            around = np.stack([x.take(own) for x in beside(classes[run])]).T
+            out.append(self.of_hidden(found[lo : lo + CHUNK], self.net.hidden(around, along(self.near, rows[run]).take(own, 0))))
+        return np.concatenate(out)
 
 
 def learn(vocab: Vocabulary, weights: Weights, found: np.ndarray, first: np.ndarray, split: int) -> tuple[Weights, Rows, Rows, np.ndarray]:
     """The weights after all words of a split; the rows of nodes and words; and, of some words before they are learned: how
     many, and the sums of their log-probabilities by the weights so far and by counts."""
     rng = np.random.default_rng([19, split])
-    order = rng.permutation(len(found))
-    classes, rows = (apart(x, first, none) for x, none in ((vocab.of_word[found], NONE), (vocab.row[found], vocab.rows - 1)))
-    at, words_ = places(first)[order], found[order]
-    near_of = lambda values, chunk: np.stack([values[at[chunk] + step] for step in AROUND], 1)
-    some = slice(0, CHUNK)
-    counted = Model(vocab, started(vocab))
-    sums = np.array([len(words_[some]), *(m.scores(words_[some], near_of(classes, some), near_of(rows, some)).sum() for m in (Model(vocab, weights), counted))])
+    end = -len(found) - GAP * (len(first) - 1)  # up to the next whole run
+    filled = lambda values, none: np.append(apart(values, first, none), np.full(end % RUN + GAP, none, values.dtype))
+    words_, classes, rows = filled(found.astype(np.int32), -1), filled(vocab.of_word[found], NONE), filled(vocab.row[found], vocab.rows - 1)
+    order = RUN * rng.permutation((len(words_) - 2 * GAP) // RUN)
+    window = np.arange(RUN + 2 * GAP)[:, None]
+    at = (order[: CHUNK // RUN] + window).ravel()
+    runs = len(at) // len(window)
+    inner = words_[at][GAP * runs : -GAP * runs]
+    own, *near = inner[inner >= 0], *(np.stack([x[inner >= 0] for x in beside(values[at], runs)], 1) for values in (classes, rows))
+    sums = np.array([len(own), *(m.scores(own, *near).sum() for m in (Model(vocab, weights), Model(vocab, started(vocab))))])
     net = Network([w.copy() for w in weights.dense])
     steps, nodes, vectors = Steps([w.shape for w in net.weights]), Rows(weights.nodes), Rows(weights.near)
-    for begin in range(0, len(at), CHUNK):
-        size = min(CHUNK, len(at) - begin)
-        chunk = slice(begin, begin + size)
-        target, around, near = classes[at[chunk]], near_of(classes, chunk), near_of(rows, chunk)
-        hidden = np.empty((size, HIDDEN), np.float32)
-        for lo in range(0, size, BATCH):
-            part = slice(lo, min(lo + BATCH, size))
-            gradients, hidden[part], back = net.gradients(around[part], target[part], seen(vectors.vectors, near[part]))
-            steps.move(net.weights, gradients, part.stop - part.start)
-            around_, turned = near[part].T.ravel(), np.concatenate([np.roll(back, -4 * k, 1) for k in range(len(AROUND))])
-            own = np.flatnonzero(around_ < vocab.rows - 1)  # words without a vector of their own stay at zero
-            vectors.move(around_[own], turned.take(own, 0))
-        which, node, right = vocab.paths(words_[begin : begin + size])
-        own = hidden.take(which, 0)
-        z = vocab.prior[node] + np.einsum("ij,ij->i", own, nodes.vectors.take(node, 0))
-        own *= (1 / (1 + np.exp(-np.clip(z, -60, 60))) - right).astype(np.float32)[:, None]
-        nodes.move(node, own)
+    for begin in range(0, len(order), CHUNK // RUN):
+        targets, hiddens = [], []
+        for lo in range(begin, min(begin + CHUNK // RUN, len(order)), BATCH // RUN):
+            at = (order[lo : min(lo + BATCH // RUN, begin + CHUNK // RUN)] + window).ravel()
+            runs = len(at) // len(window)
+            around, near, inner = classes.take(at), rows.take(at), slice(GAP * runs, -GAP * runs)
+            own = words_.take(at[inner])
+            real = np.flatnonzero(own >= 0)
+            if not len(real):
+                continue
+            target = own.take(real)
+            classes_ = np.stack([x.take(real) for x in beside(around, runs)]).T
+            gradients, hidden, below = net.gradients(classes_, around[inner].take(real), along(vectors.vectors, near, runs).take(real, 0))
+            steps.move(net.weights, gradients, len(target))
+            targets.append(target)
+            hiddens.append(hidden)
+            met, back = np.zeros(len(at), np.int32), np.zeros((len(own), HIDDEN), np.float32)
+            back[real] = below
+            for x in beside(met, runs):
+                x += own >= 0
+            on = np.flatnonzero((near < vocab.rows - 1) & (met > 0))  # words without a vector of their own stay at zero
+            if len(on):
+                row, on = ordered(near.take(on), on)
+                first_ = begins(row)
+                vectors.move(row[first_], added(across(back, runs).take(on, 0), first_), np.add.reduceat(met.take(on), first_))
+        if not targets:
+            continue
+        for _, node, right, own in vocab.levels(np.concatenate(targets), np.concatenate(hiddens)):
+            z = vocab.prior.take(node) + (own * nodes.vectors.take(node, 0)) @ ONES
+            off = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - right.astype(np.float32)
+            first_ = begins(node)
+            nodes.move(node.take(first_), added(own * off[:, None], first_), np.diff(first_, append=len(node)))
     return Weights(net.weights, nodes.vectors, vectors.vectors), nodes, vectors, sums
 
 
@@ -530,7 +635,7 @@ def score(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in slices(batch.column("text"), SLICE):
                 h, first = hashes_of(data, offsets)
                 found = vocab.find(h)
-                own = model.scores(found, context(vocab.of_word[found], first, NONE), context(vocab.row[found], first, vocab.rows - 1))
+                own = model.of_texts(found, first)
                 sums = np.concatenate([[0.0], np.cumsum(own)])
                 number.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])

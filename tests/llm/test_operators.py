@@ -523,6 +523,45 @@ def test_pseudo_likelihood_scores_are_a_plain_loop():
             assert got[at] == pytest.approx(want, abs=1e-4)
 
 
+def test_pseudo_likelihood_reads_a_vector_once_for_all_words_around():
+    """Runs give what the words around give one by one, there and back; texts in their order score as word by word."""
+    P, rng = pseudo_likelihood, np.random.default_rng(6)
+    vectors, runs = rng.normal(size=(50, P.HIDDEN)).astype(np.float32), 3
+    rows = rng.integers(0, 50, (7 + 2 * P.GAP, runs))
+    near = np.stack([rows[P.GAP + step : P.GAP + step + 7].ravel() for step in P.AROUND], 1)
+    assert np.allclose(P.along(vectors, rows.ravel(), runs), P.seen(vectors, near), atol=1e-5)
+    back, want = rng.normal(size=(7 * runs, P.HIDDEN)).astype(np.float32), np.zeros(vectors.shape)
+    for k in range(len(P.AROUND)):
+        np.add.at(want, near[:, k], np.roll(back, -4 * k, 1))
+    got = np.zeros(vectors.shape)
+    np.add.at(got, rows.ravel(), P.across(back, runs))
+    assert np.allclose(got, want, atol=1e-5)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, n) % 90) for n in [0, 1, 2, 0, 17, *rng.integers(0, 40, 300)]]
+    vocab, found, first = split_of(texts)
+    weights, *_ = P.learn(vocab, P.started(vocab), found, first, 1)
+    near = P.context(vocab.of_word[found], first, P.NONE), P.context(vocab.row[found], first, vocab.rows - 1)
+    model = P.Model(vocab, weights)
+    assert np.allclose(model.of_texts(found, first), model.scores(found, *near), atol=1e-4)
+
+
+@pytest.mark.parametrize("run", [1, 16, 50])
+def test_pseudo_likelihood_learns_from_every_word_once(monkeypatch, run):
+    P, rng = pseudo_likelihood, np.random.default_rng(8)
+    monkeypatch.setattr(P, "RUN", run)
+    monkeypatch.setattr(P, "thresholds", lambda size: (2, 8))
+    vocab, found, first = split_of([" ".join(f"w{int(k)}" for k in rng.zipf(1.4, n) % 300) for n in [0, 1, 2, 0, *rng.integers(0, 200, 300)]])
+    _, nodes, vectors, (some, *_) = P.learn(vocab, P.started(vocab), found, first, 1)
+    around = P.context(vocab.row[found], first, vocab.rows - 1).ravel()
+    assert (vectors.met[:-1] == np.bincount(around, minlength=vocab.rows)[:-1]).all() and some > 0
+    met = np.zeros(len(vocab.middle), np.int64)
+    for at in found:
+        node = vocab.top[vocab.of_word[at]]
+        while node >= 0:
+            met[node] += 1
+            node = vocab.below[node, int(vocab.leaf[at] >= vocab.middle[node])]
+    assert met.any() and (nodes.met == met).all()
+
+
 def test_pseudo_likelihood_does_not_hang_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "WORDS", 2000)
     rng = random.Random(13)
