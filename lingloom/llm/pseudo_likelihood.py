@@ -266,8 +266,8 @@ class Network:
     def exponentials(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the scores of all classes, less a bound of theirs where they could grow too large, in the one buffer; and their sums."""
         layer, bias = self.weights[2:]
-        bias = bias - bias.dtype.type(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
-        z = np.matmul(with_one(h), np.vstack([layer, bias]), out=self.buffer[: len(h)])
+        z = np.matmul(h, layer, out=self.buffer[: len(h)])
+        z += bias - z.dtype.type(max(0.0, float((np.abs(layer).sum(0) + bias).max()) - 60))
         np.exp(z, out=z)
         return z, z @ np.ones(CLASSES, z.dtype)
 
@@ -440,7 +440,7 @@ class Model:
             out[lo : lo + BATCH] += self.net.of_hidden(hidden[lo : lo + BATCH], target[lo : lo + BATCH])
         lost = np.zeros(len(out), np.float32)
         for which, node, right, own in vocab.levels(found, hidden):
-            z = vocab.prior.take(node) + (own * self.nodes.take(node, 0)) @ ONES
+            z = vocab.prior.take(node) + np.einsum("ij,ij->i", own, self.nodes.take(node, 0))  # the same wherever a row stands
             np.negative(z, out=z, where=right)
             lost[which] += np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
         return out - lost
